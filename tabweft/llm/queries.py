@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweft.llm import exact_dedup
+from tabweft.llm import exact_dedup, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_karmarkar_karp_sharding": sharding.op4_karmarkar_karp_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 

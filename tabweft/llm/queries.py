@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweft.llm import exact_dedup, packing, quality_rules, sharding
+from tabweft.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, token_output, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_segment_tree_bpe": bpe.op2_segment_tree_bpe,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_karmarkar_karp_sharding": sharding.op4_karmarkar_karp_sharding,
+        "op5_seekable_token_files": token_output.op5_seekable_token_files,
+        "op6_warc_archives": warc.op6_warc_archives,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
 

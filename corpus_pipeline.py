@@ -1,12 +1,56 @@
-"""Corpus pipeline: quality rules, exact dedup, near dedup, substring dedup, packing."""
+"""Corpus pipeline over ``documents``: quality rules, exact dedup, near dedup, substring dedup, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; its result is written as Parquet and is the
+next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from tabweft.llm import exact_dedup
+from pyspark.sql import DataFrame, SparkSession
+
+from tabweft.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
+from tabweft.llm.common import materialize
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without their host's boilerplate lines."""
+    return quality_rules.apply_rules(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the sentences that repeat a span of an earlier document."""
+    return substring_dedup.drop_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every document with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
+    ("substring_dedup", substring_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-STAGES = [("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.drop_copies(docs))]
+#: The stages hash, sketch and tokenize in ways that SQL does not express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages follow")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tabweft.plans import fidelity_queries
+
+_MODULES = (fidelity_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -7,14 +7,20 @@ next stage's ``docs``. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabweft.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
 from tabweft.llm.common import materialize
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` after the text has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their host's boilerplate lines."""
-    return quality_rules.apply_rules(docs)
+    return _counted(quality_rules.apply_rules(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the sentences that repeat a span of an earlier document."""
-    return substring_dedup.drop_repeats(docs)
+    return _counted(substring_dedup.drop_repeats(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabweft.plans import fidelity_queries
+from tabweft.plans import fidelity_queries, tabular_queries
 
-_MODULES = (fidelity_queries,)
+_MODULES = (fidelity_queries, tabular_queries)
 
 
 def queries() -> dict:

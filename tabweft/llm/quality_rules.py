@@ -5,8 +5,8 @@ its words lie in 8-word windows that occur twice or more in it.
 
 Line rules: every normalised line (ASCII lower case, single spaces) is hashed, and the distinct documents that
 hold it are counted per host (``source``). A line in more than ``max(min_docs, share * documents of the host)``
-documents is boilerplate and is removed; a document that keeps fewer than ``MIN_WORDS`` words or less than
-``MIN_LEFT_PERCENT`` % of them is depleted and rejected. The documents of a line are told apart by the rest of their
+documents is boilerplate and is removed; a document that keeps less than ``MIN_LEFT_PERCENT`` % of its words is
+depleted and rejected. The documents of a line are told apart by the rest of their
 text: by the smallest hash of the 3-word shingles outside the line, for ``KEYS`` hash functions of which the one
 that finds most documents counts. Exact copies, and most near copies, thus count as one document: a large group
 of copies does not make its own lines look like boilerplate; the deduplication stages settle such groups.
@@ -174,7 +174,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> Da
     removed = removed_lines(stats, frequent_lines(stats, min_docs, share))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
-    depleted = F.col("removed_words").isNotNull() & ((left < MIN_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
+    depleted = F.col("removed_words").isNotNull() & (100 * left < MIN_LEFT_PERCENT * F.col("n_words"))
     return (
         stats.drop("lines", "line_words", "line_keys", "source").join(removed, "row_id", "left")
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "removed")

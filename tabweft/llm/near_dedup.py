@@ -17,8 +17,9 @@ Links are then found without all pairs of a bucket:
    Confirmed links are merged into components (large-star / small-star, no driver state). The first round takes
    the smallest class as leader, the second one chosen at random for each bucket.
 2. *Completion*: buckets that still hold several components are compared in full, across components only, in tiles
-   of bounded size. What passes the filter is confirmed on the full sets. Hence no link between two different
-   components is lost, whatever the leaders were.
+   of bounded size. Members of some pair that passes the filter are met again with their full sets, and every such
+   pair whose components are still apart is confirmed there; pairs are never rows. Hence no link between two
+   different components is lost, whatever the leaders were.
 
 Null or empty texts have empty sets, are linked with nothing and stay. A repeated doc_id gives a row each; a null
 doc_id comes last and stays only if its whole component has none. Empty tables give empty results; other columns are ignored by :func:`components` and kept by :func:`drop_near_copies`.
@@ -151,32 +152,81 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets], pa.bool_()))
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a tile of a bucket come together: pairs across components whose byte signatures agree enough."""
-
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, roots = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        if (roots == roots[0]).all():
-            return
-        sides, wide = np.array([r[3] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, WIDE)
-        for k in range(0, len(rows), 32):
-            near = (wide[k : k + 32, None, :] == wide[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
-            near &= (ids[k : k + 32, None] < ids[None, :]) & (roots[k : k + 32, None] != roots[None, :])
-            near &= (sides[k : k + 32, None] != sides[None, :]) | (sides[k : k + 32, None] < 0)  # between two tiles only
-            x, y = np.nonzero(near)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k + x]), pa.array(ids[y])], names=["a", "b"])
-
+def _by_tile(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of every tile with more than one row; they come sorted by key, tile_a, tile_b, the first ``columns``."""
     at, rows = None, []
     for batch in batches:
-        for key, tile_a, tile_b, own, class_id, root, wide in zip(*(batch.column(c).to_pylist() for c in ("key", "tile_a", "tile_b", "tile", "class_id", "root", "wide")), strict=True):
-            if (key, tile_a, tile_b) != at:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if row[:3] != at:
                 if len(rows) > 1:
-                    yield from compare(rows)
-                at, rows = (key, tile_a, tile_b), []
-            rows.append((key, class_id, root, -1 if tile_a == tile_b else own, wide))
+                    yield rows
+                at, rows = row[:3], []
+            rows.append(row)
     if len(rows) > 1:
-        yield from compare(rows)
+        yield rows
+
+
+TILE_COLUMNS = ["key", "tile_a", "tile_b", "tile", "class_id", "root", "symbols", "wide"]
+
+
+def _near_pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a tile to confirm: across components, of byte signatures that agree enough.
+
+    A pair belongs to the first key that both share, so that its other buckets leave it out, and to the tile of its
+    two blocks.
+    """
+    key, tile_a, tile_b = rows[0][:3]
+    ids, roots, blocks = (np.array([r[i] for r in rows]) for i in (4, 5, 3))
+    if (roots == roots[0]).all():
+        return
+    keys = keys_of(np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, SYMBOLS)).view(np.int64)
+    wide = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, WIDE)
+    for k in range(0, len(rows), 32):
+        near = (wide[k : k + 32, None, :] == wide[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
+        near &= (ids[k : k + 32, None] < ids[None, :]) & (roots[k : k + 32, None] != roots[None, :])
+        if tile_a != tile_b:
+            near &= blocks[k : k + 32, None] != blocks[None, :]
+        x, y = np.nonzero(near)
+        x += k
+        if len(x):
+            first = (keys[x] == keys[y]).argmax(1)
+            own = keys[x, first] == key
+            yield x[own], y[own]
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that are in some pair to confirm; never more rows than came."""
+    for rows in _by_tile(batches, TILE_COLUMNS):
+        held = np.zeros(len(rows), bool)
+        for x, y in _near_pairs(rows):
+            held[x] = held[y] = True
+        if held.any():
+            cols = zip(*(rows[i] for i in np.flatnonzero(held)), strict=True)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=TILE_COLUMNS)
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirm a tile's pairs on the full sets; a pair whose components the tile has joined already needs no test."""
+    for rows in _by_tile(batches, [*TILE_COLUMNS, "items"]):
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        above: dict[int, int] = {}
+
+        def find(x: int, above=above) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        a, b = [], []
+        for xs, ys in _near_pairs(rows):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                u, v = find(rows[x][5]), find(rows[y][5])
+                if u != v and linked(sets[x], sets[y]):
+                    above[max(u, v)] = min(u, v)
+                    a.append(rows[x][4])
+                    b.append(rows[y][4])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -237,38 +287,48 @@ class _Join:
         """Compare the buckets that still hold several components, across components."""
         tiles = F.ceil(F.col("members") / TILE).cast("int")
         rows = self.rooted().withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
-        rows = rows.join(self.classes.select("class_id", "wide"), "class_id")
+        rows = rows.join(self.classes.select("class_id", "symbols", "wide"), "class_id")
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         rows = rows.withColumn("other", other).withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
-        dealt = rows.repartition(shuffle_partitions(self.docs.sparkSession), "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
-        pairs = arrow_map(dealt.select("key", "tile_a", "tile_b", "tile", "class_id", "root", "wide"), _tiles, "a long, b long")
-        self.merge(materialize(pairs.distinct(), "near-pairs"))
+        involved = materialize(arrow_map(self._dealt(rows.select(TILE_COLUMNS)), _involved, "key long, tile_a int, tile_b int, tile int, class_id long, root long, symbols binary, wide binary"), "near-involved")
+        with_items = involved.join(self._items_of(involved.select("class_id")), "class_id")
+        self.join_components(materialize(arrow_map(self._dealt(with_items.select(*TILE_COLUMNS, "items")), _tile_links, "a long, b long"), "near-links"))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Tiles by hash, the rows of a tile together."""
+        tile = ["key", "tile_a", "tile_b"]
+        return rows.repartition(shuffle_partitions(self.docs.sparkSession), *tile).sortWithinPartitions(*tile)
 
     def merge(self, pairs: DataFrame) -> None:
         """Confirm candidate pairs on the full sets and join their components."""
-        confirmed = materialize(arrow_map(self._with_items(pairs), _confirm, "a long, b long"), "near-links")
+        items = self._items_of(pairs.select(F.explode(F.array("a", "b")).alias("class_id")))
+        a = items.select(F.col("class_id").alias("a"), F.col("items").alias("items_a"))
+        b = items.select(F.col("class_id").alias("b"), F.col("items").alias("items_b"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
+        self.join_components(materialize(arrow_map(both, _confirm, "a long, b long"), "near-links"))
+
+    def join_components(self, links: DataFrame) -> None:
         if self.roots is None:
-            self.roots = connect(confirmed).withColumnRenamed("node", "class_id")
+            self.roots = connect(links).withColumnRenamed("node", "class_id")
             return
         for c in ("a", "b"):
-            confirmed = confirmed.join(self.roots.withColumnRenamed("class_id", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-        moved = connect(confirmed)
+            links = links.join(self.roots.withColumnRenamed("class_id", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        moved = connect(links)
         old = self.roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("class_id", F.coalesce("new", "root").alias("root"))
         # a root that moves, or a class that was alone until now, gets a row of its own
         alone = moved.select(F.col("node").alias("class_id"), "root").join(self.roots.select("class_id"), "class_id", "left_anti")
         self.roots = materialize(old.unionByName(alone), "near-roots")
 
-    def _with_items(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    def _items_of(self, classes: DataFrame) -> DataFrame:
+        """(class_id, items) of at least these classes; texts are shingled again only for classes without items yet."""
+        wanted = classes.distinct()
         if self.items is not None:
             wanted = wanted.join(self.items.select("class_id"), "class_id", "left_anti")
         holders = self.classes.join(wanted, "class_id").select(F.col("doc_id").alias("holder")).distinct()
         texts = self.docs.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
         new = materialize(arrow_map(texts.select("text"), _texts, "class_id long, items binary").dropDuplicates(["class_id"]), "near-items")
-        self.items = new if self.items is None else self.items.unionByName(new)
-        a = self.items.select(F.col("class_id").alias("a"), F.col("items").alias("items_a"))
-        b = self.items.select(F.col("class_id").alias("b"), F.col("items").alias("items_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
+        self.items = new if self.items is None else self.items.unionByName(new).dropDuplicates(["class_id"])
+        return self.items
 
 
 def components(docs: DataFrame) -> DataFrame:

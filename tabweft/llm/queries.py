@@ -26,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_warc_archives": warc.oracle_sql(),
         "op8_exact_dedup": exact_dedup.oracle_sql(),
+        "op10_minhash_near_dedup": near_dedup.oracle_sql(),
     }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SHARED_DIR = "file:///tmp/checkpoints/tabweft"
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/tabweft-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tabweft-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every folder that this process made in the shared folder; frames that read them are then void."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def _clear_local() -> None:
+    """The own default folder is on this machine: leave nothing behind there."""
+    for path in _made:
+        if path.startswith(LOCAL_SHARED_DIR):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def ship_package(spark: SparkSession) -> None:

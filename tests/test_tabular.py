@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabweft.generators.base import SMOTEGenerator, SyntheticTable, UnivariateGenerator, load_state, save_state
+from tabweft.generators.base import SMOTEGenerator, SyntheticTable, UnivariateGenerator
 from tabweft.generators.registry import get_generator
+from tabweft.generators.trees import ARFGenerator, SynthpopGenerator
 from tabweft.operators import preprocess as pp
 from tabweft.operators import privacy, scores
 from tabweft.operators.neighbours import MixedSpace, nearest
@@ -99,9 +100,20 @@ def test_generators(spark, tmp_path):
     with pytest.raises(NotImplementedError):
         get_generator("tabddpm")
     table = SyntheticTable("univariate", constraints=["x > n"], random_state=1).fit(df, ["c"])
-    assert table.generate(30).dtypes == df.dtypes
-    save_state(spark, str(tmp_path / "s"), {"a": [1, 2]})
-    assert load_state(spark, str(tmp_path / "s")) == {"a": [1, 2]}
+    made = table.generate(30)
+    assert made.dtypes == df.dtypes
+    table.save(str(tmp_path / "table"))
+    assert sorted(SyntheticTable.load(str(tmp_path / "table"), spark).generate(30).collect()) == sorted(made.collect())
+
+
+def test_tree_generators(spark, tmp_path):
+    df = train_frame(spark).drop("id")
+    arf = ARFGenerator(num_trees=2, max_iters=1, max_depth=3).fit(df, ["c"])
+    made = arf.generate(25)
+    assert made.count() == 25 and made.dtypes == df.dtypes
+    arf.save(str(tmp_path / "arf"))
+    assert sorted(ARFGenerator.load(str(tmp_path / "arf"), spark).generate(25).collect()) == sorted(made.collect())
+    assert SynthpopGenerator(K=1, max_depth=2).fit(df, ["c"]).generate(20).count() == 20
 
 
 def test_evaluator_and_benchmark(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabweft.operators import fidelity as fd
 from tabweft.operators import frequencies as fq
-from tabweft.plans.fixture import BASE_SQL, CAT, NUM, SPEC, binned_long_sql, bins_sql, long_sql, sides
+from tabweft.plans.fixture import BASE_SQL, CAT, NUM, SPEC, binned_long_sql, bins_sql, long_sql, real_sql, sides
 
 CONSTRAINTS = ["total >= 50000", "bal > 0", "month <= 6", "total > bal and month != 12", "1 < month < 4"]
 
@@ -19,12 +19,16 @@ def rounded(df, *names):
 
 def _sides(fn):
     def query(spark, sf_dir):
-        train, syn = sides(spark, sf_dir, "train", "syn")
+        train, syn = sides(spark, sf_dir, "real", "syn")
         return rounded(fn(train, syn))
 
     return query
 
 
+def _all(fn):
+    return lambda spark, sf_dir: rounded(fn(*sides(spark, sf_dir, "all")))
+
+
 def _arm():
     return fd.AssociationRules(SPEC, 0.05, 0.15, 5, 2)
 
@@ -41,10 +45,10 @@ QUERIES = {
     "shape_scores": _sides(lambda a, b: fd.shape_scores(a, b, SPEC)),
     "trend_scores": _sides(lambda a, b: fd.trend_scores(a, b, SPEC)),
     "shape_trend": _sides(lambda a, b: fd.shape_trend(a, b, SPEC)),
-    "pearson_matrix": _sides(lambda a, b: fd.numeric_correlations(a, SPEC)),
-    "spearman_matrix": _sides(lambda a, b: fd.numeric_correlations(a, SPEC, "spearman")),
-    "cramers_v": _sides(lambda a, b: fd.cramers_v(b, SPEC)),
-    "eta_squared": _sides(lambda a, b: fd.eta_squared(a, SPEC)),
+    "pearson_matrix": _all(lambda a: fd.numeric_correlations(a, SPEC)),
+    "spearman_matrix": _all(lambda a: fd.numeric_correlations(a, SPEC, "spearman")),
+    "cramers_v": _all(lambda a: fd.cramers_v(a, SPEC)),
+    "eta_squared": _all(lambda a: fd.eta_squared(a, SPEC)),
     "correlations_l2": _sides(lambda a, b: fd.correlations_l2(a, b, SPEC)),
     "entropy": _sides(lambda a, b: fd.entropies(fq.binned(fq.both_sides(a, b, list(SPEC.features)), SPEC, fq.fit_bins([a], SPEC), 20), SPEC.features)),
     "nmi_pairs": _sides(lambda a, b: fd.nmi_pairs(a, b, SPEC)),
@@ -110,7 +114,7 @@ def _assoc(t: str) -> str:
     return _union([_CORR(t), *[cramer(u, v) for u, v in combinations(CAT, 2)], *[eta(u, v) for u in CAT for v in NUM]])
 
 
-_RANKED = "ranked AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0 AS {c}" for c in NUM) + " FROM train)"
+_RANKED = "ranked AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0 AS {c}" for c in NUM) + " FROM base)"
 _NMI = f"""
     pr AS ({_PAIR_ROWS}), j AS (SELECT side, u, v, a, b, count(*)::DOUBLE AS n FROM pr GROUP BY ALL),
     jp AS (SELECT *, n / sum(n) OVER (PARTITION BY side, u, v) AS p, sum(n) OVER (PARTITION BY side, u, v, a) / sum(n) OVER (PARTITION BY side, u, v) AS pa, sum(n) OVER (PARTITION BY side, u, v, b) / sum(n) OVER (PARTITION BY side, u, v) AS pb FROM j),
@@ -151,10 +155,10 @@ SQL = {
     "shape_scores": f"WITH {BASE_SQL}, {_SHAPE} SELECT variable, round(score, 6) AS score FROM shape",
     "trend_scores": f"WITH {BASE_SQL}, {bins_sql(20)}, {_TREND} SELECT u, v, round(score, 6) AS score FROM trend",
     "shape_trend": f"WITH {BASE_SQL}, {_SHAPE}, {bins_sql(20)}, {_TREND} SELECT 'shape' AS metric, round(avg(score), 6) AS value FROM shape UNION ALL SELECT 'trend', round(avg(score), 6) FROM trend",
-    "pearson_matrix": f"WITH {BASE_SQL} SELECT u, v, round(value, 6) AS value FROM ({_CORR('train')})",
+    "pearson_matrix": f"WITH {BASE_SQL} SELECT u, v, round(value, 6) AS value FROM ({_CORR('base')})",
     "spearman_matrix": f"WITH {BASE_SQL}, {_RANKED} SELECT u, v, round(value, 6) AS value FROM ({_CORR('ranked')})",
-    "cramers_v": f"WITH {BASE_SQL} SELECT u, v, round(value, 6) AS value FROM ({_assoc('syn')}) WHERE u IN {CAT} AND v IN {CAT}",
-    "eta_squared": f"WITH {BASE_SQL} SELECT u, v, round(value, 6) AS value FROM ({_assoc('train')}) WHERE u IN {CAT} AND v IN {NUM}",
+    "cramers_v": f"WITH {BASE_SQL} SELECT u, v, round(value, 6) AS value FROM ({_assoc('base')}) WHERE u IN {CAT} AND v IN {CAT}",
+    "eta_squared": f"WITH {BASE_SQL} SELECT u, v, round(value, 6) AS value FROM ({_assoc('base')}) WHERE u IN {CAT} AND v IN {NUM}",
     "correlations_l2": f"WITH {BASE_SQL} SELECT 'l2' AS metric, round(sqrt(2 * sum(power(a.value - b.value, 2))), 6) AS value FROM ({_assoc('train')}) a JOIN ({_assoc('syn')}) b USING (u, v)",
     "entropy": f"WITH {BASE_SQL}, {bins_sql(20, fit=('train',))}, {_NMI} SELECT side, variable, round(h, 6) AS h FROM ent",
     "nmi_pairs": f"WITH {BASE_SQL}, {bins_sql(20, fit=('train',))}, {_NMI} SELECT side, u, v, round(nmi, 6) AS nmi FROM nmi",
@@ -171,3 +175,4 @@ SQL = {
     "category_proportions": f"""WITH {BASE_SQL}, {_freq(long_sql(CAT))}, ranked AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY p + q DESC, value) AS rn FROM f)
         SELECT variable, CASE WHEN n <= 4 OR rn < 4 THEN value ELSE '__other__' END AS value, round(sum(p), 6) AS real_share, round(sum(q), 6) AS syn_share FROM ranked GROUP BY 1, 2""",
 }
+SQL = {name: real_sql(sql) for name, sql in SQL.items()}

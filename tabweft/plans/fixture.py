@@ -30,8 +30,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str, *roles: str) -> list[DataFrame]:
+    """The rows of each role; ``real`` is train and test, ``all`` every row."""
     all_rows = base(spark, sf_dir)
-    return [all_rows.where(F.col("role") == r).drop("role") for r in roles]
+    which = {"real": F.col("role") != "syn", "all": F.lit(True)}
+    return [all_rows.where(which.get(r, F.col("role") == r)).drop("role") for r in roles]
 
 
 def u_sql(seed: int, name: str, row_id: str) -> str:
@@ -64,3 +66,8 @@ def bins_sql(n: int, fit=("train", "syn"), tables=("train", "syn")) -> str:
 
 def binned_long_sql(columns) -> str:
     return " UNION ALL ".join(f"SELECT side, '{c}' AS variable, {c} AS value FROM binned" for c in columns)
+
+
+def real_sql(sql: str) -> str:
+    """``sql`` with ``train`` standing for all real rows."""
+    return sql.replace("train AS (SELECT * FROM base WHERE role = 'train')", "train AS (SELECT * FROM base WHERE role <> 'syn')")

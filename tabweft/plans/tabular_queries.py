@@ -14,7 +14,7 @@ from tabweft.operators import ml, privacy, scores
 from tabweft.operators import neighbours as nb
 from tabweft.operators import preprocess as pp
 from tabweft.plans.fidelity_queries import rounded
-from tabweft.plans.fixture import BASE_SQL, CAT, NUM, SPEC, base, sides, u_sql
+from tabweft.plans.fixture import BASE_SQL, CAT, NUM, SPEC, base, real_sql, sides, u_sql
 from tabweft.spec import FeatureSpec
 from tabweft.streaming import monitor
 
@@ -68,7 +68,7 @@ def _constraint_model(spark, d):
 
 
 def _space_rows(spark, d):
-    train, syn = sides(spark, d, "train", "syn")
+    train, syn = sides(spark, d, "real", "syn")
     space = nb.MixedSpace(train, SPEC)
     return space.of(train), space.of(syn)
 
@@ -89,12 +89,12 @@ def _sides3(fn):
 
 def _scored(spark, d):
     """Every order with a label and two scores that know a little of it."""
-    rows = base(spark, d).where("role != 'syn'")
+    rows = base(spark, d)
     y = (F.col("status") == "F").cast("int")
     return rows.select(F.col("k").alias("id"), y.alias("y"), F.round(uniform(4, "s1", "k") + 0.3 * y, 3).alias("a"), F.round(uniform(5, "s2", "k") * 2 + 0.1 * y, 2).alias("b"))
 
 
-_SCORED = f"{_W}, sc AS (SELECT k AS id, (status = 'F')::INT AS y, round({u_sql(4, 's1', 'k')} + 0.3e0 * (status = 'F')::INT, 3) AS a, round({u_sql(5, 's2', 'k')} * 2 + 0.1e0 * (status = 'F')::INT, 2) AS b FROM base WHERE role <> 'syn')"
+_SCORED = f"{_W}, sc AS (SELECT k AS id, (status = 'F')::INT AS y, round({u_sql(4, 's1', 'k')} + 0.3e0 * (status = 'F')::INT, 3) AS a, round({u_sql(5, 's2', 'k')} * 2 + 0.1e0 * (status = 'F')::INT, 2) AS b FROM base)"
 
 
 def _attack(spark, d):
@@ -137,7 +137,7 @@ def _roles(spark, d):
 
 
 def _univariate(spark, d):
-    train = sides(spark, d, "train")[0]
+    train = sides(spark, d, "all")[0]
     made = UnivariateGenerator(21, 50).fit(train.select("total", "priority", "status"), ["priority", "status"])._generate(train.count())
     return rounded(made)
 
@@ -210,9 +210,9 @@ QUERIES = {
     "gower_nearest": _nn1,
     "gower_top_3": _top3,
     "dcr_scores": _sides3(lambda tr, te, sy: _long_row(privacy.dcr_once(tr, te, sy, SPEC))),
-    "prdc": lambda spark, d: rounded(nb.prdc(*sides(spark, d, "train", "syn"), SPEC, 5)),
-    "alpha_beta_curves": lambda spark, d: rounded(nb.alpha_beta_curves(*sides(spark, d, "train", "syn"), SPEC)),
-    "alpha_precision_beta_recall": lambda spark, d: rounded(nb.alpha_precision_beta_recall(*sides(spark, d, "train", "syn"), SPEC)),
+    "prdc": lambda spark, d: rounded(nb.prdc(*sides(spark, d, "real", "syn"), SPEC, 5)),
+    "alpha_beta_curves": lambda spark, d: rounded(nb.alpha_beta_curves(*sides(spark, d, "real", "syn"), SPEC)),
+    "alpha_precision_beta_recall": lambda spark, d: rounded(nb.alpha_precision_beta_recall(*sides(spark, d, "real", "syn"), SPEC)),
     "attack_scores": _attack,
     "ensemble_rank_avg": _ensemble("rank_avg"),
     "ensemble_mean": _ensemble("mean"),
@@ -237,12 +237,12 @@ QUERIES = {
     "event_level_counts": lambda spark, d: monitor.level_counts(_table("events")(spark, d), "event_type"),
     "mle": lambda spark, d: _dict(spark, ml.mle(*sides(spark, d, "train", "test", "syn"), _ML_SPEC, "status", model_name="randomforest", params={"numTrees": 10, "maxDepth": 4})),
     "classifier_test": lambda spark, d: _dict(spark, {"auc": ml.classifier_test(*(x := sides(spark, d, "train", "test", "syn"))[:2], x[2].where(uniform(1, "half", "k") < 0.7), x[2].where(uniform(1, "half", "k") >= 0.7), SPEC, params=_SMALL)}),
-    "aia": lambda spark, d: _dict(spark, ml.aia(*sides(spark, d, "train", "syn"), SPEC, ["priority", "bal"], model_name="decisiontree", params={"maxDepth": 4})),
-    "smote_generator": lambda spark, d: rounded(SMOTEGenerator("status").fit((t := sides(spark, d, "train")[0].drop("k")), list(CAT)).generate(1000)),
-    "synthpop_generator": lambda spark, d: rounded(SynthpopGenerator(K=2, max_depth=4).fit(sides(spark, d, "train")[0].drop("k"), list(CAT)).generate(1000)),
-    "arf_generator": lambda spark, d: rounded(ARFGenerator(num_trees=5, max_iters=2, max_depth=5).fit(sides(spark, d, "train")[0].drop("k"), list(CAT)).generate(1000)),
-    "xgbdiffusion_generator": lambda spark, d: rounded(df_.BoostedFlowGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "train")[0].drop("k"), list(CAT)).generate(1000)),
-    "xgbddpm_generator": lambda spark, d: rounded(df_.BoostedDiffusionGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "train")[0].drop("k"), list(CAT)).generate(1000)),
+    "aia": lambda spark, d: _dict(spark, ml.aia(*sides(spark, d, "real", "syn"), SPEC, ["priority", "bal"], model_name="decisiontree", params={"maxDepth": 4})),
+    "smote_generator": lambda spark, d: rounded(SMOTEGenerator("status").fit((t := sides(spark, d, "all")[0].drop("k")), list(CAT)).generate(1000)),
+    "synthpop_generator": lambda spark, d: rounded(SynthpopGenerator(K=2, max_depth=4).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
+    "arf_generator": lambda spark, d: rounded(ARFGenerator(num_trees=5, max_iters=2, max_depth=5).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
+    "xgbdiffusion_generator": lambda spark, d: rounded(df_.BoostedFlowGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
+    "xgbddpm_generator": lambda spark, d: rounded(df_.BoostedDiffusionGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
 }
 
 _LIM = "lim AS (SELECT " + ", ".join(f"min({c})::DOUBLE AS {c}_lo, (max({c}) - min({c}))::DOUBLE AS {c}_w" for c in NUM) + " FROM train)"
@@ -298,7 +298,7 @@ _UNI_Q = "[" + ", ".join(f"{i}e0 / 49" for i in range(50)) + "]"
 
 
 def _cum(c: str) -> str:
-    return f"w_{c} AS (SELECT v, hi, coalesce(lag(hi) OVER (ORDER BY v), 0) AS lo FROM (SELECT {c} AS v, sum(count(*)) OVER (ORDER BY {c}) / (sum(count(*)) OVER ())::DOUBLE AS hi FROM train GROUP BY {c}))"
+    return f"w_{c} AS (SELECT v, hi, coalesce(lag(hi) OVER (ORDER BY v), 0) AS lo FROM (SELECT {c} AS v, sum(count(*)) OVER (ORDER BY {c}) / (sum(count(*)) OVER ())::DOUBLE AS hi FROM base GROUP BY {c}))"
 
 
 SQL = {
@@ -331,7 +331,7 @@ SQL = {
     "hash_sample": f"{_W} SELECT k FROM base ORDER BY {u_sql(12, 'sample', 'k')}, k LIMIT (SELECT count(*) // 3 FROM base)",
     "bootstrap": f"{_W}, i AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM base), n AS (SELECT count(*) AS n FROM base), d AS (SELECT floor({u_sql(13, 'bootstrap', 'i')} * n)::BIGINT AS i, count(*) AS times FROM i, n GROUP BY 1) SELECT k, coalesce(times, 0) AS times FROM i LEFT JOIN d USING (i)",
     "mia_roles": f"{_W}, t AS (SELECT k, row_number() OVER (ORDER BY {u_sql(14, 'mia-test', 'k')}, k) <= floor(0.5e0 * count(*) OVER ()) AS ref FROM test), m AS (SELECT k, row_number() OVER (ORDER BY {u_sql(14, 'mia-train', 'k')}, k) <= floor(0.7e0 * count(*) OVER ()) AS mem FROM train) SELECT k, CASE WHEN ref THEN 'reference' ELSE 'nonmember' END AS part FROM t UNION ALL SELECT k, 'member' FROM m WHERE mem",
-    "univariate_generator": f"{_W}, {_cum('priority')}, {_cum('status')}, q AS (SELECT quantile_cont(total, {_UNI_Q}) AS q FROM train), r AS (SELECT i, {u_sql(21, 'total', 'i')} * 49 AS a, {u_sql(21, 'priority', 'i')} AS b, {u_sql(21, 'status', 'i')} AS c FROM range((SELECT count(*) FROM train)) r(i)) SELECT round(q[floor(a)::INT + 1] + (a - floor(a)) * (q[floor(a)::INT + 2] - q[floor(a)::INT + 1]), 6) AS total, p.v AS priority, s.v AS status FROM r, q, w_priority p, w_status s WHERE b >= p.lo AND b < p.hi AND c >= s.lo AND c < s.hi",
+    "univariate_generator": f"{_W}, {_cum('priority')}, {_cum('status')}, q AS (SELECT quantile_cont(total, {_UNI_Q}) AS q FROM base), r AS (SELECT i, {u_sql(21, 'total', 'i')} * 49 AS a, {u_sql(21, 'priority', 'i')} AS b, {u_sql(21, 'status', 'i')} AS c FROM range((SELECT count(*) FROM base)) r(i)) SELECT round(q[floor(a)::INT + 1] + (a - floor(a)) * (q[floor(a)::INT + 2] - q[floor(a)::INT + 1]), 6) AS total, p.v AS priority, s.v AS status FROM r, q, w_priority p, w_status s WHERE b >= p.lo AND b < p.hi AND c >= s.lo AND c < s.hi",
     "diffusion_schedule_cosine": f"WITH {_BARS(50)} SELECT t, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(alpha_bar, 6) AS alpha_bar FROM sch",
     "diffusion_schedule_linear": "SELECT t::INT AS t, round(beta, 6) AS beta, round(1 - beta, 6) AS alpha, round(exp(sum(ln(1 - beta)) OVER (ORDER BY t)), 6) AS alpha_bar FROM (SELECT t, 20 * 0.0001e0 + t / 49e0 * 20 * (0.02e0 - 0.0001e0) AS beta FROM range(50) r(t))",
     "edm_sigmas": "SELECT t::INT AS t, round(CASE WHEN t < 18 THEN power(power(80e0, 1e0 / 7) + t / 17e0 * (power(0.002e0, 1e0 / 7) - power(80e0, 1e0 / 7)), 7) ELSE 0 END, 6) AS sigma FROM range(19) r(t)",
@@ -341,3 +341,4 @@ SQL = {
     "event_level_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
     "multinomial_posterior": f"{_W} SELECT k, round((0.9e0 * (status = 'F')::INT + 0.1e0 / 3) * (0.7e0 * 0.6e0 + 0.3e0 / 3), 6) AS weight FROM base",
 }
+SQL |= {name: real_sql(SQL[name]) for name in ("gower_nearest", "gower_top_3", "prdc", "alpha_beta_curves", "alpha_precision_beta_recall")}

@@ -14,7 +14,7 @@ CONSTRAINTS = ["total >= 50000", "bal > 0", "month <= 6", "total > bal and month
 
 
 def rounded(df, *names):
-    return df.select(*[F.round(F.col(c), 6).alias(c) if c in names or t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if c in names or t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _sides(fn):

@@ -181,6 +181,11 @@ def _multinomial(spark, d):
     return rounded(base(spark, d).select("k", w.alias("weight")))
 
 
+def _stamped(df):
+    """Timestamps as text, the same in every engine and time zone."""
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 def _long_row(df):
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("e")).select("e.*")
 
@@ -233,8 +238,8 @@ QUERIES = {
     "classifier_attack": lambda spark, d: rounded(privacy.attack("classifier", *sides(spark, d, "train", "test", "syn"), SPEC)),
     "domias_attack": lambda spark, d: rounded(privacy.attack("domias", *sides(spark, d, "train", "test", "syn"), SPEC)),
     "ensemble_attack": lambda spark, d: rounded(privacy.ensemble_attack(*sides(spark, d, "train", "test", "syn"), SPEC)),
-    "event_constraint_rates": lambda spark, d: monitor.constraint_rates(_table("events")(spark, d), ["value >= 50", "event_type != 'click'"]),
-    "event_level_counts": lambda spark, d: monitor.level_counts(_table("events")(spark, d), "event_type"),
+    "event_constraint_rates": lambda spark, d: _stamped(monitor.constraint_rates(_table("events")(spark, d), ["value >= 50", "event_type != 'click'"])),
+    "event_level_counts": lambda spark, d: _stamped(monitor.level_counts(_table("events")(spark, d), "event_type")),
     "mle": lambda spark, d: _dict(spark, ml.mle(*sides(spark, d, "train", "test", "syn"), _ML_SPEC, "status", model_name="randomforest", params={"numTrees": 10, "maxDepth": 4})),
     "classifier_test": lambda spark, d: _dict(spark, {"auc": ml.classifier_test(*(x := sides(spark, d, "train", "test", "syn"))[:2], x[2].where(uniform(1, "half", "k") < 0.7), x[2].where(uniform(1, "half", "k") >= 0.7), SPEC, params=_SMALL)}),
     "aia": lambda spark, d: _dict(spark, ml.aia(*sides(spark, d, "real", "syn"), SPEC, ["priority", "bal"], model_name="decisiontree", params={"maxDepth": 4})),
@@ -337,8 +342,8 @@ SQL = {
     "edm_sigmas": "SELECT t::INT AS t, round(CASE WHEN t < 18 THEN power(power(80e0, 1e0 / 7) + t / 17e0 * (power(0.002e0, 1e0 / 7) - power(80e0, 1e0 / 7)), 7) ELSE 0 END, 6) AS sigma FROM range(19) r(t)",
     "q_sample": f"{_W}, {_BARS(10)} SELECT k, round(sqrt(alpha_bar) * bal / 10000 + sqrt(1 - alpha_bar) * {u_sql(9, 'noise', 'k')}, 6) AS xt FROM base JOIN sch ON t = k % 10",
     "gaussian_posterior": f"{_W}, {_BARS(10)} SELECT k, round(sqrt(alpha_bar / alpha) * beta / (1 - alpha_bar) * bal / 10000 + sqrt(alpha) * (1 - alpha_bar / alpha) / (1 - alpha_bar) * bal / 20000, 6) AS mean, round(beta * (1 - alpha_bar / alpha) / (1 - alpha_bar), 6) AS variance FROM base JOIN sch ON t = k % 10",
-    "event_constraint_rates": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS \"end\", count(*) AS rows, sum((NOT value >= 50)::INT)::BIGINT AS value_gte_50_violations, sum((event_type = 'click')::INT)::BIGINT AS event_type_neq_click_violations FROM events GROUP BY 1, 2",
-    "event_level_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
+    "event_constraint_rates": "SELECT strftime(date_trunc('hour', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS rows, sum((NOT value >= 50)::INT)::BIGINT AS value_gte_50_violations, sum((event_type = 'click')::INT)::BIGINT AS event_type_neq_click_violations FROM events GROUP BY 1, 2",
+    "event_level_counts": "SELECT strftime(date_trunc('day', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
     "multinomial_posterior": f"{_W} SELECT k, round((0.9e0 * (status = 'F')::INT + 0.1e0 / 3) * (0.7e0 * 0.6e0 + 0.3e0 / 3), 6) AS weight FROM base",
 }
 SQL |= {name: real_sql(SQL[name]) for name in ("gower_nearest", "gower_top_3", "prdc", "alpha_beta_curves", "alpha_precision_beta_recall")}

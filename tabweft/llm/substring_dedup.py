@@ -1,13 +1,19 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences at line ends and after sentence marks; a sentence of more than ``LONG`` words is cut
-further after words that a hash picks, so that text without marks has cuts that depend on its words alone. Every
-run of ``RUN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed (ASCII lower case, single spaces) and
-the hashes are joined over all documents. The first occurrence of a span, by doc_id and place, stays; the sentences
-that any other occurrence covers are removed, with the space before them up to the next cut.
+A text is cut into sentences at line ends and after sentence marks; a sentence of ``GAP`` words or more is cut further
+after the word of least hash of every ``GAP`` words (winnowing), so that text without marks has cuts that depend on its
+words alone and no ``GAP`` words are without a cut. From every sentence, and back from every sentence, as many
+consecutive ones as reach ``MIN_WORDS`` words, one or many, are a span. Spans are hashed (ASCII lower case, single
+spaces) and the hashes are joined over all documents. The first occurrence of a span, by doc_id and place, stays; the
+sentences that any other occurrence covers are removed, with the space before them up to the next cut.
 
-A span that very many documents share is one row for each task before it is shuffled (the first occurrence is an
-aggregate), and the join back is split where it is skewed. Sentences of a document are gathered by document only.
+A passage of 2 * GAP + MIN_WORDS - 1 = 35 words or more that repeats has a span in common with its first occurrence,
+wherever its ends lie: a cut lies in its first GAP words, MIN_WORDS words follow, and the next cut comes in GAP words;
+cuts that the words around the passage add lie before the first or after the last of these.
+
+A span that very many documents share is shuffled once for each batch of documents: its other occurrences in the batch
+are known not to be the first and go straight to their documents. The rest meets by span, in order, in one shuffle.
+Sentences of a document are gathered by document only.
 
 Null texts stay null, empty ones empty. Rows that repeat a doc_id are one document to the order of occurrences, and
 lose the sentences at the same places. Empty tables give empty results; clashing column names are not touched.
@@ -21,21 +27,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, mix64, table, text_bytes
 
-#: Consecutive sentences of a span, and the words that it needs.
-RUN = 3
+#: Words that a span needs.
 MIN_WORDS = 12
-#: Words after which a sentence is cut further, at one word of CUT_EVERY.
-LONG = 16
-CUT_EVERY = 6
+#: Words of a sentence of which one is a cut.
+GAP = 12
+#: Sentences of a row of :func:`spans`.
+RUN = 1
 
 _END = re.compile(rb"(?<=[.!?])[ \t\n\r\x0b\x0c]+|[\t\r\x0b\x0c ]*\n[ \t\n\r\x0b\x0c]*")
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
-SPANS = "span long, doc_id long, at int"
+SPANS = "span long, doc_id long, at int, n int, late boolean"
+
+
+def picked(own: list[bytes]) -> list[int]:
+    """Places of the words of least hash (the last of equals) of every GAP consecutive words."""
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in own]
+    out, at = [], -1
+    for i in range(GAP - 1, len(own)):
+        if at <= i - GAP:
+            at = min(range(i - GAP + 1, i + 1), key=lambda j: (hashes[j], -j))
+        elif hashes[i] <= hashes[at]:
+            at = i
+        else:
+            continue
+        out.append(at)
+    return out
 
 
 def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
@@ -44,11 +65,11 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
     begin = 0
     for end, following in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
         own = text[begin:end].lower().split()
-        if len(own) > LONG:
+        if len(own) >= GAP:
             places = [m.end() for m in _WORD.finditer(text, begin, end)]
             first = 0
-            for i, w in enumerate(own[:-1]):
-                if xxhash.xxh3_64_intdigest(w) % CUT_EVERY == 0:
+            for i in picked(own):
+                if i < len(own) - 1:
                     starts.append(begin)
                     words.append(b" ".join(own[first : i + 1]))
                     begin, first = places[i], i + 1
@@ -66,17 +87,25 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
     return starts, words
 
 
-def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first sentences) of the runs of RUN sentences with MIN_WORDS words."""
+def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first sentences, numbers of sentences) of the text's spans."""
     _, words = sentences(text)
-    n = len(words) - RUN + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    counts = np.fromiter((w.count(b" ") + 1 for w in words), np.int64, len(words))
-    total = np.convolve(counts, np.ones(RUN, np.int64), "valid")
-    at = np.flatnonzero(total >= MIN_WORDS)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(b"\n".join(words[i : i + RUN])) for i in at), np.uint64, len(at))
-    return hashes.view(np.int64), at.astype(np.int32)
+    n = len(words)
+    before = np.concatenate([[0], np.cumsum(np.fromiter((w.count(b" ") + 1 for w in words), np.int64, n))]).astype(np.int64)
+    ends = np.searchsorted(before, before[:-1] + MIN_WORDS)
+    starts = np.searchsorted(before, before[1:] - MIN_WORDS, "right") - 1
+    ahead, back = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([ahead * (n + 1) + ends[ahead], starts[back] * (n + 1) + back + 1]))
+    first, end = both // (n + 1), both % (n + 1)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(b"\n".join(words[i:j])) for i, j in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(both))
+    return hashes.view(np.int64), first.astype(np.int32), (end - first).astype(np.int32)
+
+
+def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`windows` by sentence: (hash of span and place in it, sentence) of every sentence of every span."""
+    hashes, first, n = windows(text)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix64(np.repeat(hashes, n).view(np.uint64) + mix64(place + 1)).view(np.int64), (np.repeat(first, n) + place).astype(np.int32)
 
 
 def remove(text: bytes, gone: set[int]) -> bytes:
@@ -89,24 +118,40 @@ def remove(text: bytes, gone: set[int]) -> bytes:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of every document; ``late`` are those that occur earlier in their batch."""
     for batch in batches:
-        found = [spans(t) for t in text_bytes(batch)]
-        ids = [d for d, (h, _) in zip(batch.column("doc_id").to_pylist(), found, strict=True) for _ in range(len(h))]
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(ids, pa.int64()), pa.array(np.concatenate([a for _, a in found]))], names=["span", "doc_id", "at"])
-
-
-def _order():
-    """Documents in ascending doc_id, null last."""
-    return F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("at").alias("place"))
+        found = [windows(t) for t in text_bytes(batch)]
+        if not sum(len(h) for h, _, _ in found):
+            continue
+        h, at, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        of = np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found])
+        ids = batch.column("doc_id")
+        by_order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
+        rank = _ranks(ids, by_order)[of]
+        order = np.lexsort((at, rank, h))
+        group = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        first = order[np.flatnonzero(group)][np.cumsum(group) - 1]
+        late = np.empty(len(h), bool)
+        late[order] = (rank[order] != rank[first]) | (at[order] != at[first])
+        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(of)), pa.array(at), pa.array(n), pa.array(late)], names=["span", "doc_id", "at", "n", "late"])
+
+
+def _ranks(ids: pa.Array, by_order: np.ndarray) -> np.ndarray:
+    """Places of the documents in ascending doc_id, null last; equal ones have the same."""
+    ordered = ids.take(pa.array(by_order)).to_pylist()
+    out = np.zeros(len(ordered), np.int64)
+    out[by_order] = np.cumsum([0, *(x != y for x, y in zip(ordered, ordered[1:], strict=False))])
+    return out
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): the numbers of the sentences that a non-first occurrence of a repeated span covers."""
     every = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _spans, SPANS), "span-rows")
-    firsts = every.groupBy("span").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
-    again = every.join(firsts, "span").where(_order() != F.col("first")).select("doc_id", "at")
-    return again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + RUN - 1)))).alias("gone"))
+    # equal places share a rank, so that neither is an occurrence after the other
+    rank = F.rank().over(Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_last(), "at"))
+    met = every.where("NOT late").withColumn("rank", rank).where("rank > 1")
+    again = every.where("late").select("doc_id", "at", "n").unionByName(met.select("doc_id", "at", "n"))
+    return again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("gone"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,37 @@ def test_against_brute_force(spark):
     assert sd.drop_repeats(docs.limit(0)).count() == 0
     out = sd._cleaned(docs.select("doc_id", "text")).where(F.col("__gone") > 0).count()
     assert out == sum(bool(v) for v in want.values())
+
+
+def test_no_window_of_50_words_is_left_twice(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+
+    def prose(n, lo, hi, mark):
+        out = []
+        while len(out) < n:
+            own = [word() for _ in range(rng.randint(lo, hi))]
+            out += [*own[:-1], own[-1] + mark]
+        return out
+
+    rows = []
+    for lo, hi, mark in [(1, 3, "."), (1, 3, "\n"), (13, 16, "."), (4, 40, "."), (10**3, 10**3, "")]:
+        for _ in range(12):
+            passage = prose(60, lo, hi, mark)
+            at = rng.randint(0, len(passage) - 51)
+            passage = passage[at : at + 51]  # begins and ends inside other sentences
+            rows += [" ".join(prose(rng.randint(5, 60), lo, hi, mark) + [word()] + passage + [word()] + prose(30, lo, hi, mark)) for _ in range(2)]
+    rows.append("menu\nfish\n" + " la " * 80)
+    got = {r.doc_id: r.text for r in sd.drop_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    seen, repeats = set(), 0
+    for i, text in enumerate(rows):
+        of = lambda t: {tuple(w[k : k + 50]) for w in [t.lower().split()] for k in range(len(w) - 49)}
+        own = of(text)
+        repeats += bool(own & seen)
+        assert not of(got[i]) & seen, text
+        seen |= own
+    assert repeats == 60
+    # a repeat goes to its very end, also where fewer than MIN_WORDS words follow the last cut
+    page = " ".join(prose(13, 13, 13, ".")) + " Two more."
+    docs = spark.createDataFrame([(1, page), (2, page)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in sd.drop_repeats(docs).collect()} == {1: page, 2: ""}

@@ -5,11 +5,10 @@ its words lie in 8-word windows that occur twice or more in it.
 
 Line rules: every normalised line (ASCII lower case, single spaces) is hashed, and the distinct documents that
 hold it are counted per host (``source``). A line in more than ``max(min_docs, share * documents of the host)``
-documents is boilerplate and is removed; a document that keeps less than ``MIN_LEFT_PERCENT`` % of its words is
-depleted and rejected. The documents of a line are told apart by the rest of their
-text: by the smallest hash of the 3-word shingles outside the line, for ``KEYS`` hash functions of which the one
-that finds most documents counts. Exact copies, and most near copies, thus count as one document: a large group
-of copies does not make its own lines look like boilerplate; the deduplication stages settle such groups.
+documents is boilerplate and is removed; a document that keeps fewer than ``MIN_WORDS`` words or less than
+``MIN_LEFT_PERCENT`` % of them is depleted and rejected. Documents are told apart by a hash of their whole text
+(its normalised lines), in the count of a line and in that of the host. Exact copies thus count as one document: a
+large group of them does not make its own lines look like boilerplate.
 
 Null or empty texts have no words and fail. Null hosts are one host. Repeated rows are judged alike. Empty
 tables give empty results; other columns are ignored, and kept by :func:`apply_rules`.
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, mix64, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, table, text_bytes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -36,8 +35,6 @@ MIN_DOCS = 50
 #: ... and above this share of the host's documents.
 SHARE = 0.1
 MIN_LEFT_PERCENT = 30
-#: Hash functions that tell the documents of a line apart.
-KEYS = 2
 
 _WS = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -46,7 +43,7 @@ _CONTINUATION_ONLY = bytes(range(0x80)) + bytes(range(0xC0, 0x100))
 _ODD = (np.random.default_rng(9).integers(1, 1 << 63, WINDOW, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 STATS = (
     "doc_id long, row_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, lines array<long>, line_words array<int>, line_keys array<array<long>>"
+    "n_repeat_words long, text_key long, lines array<long>, line_words array<int>"
 )
 
 
@@ -78,32 +75,11 @@ def repeat_words(hashes: np.ndarray) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
-def _line_keys(hashes: np.ndarray, starts: list[int], of_line: list[int]) -> list[list[int]]:
-    """For each hash function and distinct line, the smallest shingle hash outside that line; 0 if there is no other line."""
-    n_lines = max(of_line) + 1
-    padded = np.concatenate([hashes, np.zeros(2, np.uint64)])
-    with np.errstate(over="ignore"):
-        shingles = hashes * _ODD[0] + padded[1:-1] * _ODD[1] + padded[2:] * _ODD[2]
-    out = []
-    for k in range(KEYS):
-        least = np.minimum.reduceat(mix64(shingles ^ _ODD[k]), starts)
-        own = np.full(n_lines, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(own, of_line, least)
-        if n_lines == 1:
-            out.append([0])
-            continue
-        first, second = np.argpartition(own, 1)[:2]
-        keys = np.full(n_lines, own[first], np.uint64)
-        keys[first] = own[second]
-        out.append(keys.view(np.int64).tolist())
-    return out
-
-
-def document_stats(text: bytes) -> tuple[int, int, int, int, int, list[int], list[int], list[list[int]]]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, distinct line hashes, words of each, keys by hash function)."""
+def document_stats(text: bytes) -> tuple[int, int, int, int, int, int, list[int], list[int]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hash of the whole text, distinct line hashes, words of each)."""
     n, dense = 0, text.translate(None, _WS)
     words: list[bytes] = []
-    seen, dups, lines, starts, of_line, counts = set(), 0, {}, [], [], []
+    seen, dups, lines, counts, whole = set(), 0, {}, [], xxhash.xxh3_64()
     for line in text.split(b"\n"):
         own = line.split()
         if not own:
@@ -112,31 +88,31 @@ def document_stats(text: bytes) -> tuple[int, int, int, int, int, list[int], lis
             dups += 1
         else:
             seen.add(line)
-        at = lines.setdefault(xxhash.xxh3_64_intdigest(b" ".join(own).lower()) - (1 << 63), len(lines))
+        plain = b" ".join(own).lower()
+        whole.update(plain + b"\n")
+        at = lines.setdefault(xxhash.xxh3_64_intdigest(plain) - (1 << 63), len(lines))
         if at == len(counts):
             counts.append(0)
         counts[at] += len(own)
-        starts.append(n)
-        of_line.append(at)
         words += own
         n += len(own)
     chars = len(dense) - len(dense.translate(None, _CONTINUATION_ONLY))
     symbols = len(dense) - len(dense.translate(None, _SYMBOLS))
     if not n:
-        return 0, 0, symbols, 0, 0, [], [], [[] for _ in range(KEYS)]
+        return 0, 0, symbols, 0, 0, 0, [], []
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    return n, chars, symbols, dups, repeat_words(hashes), list(lines), counts, _line_keys(hashes, starts, of_line)
+    return n, chars, symbols, dups, repeat_words(hashes), whole.intdigest() - (1 << 63), list(lines), counts
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = list(zip(*map(document_stats, text_bytes(batch)), strict=True))
         rows = pa.array(np.frombuffer(os.urandom(8 * batch.num_rows), np.int64))
         arrays = [batch.column("doc_id"), rows, batch.column("source"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_keys"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "lines", "line_words"])
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -150,14 +126,9 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(source, line, n_docs) of the lines above their host's limit."""
-    each = [F.struct(F.lit(k).alias("k"), F.col("lines").alias("lines"), F.col("line_keys")[k].alias("keys")) for k in range(KEYS)]
-    told = (
-        stats.where(F.size("lines") > 0).select("source", F.explode(F.array(*each)).alias("e"))
-        .select("source", "e.k", F.explode(F.arrays_zip(F.col("e.lines").alias("line"), F.col("e.keys").alias("key"))).alias("l"))
-        .select("source", "k", F.col("l.line").alias("line"), F.col("l.key").alias("key")).distinct()
-    )
-    hosts = stats.groupBy("source").agg(F.count("*").alias("host_docs"))
-    counted = told.groupBy("source", "line", "k").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).groupBy("source", "line").agg(F.max("n").alias("n_docs"))
+    told = stats.select("source", "text_key", F.explode("lines").alias("line")).distinct()
+    hosts = stats.select("source", "text_key").distinct().groupBy("source").agg(F.count("*").alias("host_docs"))
+    counted = told.groupBy("source", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     return counted.join(hosts, "source").where(F.col("n_docs") > share * F.col("host_docs")).select("source", "line", "n_docs")
 
 
@@ -174,9 +145,9 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> Da
     removed = removed_lines(stats, frequent_lines(stats, min_docs, share))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
-    depleted = F.col("removed_words").isNotNull() & (100 * left < MIN_LEFT_PERCENT * F.col("n_words"))
+    depleted = F.col("removed_words").isNotNull() & ((left < MIN_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
     return (
-        stats.drop("lines", "line_words", "line_keys", "source").join(removed, "row_id", "left")
+        stats.drop("lines", "line_words", "text_key", "source").join(removed, "row_id", "left")
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "removed")
     )
 

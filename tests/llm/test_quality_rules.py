@@ -53,3 +53,21 @@ def test_lines_and_verdicts(spark):
     out = {r.doc_id: r.text for r in q.apply_rules(docs, min_docs=10).collect()}
     assert set(out) == {*range(30), *range(40, 80), 94} and all(notice not in t for t in out.values())
     assert q.judge(docs.limit(0)).count() == 0
+
+
+def test_lines_shared_by_all_pages_are_counted_exactly(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("w%d" % rng.randint(0, 10**6) for _ in range(n))
+    shared = [prose(12) for _ in range(8)]
+    rows = [(i, "\n".join([*shared[:4], prose(10), *shared[4:]]), "h") for i in range(400)]
+    rows += [(400 + i, "\n".join([shared[0], prose(25)]), "h") for i in range(100)]
+    rows += [(500 + i, rows[0][1], "h") for i in range(50)]  # copies count once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = {r.line: r.n_docs for r in q.frequent_lines(q.measure(docs)).collect()}
+    assert found == {q.line_hash(x.encode()): 400 + 100 * (x == shared[0]) for x in shared}
+    verdicts = {r.doc_id: r for r in q.judge(docs).collect()}
+    assert all(verdicts[i].removed_words == 96 and not verdicts[i].kept for i in range(400))
+    # a text that falls below the least number of words is depleted, however large its share
+    assert all(verdicts[400 + i].kept for i in range(100))
+    short = spark.createDataFrame([(i, shared[0] + "\n" + prose(15), "k") for i in range(60)], docs.schema)
+    assert not any(r.kept or r.base_failed for r in q.judge(short).collect())

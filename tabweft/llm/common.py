@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabweft.cluster import materialize, new_folder, shared_dir, ship_package, shuffle_partitions
 
-__all__ = ["arrow_map", "materialize", "new_folder", "open_shared", "prepare", "running_offsets", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["arrow_map", "materialize", "new_folder", "open_shared", "prepare", "running_offsets", "shared_dir", "shuffle_partitions", "table", "with_rows"]
 
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory however long the texts are.
 BATCH_BYTES = 8 << 20
@@ -35,6 +35,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def with_rows(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with __row, a number of its own for every row; written out, so that every later read finds the same."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), label)
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, mix64, shuffle_partitions, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, mix64, shuffle_partitions, table, text_bytes, with_rows
 
 SHINGLE = 5
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
@@ -55,7 +55,7 @@ _WORD_ODD = (_SEED.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1
 _MUL = (_SEED.integers(1, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _XOR = _SEED.integers(1, 1 << 63, WIDE, dtype=np.uint64)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SETS = "doc_id long, n_shingles long, class_id long, class_check long, symbols binary, wide binary"
+SETS = "doc_id long, row_id long, n_shingles long, class_id long, class_check long, symbols binary, wide binary"
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -120,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, v in zip(cols, (len(items), *_class_key(items.tobytes()), s[:SYMBOLS].tobytes(), s.astype(np.uint8).tobytes()), strict=True):
                 c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_shingles", "class_id", "class_check", "symbols", "wide"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "row_id", "n_shingles", "class_id", "class_check", "symbols", "wide"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,8 @@ class _Join:
     """State of one run: classes, buckets, and the components found so far."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select(F.col("doc_id").cast("long"), "text")
+        row_id = F.col("__row") if "__row" in docs.columns else F.lit(0).cast("long")
+        self.docs = docs.select(F.col("doc_id").cast("long"), row_id.alias("row_id"), "text")
         self.sets = materialize(arrow_map(self.docs, _sets, SETS), "near-sets")
         some = self.sets.where("n_shingles > 0")
         self.classes = materialize(some.groupBy("class_id", "class_check").agg(F.min("doc_id").alias("doc_id"), F.max("symbols").alias("symbols"), F.max("wide").alias("wide")), "near-classes")
@@ -331,8 +332,8 @@ class _Join:
         return self.items
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, row_id (``__row``, if there), n_shingles, root (null without shingles), component_id."""
     run = _Join(docs)
     run.star(F.col("class_id"))
     run.star(F.xxhash64("key", "class_id"))
@@ -340,15 +341,27 @@ def components(docs: DataFrame) -> DataFrame:
     roots = run.classes.select("class_id", "class_check", "doc_id").join(run.roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     roots = materialize(roots, "near-rooted")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = roots.join(least, "root").select("class_id", "class_check", "component_id")
-    out = run.sets.select("doc_id", "n_shingles", "class_id", "class_check").join(of_class, ["class_id", "class_check"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = roots.join(least, "root").select("class_id", "class_check", "root", "component_id")
+    out = run.sets.select("doc_id", "row_id", "n_shingles", "class_id", "class_check").join(of_class, ["class_id", "class_check"], "left")
+    return out.select("doc_id", "row_id", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    return _rows(docs).drop("row_id", "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each component stays, that with the smallest doc_id; columns as in ``docs``."""
-    gone = components(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents of which one of each component stays, that with the smallest doc_id (null last); columns as in ``docs``.
+
+    Verdicts go by row: of rows with one doc_id each is judged by its own text, and one of a component stays.
+    """
+    keyed = with_rows(docs, "near-rows")
+    rows = materialize(_rows(keyed).where("root IS NOT NULL"), "near-verdicts")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_id")
+    lead = rows.groupBy("root").agg(F.min(order).alias("lead"))
+    gone = rows.join(lead, "root").where(F.col("row_id") != F.col("lead.row_id")).select(F.col("row_id").alias("__row"))
+    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

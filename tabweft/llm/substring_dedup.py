@@ -15,8 +15,8 @@ A span that very many documents share is shuffled once for each batch of documen
 are known not to be the first and go straight to their documents. The rest meets by span, in order, in one shuffle.
 Sentences of a document are gathered by document only.
 
-Null texts stay null, empty ones empty. Rows that repeat a doc_id are one document to the order of occurrences, and
-lose the sentences at the same places. Empty tables give empty results; clashing column names are not touched.
+Null texts stay null, empty ones empty. Rows that repeat a doc_id are documents
+of their own (in the order of a hash of their texts); rows that repeat doc_id and text are one and are cut alike. Empty tables give empty results; clashing column names are not touched.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ RUN = 1
 
 _END = re.compile(rb"(?<=[.!?])[ \t\n\r\x0b\x0c]+|[\t\r\x0b\x0c ]*\n[ \t\n\r\x0b\x0c]*")
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
-SPANS = "span long, doc_id long, at int, n int, late boolean"
+SPANS = "span long, doc_id long, key long, at int, n int, late boolean"
 
 
 def picked(own: list[bytes]) -> list[int]:
@@ -126,32 +126,38 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, at, n = (np.concatenate(c) for c in zip(*found, strict=True))
         of = np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found])
         ids = batch.column("doc_id")
-        by_order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
-        rank = _ranks(ids, by_order)[of]
+        keys = batch.column("key")
+        by_order = np.lexsort((keys.to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
+        rank = _ranks(ids, keys, by_order)[of]
         order = np.lexsort((at, rank, h))
         group = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         first = order[np.flatnonzero(group)][np.cumsum(group) - 1]
         late = np.empty(len(h), bool)
         late[order] = (rank[order] != rank[first]) | (at[order] != at[first])
-        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(of)), pa.array(at), pa.array(n), pa.array(late)], names=["span", "doc_id", "at", "n", "late"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(at), pa.array(n), pa.array(late)], names=["span", "doc_id", "key", "at", "n", "late"])
 
 
-def _ranks(ids: pa.Array, by_order: np.ndarray) -> np.ndarray:
-    """Places of the documents in ascending doc_id, null last; equal ones have the same."""
-    ordered = ids.take(pa.array(by_order)).to_pylist()
+def _ranks(ids: pa.Array, keys: pa.Array, by_order: np.ndarray) -> np.ndarray:
+    """Places of the documents in ascending doc_id, null last, and key; equal ones have the same."""
+    ordered = list(zip(*(c.take(pa.array(by_order)).to_pylist() for c in (ids, keys)), strict=True))
     out = np.zeros(len(ordered), np.int64)
     out[by_order] = np.cumsum([0, *(x != y for x, y in zip(ordered, ordered[1:], strict=False))])
     return out
 
 
+def _key():
+    """Tells the rows of one doc_id apart; rows of one text have the same and lose the same."""
+    return F.xxhash64("text")
+
+
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the numbers of the sentences that a non-first occurrence of a repeated span covers."""
-    every = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _spans, SPANS), "span-rows")
+    """(doc_id, key, gone): the numbers of the sentences that a non-first occurrence of a repeated span covers."""
+    every = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), _key().alias("key"), "text"), _spans, SPANS), "span-rows")
     # equal places share a rank, so that neither is an occurrence after the other
-    rank = F.rank().over(Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_last(), "at"))
+    rank = F.rank().over(Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_last(), "key", "at"))
     met = every.where("NOT late").withColumn("rank", rank).where("rank > 1")
-    again = every.where("late").select("doc_id", "at", "n").unionByName(met.select("doc_id", "at", "n"))
-    return again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("gone"))
+    again = every.where("late").select("doc_id", "key", "at", "n").unionByName(met.select("doc_id", "key", "at", "n"))
+    return again.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("gone"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +175,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with cleaned text, and __gone: how many sentences went."""
-    gone = repeated_sentences(docs).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    gone = repeated_sentences(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left").drop("__id", "__key")
     schema = docs.select("*", F.lit(0).cast("long").alias("__gone")).schema
     return arrow_map(joined, _apply, schema)
 

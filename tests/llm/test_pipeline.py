@@ -71,3 +71,25 @@ def test_names_and_registration():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_with_one_doc_id_are_judged_by_their_own_text(spark):
+    from tabweft.llm import near_dedup
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) + "."
+    base = prose(80)
+    copies = [base[:-1] + f" end{i}." for i in range(3)]
+    rows = [(1, base), (5, copies[0]), (5, prose(80)), (6, prose(40)), (None, copies[1]), (None, prose(60))]
+    twins = prose(70)
+    rows += [(9, twins), (9, twins[:-1] + " more.")]  # near copies under one doc_id: one stays
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in near_dedup.drop_near_copies(docs).collect()]
+    assert sorted(t for _, t in got if twins[:-1] not in t) == sorted(t for _, t in [rows[0], rows[2], rows[3], rows[5]])
+    assert sum(twins[:-1] in t for _, t in got) == 1
+
+    sentences = [prose(9) for _ in range(6)]
+    repeat, own = " ".join(sentences), " ".join(prose(9) for _ in range(6))
+    docs = spark.createDataFrame([(1, repeat), (5, repeat + " " + prose(9)), (5, own), (None, own), (None, prose(9) + " " + prose(9))], "doc_id long, text string")
+    got = {(r.doc_id, len(r.text.split())) for r in sd.drop_repeats(docs).collect()}
+    assert got == {(1, 54), (5, 9), (5, 54), (None, 0), (None, 18)}

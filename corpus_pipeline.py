@@ -20,7 +20,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their host's boilerplate lines."""
-    return _counted(quality_rules.apply_rules(docs))
+    return _counted(quality_rules.apply_rules(docs, without_id=True))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

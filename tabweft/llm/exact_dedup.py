@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, shuffle_partitions, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, shuffle_partitions, table, text_bytes, with_rows
 
 #: Bytes of text that a task holds before it hands its entries on; copies on both sides of it meet in the index.
 FOLD_BYTES = 64 << 20
@@ -36,7 +36,7 @@ MAX_DEPTH = 24
 RANGES_PER_PARTITION = 16
 
 _SPACES = b" \t\n\r\x0b\x0c"
-FOLDED = "doc_id long, entry_id long, key long, lead boolean, members long, text binary"
+FOLDED = "doc_id long, row_id long, entry_id long, key long, lead boolean, members long, text binary"
 INDEX = "bucket long, depth int, key long, chain int, entry_id long, keep_id long, first_entry boolean, group_size long, text_sha256 string"
 
 
@@ -105,28 +105,29 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        ids, entries, keys, leads, counts, texts = [], [], [], [], [], []
+        ids, rows, entries, keys, leads, counts, texts = [], [], [], [], [], [], []
         for text, members in held.items():
-            n, lead = len(members), members.index(min(members, key=_by_id))
-            ids += members
+            n, lead = len(members), members.index(min(members, key=lambda m: _by_id(m[0])))
+            ids += [m[0] for m in members]
+            rows += [m[1] for m in members]
             entries += [int.from_bytes(os.urandom(8), "little") >> 1] * n
             keys += [xxhash.xxh3_64_intdigest(text) - (1 << 63)] * n
             for out, value, rest in ((leads, True, False), (counts, n, None), (texts, text, None)):
                 out += [rest] * n
                 out[lead - n] = value
-        arrays = [pa.array(ids, pa.int64()), pa.array(entries, pa.int64()), pa.array(keys, pa.int64()), pa.array(leads, pa.bool_()), pa.array(counts, pa.int64()), pa.array(texts, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "entry_id", "key", "lead", "members", "text"])
+        arrays = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(entries, pa.int64()), pa.array(keys, pa.int64()), pa.array(leads, pa.bool_()), pa.array(counts, pa.int64()), pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_id", "entry_id", "key", "lead", "members", "text"])
 
     for batch in batches:
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
+        for doc_id, row_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), text_bytes(batch), strict=True):
             text = normalise(raw)
             members = held.get(text)
             if members is None:
-                held[text] = [doc_id]
+                held[text] = [(doc_id, row_id)]
                 size += len(text) + 100
             else:
-                members.append(doc_id)
-                size += 8
+                members.append((doc_id, row_id))
+                size += 16
         if size > FOLD_BYTES:
             yield flush()
             held, size = {}, 0
@@ -184,14 +185,15 @@ def _owner(bits: int):
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, entry_id, lead) of every document, and the index rows; both are files in the shared folder."""
-    folded = materialize(arrow_map(docs.select("doc_id", "text"), _fold, FOLDED), "exact-entries")
+    """(doc_id, row_id, entry_id, lead) of every document, and the index rows; both are files in the shared folder."""
+    row_id = F.col("__row") if "__row" in docs.columns else F.lit(0).cast("long")
+    folded = materialize(arrow_map(docs.select("doc_id", row_id.alias("row_id"), "text"), _fold, FOLDED), "exact-entries")
     parts = shuffle_partitions(docs.sparkSession)
     bits = max(4, (parts * RANGES_PER_PARTITION - 1).bit_length())
     entries = folded.where("lead").withColumn("range", F.shiftrightunsigned("key", 64 - bits))
     owned = entries.select("range", "key", "doc_id", "entry_id", "members", "text").repartition(parts, "range").sortWithinPartitions("key")
     index = materialize(arrow_map(owned, _owner(bits), INDEX), "exact-index")
-    return folded.select("doc_id", "entry_id", "lead"), index
+    return folded.select("doc_id", "row_id", "entry_id", "lead"), index
 
 
 def exact_classes(docs: DataFrame) -> DataFrame:
@@ -199,18 +201,24 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 
     ``kept`` holds for exactly one row of a group, the one with the smallest doc_id (null last).
     """
+    return _rows(docs).drop("row_id")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """:func:`exact_classes` with row_id, which is ``__row`` where there."""
     members, index = build_index(docs)
     joined = members.join(index.select("entry_id", "keep_id", "first_entry", "group_size", "text_sha256"), "entry_id")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("lead") & F.col("first_entry")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", "row_id", "keep_id", "group_size", (F.col("lead") & F.col("first_entry")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents without exact copies; of each group the row with the smallest doc_id stays, with all its columns.
 
-    Rows are matched by doc_id: rows that repeat both doc_id and text stay or go together, rows without doc_id stay.
+    Exactly one row of a group stays, also of rows that repeat both doc_id and text or have no doc_id.
     """
-    dropped = exact_classes(docs).groupBy("doc_id").agg(F.max("kept").alias("__kept")).where(~F.col("__kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    keyed = with_rows(docs, "exact-rows")
+    kept = _rows(keyed).where("kept").select(F.col("row_id").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

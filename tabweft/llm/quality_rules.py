@@ -16,7 +16,6 @@ tables give empty results; other columns are ignored, and kept by :func:`apply_r
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, table, text_bytes, with_rows
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -110,13 +109,13 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         cols = list(zip(*map(document_stats, text_bytes(batch)), strict=True))
-        rows = pa.array(np.frombuffer(os.urandom(8 * batch.num_rows), np.int64))
-        arrays = [batch.column("doc_id"), rows, batch.column("source"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+        arrays = [batch.column("doc_id"), batch.column("row_id"), batch.column("source"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "lines", "line_words"])
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    row_id = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long"), row_id.alias("row_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -141,6 +140,11 @@ def removed_lines(stats: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, removed_words, removed (line hashes)."""
+    return _verdicts(docs, min_docs, share).drop("row_id")
+
+
+def _verdicts(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """:func:`judge` with row_id, which is ``__row`` where there."""
     stats = measure(docs)
     removed = removed_lines(stats, frequent_lines(stats, min_docs, share))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -148,7 +152,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> Da
     depleted = F.col("removed_words").isNotNull() & ((left < MIN_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
     return (
         stats.drop("lines", "line_words", "text_key", "source").join(removed, "row_id", "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "removed")
+        .select("doc_id", "row_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "removed")
     )
 
 
@@ -165,13 +169,16 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array(out, batch.schema.field("text").type)).drop_columns(["__gone"])
 
 
-def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, without_id: bool = False) -> DataFrame:
     """The documents that pass, without their boilerplate lines; columns as in ``docs``.
 
-    Rows that share a doc_id pass if one of them does, and lose the boilerplate of all; rows without doc_id go.
+    Every row is judged by itself, also where several share a doc_id. Rows without doc_id go, unless ``without_id``.
     """
-    verdicts = judge(docs, min_docs, share).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.flatten(F.collect_list("removed")).alias("__gone"))
-    joined = docs.join(verdicts.where("__kept").drop("__kept"), docs["doc_id"] == F.col("__id")).drop("__id")
+    keyed = with_rows(docs, "quality-rows")
+    passed = _verdicts(keyed, min_docs, share).where("kept")
+    if not without_id:
+        passed = passed.where("doc_id IS NOT NULL")
+    joined = keyed.join(passed.select(F.col("row_id").alias("__row"), F.col("removed").alias("__gone")), "__row").drop("__row")
     return arrow_map(joined, _strip, docs.schema)
 
 

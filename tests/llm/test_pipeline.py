@@ -93,3 +93,16 @@ def test_rows_with_one_doc_id_are_judged_by_their_own_text(spark):
     docs = spark.createDataFrame([(1, repeat), (5, repeat + " " + prose(9)), (5, own), (None, own), (None, prose(9) + " " + prose(9))], "doc_id long, text string")
     got = {(r.doc_id, len(r.text.split())) for r in sd.drop_repeats(docs).collect()}
     assert got == {(1, 54), (5, 9), (5, 54), (None, 0), (None, 18)}
+
+
+def test_quality_and_exact_stages_keep_one_row_of_each_text(spark):
+    rng = random.Random(13)
+    prose = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, d), (3, d), (4, e), (4, "short")]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    docs = corpus_pipeline.quality_stage(spark, docs, "").cache()
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=key) == sorted(rows[:-1], key=key)
+    out = corpus_pipeline.exact_stage(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, a), (1, b), (None, c), (3, d), (4, e)], key=key)

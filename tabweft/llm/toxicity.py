@@ -1,10 +1,11 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, and context windows.
 
-* The lexicon is learned from labelled documents: terms that a share of toxic documents hold and few others do.
+* The lexicon is learned from labelled documents: every term that is held by enough toxic documents and few others,
+  so that chance does not explain it in any word of the sample; rare terms too, and as many as there are.
 * :class:`LexiconAutomaton` is the product of the lexicon's trie and a Levenshtein automaton, made deterministic
   step by step: a state is the set of (trie node, errors) that a word's beginning can stand for. A word is read
   once, and most words leave the trie after a few letters. Terms of at least ``ONE_ERROR`` letters allow one error,
-  those of at least ``TWO_ERRORS`` two. Words in use elsewhere (in several harmless labelled documents) are not misspellings.
+  those of at least ``TWO_ERRORS`` two. Words in use elsewhere (in several harmless labelled documents, and in no more toxic ones) are not misspellings.
 * Every hit gets a context score from the words around it: less between quotation marks and after words of
   reporting (quotation), more with other hits close by (abuse). A logistic regression over sums of these scores
   gives the document's score.
@@ -30,12 +31,10 @@ from tabweft.llm.common import arrow_map, materialize, table
 FOLDS = 5
 #: Labelled rows that the lexicon and the regression are fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Terms of the lexicon, at most; the share of toxic documents that hold each, and its least precision.
-LEXICON = 64
-SUPPORT = 0.06
+#: Toxic documents that hold a term of the lexicon, at least, and its least precision.
 MIN_SUPPORT = 5
 PRECISION = 0.6
-#: Harmless documents that make a word one in use.
+#: Harmless documents that make a word one in use, if they are most of its documents.
 IN_USE = 3
 ONE_ERROR, TWO_ERRORS = 5, 8
 #: Words on each side of a hit.
@@ -236,8 +235,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
     words = materialize(arrow_map(texts, _vocabulary, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")), "toxic-words")
     n, share = F.col("n"), F.col("hits") / F.col("n")
     lower = share - 1.0 * F.sqrt(share * (1 - share) / n) - 0.5 / n
-    found = words.where((F.col("hits") >= max(MIN_SUPPORT, SUPPORT * toxic)) & (lower >= PRECISION) & (F.length("word") >= 3))
-    terms = sorted(r["word"] for r in found.orderBy(F.desc("hits"), "word").limit(LEXICON).collect())
+    # Chernoff's bound on so many hits in n documents by chance, over all words of the sample
+    base, tried = toxic / total, max(words.count(), 1)
+    part = lambda x, p: F.when(x > 0, x * F.ln(x / F.lit(p))).otherwise(0.0)
+    chance = n * (part(share, base) + part(1 - share, 1 - base)) >= math.log(tried)
+    found = words.where((F.col("hits") >= MIN_SUPPORT) & (lower >= PRECISION) & (share > base) & chance & (F.length("word") >= 3))
+    terms = sorted(r["word"] for r in found.collect())  # of the bounded sample
     model = ToxicityModel(terms, [], None, toxic / total)
     if terms:
         model.in_use = _established(words, model)
@@ -247,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
 
 
 def _established(words: DataFrame, model: ToxicityModel) -> list[str]:
-    """Words near a term that harmless documents use."""
+    """Words near a term that harmless documents use, and no more toxic ones."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(model.terms)
@@ -255,8 +258,8 @@ def _established(words: DataFrame, model: ToxicityModel) -> list[str]:
             own = [w for w in batch.column("word").to_pylist() if (m := automaton.match(w)) and m[1]]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["word"])
 
-    # as many rows as the bounded sample has words within two errors of at most LEXICON terms
-    return sorted(r["word"] for r in arrow_map(words.where(F.col("n") - F.col("hits") >= IN_USE).select("word"), near, "word string").collect())
+    # as many rows as the bounded sample has words within two errors of a term
+    return sorted(r["word"] for r in arrow_map(words.where((F.col("n") - F.col("hits") >= IN_USE) & (F.col("n") > 2 * F.col("hits"))).select("word"), near, "word string").collect())
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

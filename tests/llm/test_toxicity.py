@@ -68,3 +68,23 @@ def test_learning_scoring_and_folds(spark):
     assert again.terms == model.terms and np.allclose(again.weights, model.weights)
     assert tx.score(docs, tx.learn(docs, labels.limit(0))).agg(tx.F.max("score")).first()[0] == 0
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_rare_terms_and_variants_are_learned(spark):
+    rng = random.Random(4)
+    terms = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(80)]
+    rows, labels = [], []
+    for i in range(5000):
+        words, bad = [f"w{rng.randint(0, 300)}" for _ in range(25)], i % 4 == 0
+        if bad:
+            words.insert(rng.randint(0, 25), rng.choice(terms))  # each term in about 1 % of the toxic documents
+            if i % 8 == 0:
+                words.insert(3, terms[0][:-1] + "é")
+        elif i in (1, 2, 3, 6, 7, 9):
+            words.insert(3, terms[0][:-1] + "é")  # quoted, or labelled wrongly
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = tx.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(terms) <= set(model.terms) <= {*terms, terms[0][:-1] + "é"}
+    assert terms[0][:-1] + "é" not in model.in_use

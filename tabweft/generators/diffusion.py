@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweft.cluster import materialize
 from tabweft.functions.normal import quantile
 from tabweft.functions.randomness import uniform
-from tabweft.generators.base import BaseGenerator, level_shares, weighted_draw
+from tabweft.generators.base import BaseGenerator, level_shares
 from tabweft.spec import as_level, as_number
 
 
@@ -25,8 +25,6 @@ def schedule(spark: SparkSession, steps: int, kind: str = "cosine") -> DataFrame
         beta = F.least(1 - bar(t + 1) / bar(t), F.lit(0.999))
     else:
         raise ValueError("kind is linear or cosine")
-    from pyspark.sql import Window
-
     upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # ``steps`` rows
     rows = spark.range(steps).select(F.col("id").cast("int").alias("t"), beta.alias("beta"))
     return rows.withColumn("alpha", 1 - F.col("beta")).withColumn("alpha_bar", F.exp(F.sum(F.ln("alpha")).over(upto)))
@@ -106,10 +104,26 @@ class _Boosted(BaseGenerator):
         keys = [as_level(c).alias(c) for c in self.spec.discrete]
         scaled = [(2 * (as_number(df, c) - lo) / ((hi - lo) or 1.0) - 1).alias(c) for c, (lo, hi) in self.limits.items()]
         self.rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *scaled, *keys).na.drop(), "boosted")
-        joint = self.rows.groupBy(*self.spec.discrete).agg(F.count("*").alias("n")).orderBy(*self.spec.discrete).limit(10_000).collect() if self.spec.discrete else []
-        self.joint = [(i, [r[c] for c in self.spec.discrete], float(r["n"])) for i, r in enumerate(joint)]
+        self.joint = self._joint() if self.spec.discrete else None
         self.models = [{c: self._model(c, k) for c in self.limits} for k in range(self.steps)]
 
+    def _joint(self) -> DataFrame | None:
+        """Every combination of levels with its stretch [__from, __to) of the rows in order, once for each block of ``width`` rows that it touches."""
+        keys = list(self.spec.discrete)
+        parts = self.rows.groupBy(*keys).agg(F.count("*").alias("__n")).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+        parts = materialize(parts, "levels")
+        count, self.total = parts.agg(F.count("*"), F.sum("__n")).first()
+        if not count:
+            return None
+        self.width = -(-self.total // count)
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        starts = parts.groupBy("__part").agg(F.sum("__n").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+        inside = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        placed = parts.withColumn("__own", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(starts, "__part").withColumn("__from", F.col("__start") + F.col("__own"))
+        block = lambda at: F.floor(at / F.lit(self.width)).cast("long")
+        blocks = F.explode(F.sequence(block(F.col("__from")), block(F.col("__from") + F.col("__n") - 1))).alias("__block")
+        return materialize(placed.select(*keys, "__from", (F.col("__from") + F.col("__n")).alias("__to"), blocks), "levels")
+
     def _noise(self, c: str, row_id: str, name: str) -> Column:
         return quantile(uniform(self.random_state, f"{name}:{c}", row_id))
 
@@ -126,10 +140,10 @@ class _Boosted(BaseGenerator):
 
     def _start(self, n: int) -> DataFrame:
         rows = self.spark.range(n)
-        if self.joint:
-            drawn = weighted_draw(uniform(self.random_state, "levels", "id"), [(i, w) for i, _, w in self.joint])
-            table = self.spark.createDataFrame([(i, *v) for i, v, _ in self.joint], "__l int, " + ", ".join(f"`{c}` string" for c in self.spec.discrete))
-            rows = rows.withColumn("__l", drawn.cast("int")).join(F.broadcast(table), "__l").drop("__l")  # at most 10,000 rows
+        if self.joint is not None:
+            drawn = F.least(F.floor(uniform(self.random_state, "levels", "id") * F.lit(self.total)), F.lit(self.total - 1)).cast("long")
+            rows = rows.withColumn("__at", drawn).withColumn("__block", F.floor(F.col("__at") / F.lit(self.width)).cast("long"))
+            rows = rows.join(self.joint, "__block").where("__at >= __from AND __at < __to").drop("__at", "__block", "__from", "__to")
         return rows.select("*", *[self._noise(c, "id", "start").alias(f"z_{c}") for c in self.limits])
 
     def _finish(self, rows: DataFrame) -> DataFrame:

@@ -114,7 +114,11 @@ def _has_missing(df: DataFrame, columns) -> bool:
 
 
 class MissForest:
-    """Iterated random forests: every column with missing numbers is predicted from all others, from a mean start."""
+    """Iterated random forests: every column with missing numbers is predicted from all others, from a mean start.
+
+    At most ``rounds`` rounds, and none after one in which no imputed value changes by ``tolerance`` times the largest
+    known number.
+    """
 
     def __init__(self, seed: int = 0, trees: int = 20, depth: int = 10, rounds: int = 10, tolerance: float = 1e-3):
         self.seed, self.trees, self.depth, self.rounds, self.tolerance = seed, trees, depth, rounds, tolerance
@@ -131,14 +135,21 @@ class MissForest:
         self.start = {c: row[c] or 0.0 for c in self.numerical}
         missing = [c for c in self.numerical if _has_missing(df, [c])]
         work = self._start(df)
-        for _ in range(min(self.rounds, 3)):
+        for _ in range(self.rounds if missing else 0):
             stage = []
+            work = work.select("*", *[F.col(c).alias(f"__b_{c}") for c in missing])
             for c in missing:
                 model = self._forest(c).fit(self._assembled(work, c).where(~F.col(f"__m_{c}")))
                 stage.append((c, model))
                 work = self._predict(work, c, model)
             work = _cut(work)
             self.models.append(stage)
+            moved = F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col(f"__b_{c}")) for c in missing])
+            known = F.greatest(F.lit(0.0), *[F.when(~F.col(f"__m_{c}"), F.abs(c)).otherwise(0.0) for c in self.numerical])
+            change, largest = work.agg(F.max(moved), F.max(known)).first()
+            if change < self.tolerance * largest:
+                break
+            work = work.drop(*[f"__b_{c}" for c in missing])
         return self
 
     def _start(self, df: DataFrame) -> DataFrame:

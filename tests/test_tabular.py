@@ -36,6 +36,14 @@ def test_imputation(spark):
         pp.TabularImputer("guess")
 
 
+def test_missforest_runs_until_it_converges(spark):
+    df = spark.range(60).select(*[F.when(F.col("id") % 5 != k, F.col("id") * (k + 1.0) + F.col("id") % 3).alias(c) for k, c in enumerate("abc")])
+    fit = lambda **kw: len(pp.MissForest(trees=3, depth=4, **kw).fit(df, list("abc")).models)
+    assert fit(rounds=4, tolerance=-1.0) == 4
+    assert fit(rounds=4, tolerance=1e9) == 1
+    assert fit(rounds=2, tolerance=-1.0) == 2
+
+
 def test_processor_round_trip(spark):
     rows = [(i, 2 * i + 1, 3 * i + 1, 7, "ab"[i % 2]) for i in range(20)]
     df = spark.createDataFrame(rows, "a int, b int, total int, fixed int, g string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,13 +20,21 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), set if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that of ``setCheckpointDir``.
+
+    Where neither is set, a session on one machine gets an own folder; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
-        named = LOCAL_SHARED_DIR
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            named = known.get()
+        elif re.fullmatch(r"local(\[.*\])?", sc.master):
+            named = LOCAL_SHARED_DIR
             sc.setCheckpointDir(named)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return named.rstrip("/")
 
 
@@ -36,12 +45,19 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every folder that this process made in the shared folder; frames that read them are then void."""
+def made() -> list[str]:
+    """The folders that this process made in the shared folder and has not deleted."""
+    return list(_made)
+
+
+def clear(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete these folders (all) that this process made in the shared folder; frames that read them are then void."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        at.getFileSystem(conf).delete(at, True)
+    for path in made() if folders is None else folders:
+        if path in _made:
+            _made.remove(path)
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 @atexit.register

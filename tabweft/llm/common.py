@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabweft.cluster import materialize, new_folder, shared_dir, ship_package, shuffle_partitions
 
-__all__ = ["arrow_map", "materialize", "new_folder", "open_shared", "prepare", "running_offsets", "shared_dir", "shuffle_partitions", "table", "with_rows"]
+__all__ = ["arrow_map", "materialize", "new_folder", "open_shared", "prepare", "running_offsets", "shared_dir", "shuffle_partitions", "table", "unused", "with_rows"]
 
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory however long the texts are.
 BATCH_BYTES = 8 << 20
@@ -30,14 +31,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` after ``prepare``."""
+    """``mapInArrow`` after ``prepare``; a worker gives back what a partition has used before it takes the next."""
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
 
-def with_rows(docs: DataFrame, label: str) -> DataFrame:
-    """``docs`` with __row, a number of its own for every row; written out, so that every later read finds the same."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), label)
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Hand freed memory back to the system; Arrow's pool and the C heap keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rows(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, and that column's name; written out, so that every later read finds the same."""
+    row = unused(docs, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -86,6 +110,9 @@ class _LocalStore:
     def open(self, name: str):
         return open(self._full(name), "rb")
 
+    def remove(self, name: str) -> None:
+        os.remove(self._full(name))
+
 
 class _ArrowStore:
     """The same over any file system that Arrow opens (HDFS, S3, ...)."""
@@ -105,6 +132,9 @@ class _ArrowStore:
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.path}/{name}")
 
+    def remove(self, name: str) -> None:
+        self.fs.delete_file(f"{self.path}/{name}")
+
 
 def open_shared(uri: str):
     """Reader and writer of plain files below a shared folder, usable on driver and executors."""

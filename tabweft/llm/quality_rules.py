@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, table, text_bytes, with_rows
+from tabweft.llm.common import arrow_map, materialize, table, text_bytes, unused, with_rows
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -113,14 +113,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "lines", "line_words"])
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    row_id = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+def _narrow(docs: DataFrame, row: str | None) -> DataFrame:
+    row_id = F.col(row) if row else F.monotonically_increasing_id()
     return docs.select(F.col("doc_id").cast("long"), row_id.alias("row_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One row per document: its counts, its key and its distinct lines."""
-    return materialize(arrow_map(_narrow(docs), _stats, STATS), "quality-stats")
+def measure(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per document: row_id (of column ``row``, or a number of its own), its counts, its key and its distinct lines."""
+    return materialize(arrow_map(_narrow(docs, row), _stats, STATS), "quality-stats")
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -143,9 +143,9 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> Da
     return _verdicts(docs, min_docs, share).drop("row_id")
 
 
-def _verdicts(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """:func:`judge` with row_id, which is ``__row`` where there."""
-    stats = measure(docs)
+def _verdicts(docs: DataFrame, min_docs: int, share: float, row: str | None = None) -> DataFrame:
+    """:func:`judge` with row_id, the value of column ``row``."""
+    stats = measure(docs, row)
     removed = removed_lines(stats, frequent_lines(stats, min_docs, share))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
@@ -156,17 +156,20 @@ def _verdicts(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
     )
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-            if gone:
-                gone = set(gone)
-                lines = text.encode().split(b"\n")
-                text = b"\n".join(x for x in lines if not x.split() or line_hash(x) not in gone).decode()
-            out.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(out, batch.schema.field("text").type)).drop_columns(["__gone"])
+def _strip(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if gone:
+                    gone = set(gone)
+                    lines = text.encode().split(b"\n")
+                    text = b"\n".join(x for x in lines if not x.split() or line_hash(x) not in gone).decode()
+                out.append(text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(out, batch.schema.field("text").type)).drop_columns([column])
+
+    return run
 
 
 def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, without_id: bool = False) -> DataFrame:
@@ -174,12 +177,13 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
 
     Every row is judged by itself, also where several share a doc_id. Rows without doc_id go, unless ``without_id``.
     """
-    keyed = with_rows(docs, "quality-rows")
-    passed = _verdicts(keyed, min_docs, share).where("kept")
+    keyed, row = with_rows(docs, "quality-rows")
+    gone = unused(keyed, "__gone")
+    passed = _verdicts(keyed, min_docs, share, row).where("kept")
     if not without_id:
         passed = passed.where("doc_id IS NOT NULL")
-    joined = keyed.join(passed.select(F.col("row_id").alias("__row"), F.col("removed").alias("__gone")), "__row").drop("__row")
-    return arrow_map(joined, _strip, docs.schema)
+    joined = keyed.join(passed.select(F.col("row_id").alias(row), F.col("removed").alias(gone)), row).drop(row)
+    return arrow_map(joined, _strip(gone), docs.schema)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

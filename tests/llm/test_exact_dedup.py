@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
-from tabweft.llm.exact_dedup import ExtendibleHash, drop_copies, exact_classes, normalise
+import pytest
+
+from tabweft.llm import exact_dedup
+from tabweft.llm.common import new_folder, open_shared
+from tabweft.llm.exact_dedup import ExtendibleHash, build_index, drop_copies, exact_classes, normalise, open_index, read_index
 
 
 def test_normalise_equals_pattern():
@@ -12,17 +16,71 @@ def test_normalise_equals_pattern():
         assert normalise(t.encode()).decode() == re.sub(r"[\x20\x09-\x0d]+", " ", t)
 
 
+def inserted(index, keys):
+    for n, k in enumerate(keys):
+        index.insert(k, b"text %d" % k, [(n, n, 1)])
+    return index
+
+
 def test_directory_doubles_and_keeps_every_key():
     rng = random.Random(2)
-    index, keys = ExtendibleHash(capacity=4), [rng.getrandbits(64) for _ in range(500)] + list(range(40))
-    for k in keys:
-        index.chain(k).append(k)
-    assert index.depth > 5
-    assert sorted(k for _, _, b in index.buckets() for k in b) == sorted(keys)
-    assert all(index.chain(k) == [k] for k in keys)
+    keys = [rng.getrandbits(64) for _ in range(500)] + list(range(40))
+    index = inserted(ExtendibleHash(capacity=4), keys)
+    assert index.depth > 5 and index.keys == len(keys)
+    assert sorted(k for b in index.buckets() for k in b.chains) == sorted(keys)
+    assert all(index.find(k, b"text %d" % k) == [(n, n, 1)] for n, k in enumerate(keys))
+    assert index.find(keys[0], b"another text") == []
+    assert all(len(b.chains) <= 4 or b.depth == index.max_depth for b in index.buckets())
+
+
+def test_colliding_keys_chain_and_texts_are_compared():
+    index = ExtendibleHash(capacity=1, max_depth=3)
+    for n, text in enumerate([b"one", b"two", b"one", b""]):
+        index.insert(77, text, [(n, n, 1)])
+    assert [t for t, _ in index.bucket(index.directory[index.slot(77, index.depth)]).chains[77]] == [b"one", b"two", b""]
+    assert index.find(77, b"one") == [(0, 0, 1), (2, 2, 1)] and index.find(77, b"three") == []
+
+
+def test_file_is_opened_again_and_grown(tmp_path):
+    rng = random.Random(4)
+    store = open_shared(f"file://{tmp_path}")
+    keys = [rng.getrandbits(64) for _ in range(800)]
+    index = inserted(ExtendibleHash(store, "one", capacity=8, cache_bytes=4000), keys[:400])
+    assert index.spilled and index.bytes <= 8000  # most buckets are on disk
+    index.save()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one"]
+    found = open_index(store, "one", capacity=8, cache_bytes=4000)
+    assert found.find(keys[7], b"text %d" % keys[7]) == [(7, 7, 1)] and found.pages_read == 1
+    grown = open_index(store, "one", "two", capacity=8, cache_bytes=4000)
+    for n, k in enumerate(keys[400:], 400):
+        grown.insert(k, b"text %d" % k, [(n, n, 1)])
+    grown.insert(keys[0], b"text %d" % keys[0], [(None, 9000, 3)])
+    grown.save()
+    again = open_index(store, "two")
+    assert again.depth > found.depth and again.keys == len(keys)
+    assert again.find(keys[0], b"text %d" % keys[0]) == [(0, 0, 1), (None, 9000, 3)]
+    assert {k for b in again.buckets() for k in b.chains} == set(keys)
+    with pytest.raises(ValueError, match="no index"):
+        store.write("bad", lambda f: f.write(b"x" * 100))
+        open_index(store, "bad")
+
+
+def test_groups_come_from_the_index_files(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string").repartition(5)
+    folder = new_folder(spark, "test-index")
+    members, manifest = build_index(docs, folder)
+    assert members.count() == 40 and sum(r["keys"] for r in manifest.collect()) == 7
+    groups = read_index(folder, manifest)
+    assert {r.group_size for r in groups.collect()} == {5, 6}
+    first = manifest.orderBy("name").first()["name"]  # without a file its groups are gone
+    open_shared(folder).remove(first)
+    assert read_index(folder, manifest.where(f"name <> '{first}'")).agg({"first_entry": "max"}).count() == 1
+    with pytest.raises(Exception, match="range-"):
+        read_index(folder, manifest).collect()
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FOLD_BYTES", 2000)  # several entries of one text
     rng = random.Random(3)
     texts = [None, "", " ", "a b", "a  b", "a\tb", " a b", "x" * 50_000] + ["t%d" % rng.randint(0, 30) for _ in range(200)]
     rows = [(i, t, "en") for i, t in enumerate(texts)]

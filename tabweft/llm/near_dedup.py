@@ -2,7 +2,7 @@
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes (ASCII lower case; fewer words: the whole
 sequence). Documents of equal sets form a *class* (128-bit key of the sorted set), so exact copies are one row from
-here on.
+here on; classes are numbered, so that their numbers are all different.
 
 Signatures have ``SYMBOLS`` MinHash symbols of 32 bits, split into ``CHUNKS`` chunks of ``CHUNK`` symbols. By the
 pigeonhole principle two signatures that differ in at most 2 * CHUNKS - 1 symbols agree in some chunk up to one
@@ -16,10 +16,12 @@ Links are then found without all pairs of a bucket:
    filter (``WIDE`` symbols, five standard deviations below the threshold), and are confirmed on the full sets.
    Confirmed links are merged into components (large-star / small-star, no driver state). The first round takes
    the smallest class as leader, the second one chosen at random for each bucket.
-2. *Completion*: buckets that still hold several components are compared in full, across components only, in tiles
-   of bounded size. Members of some pair that passes the filter are met again with their full sets, and every such
-   pair whose components are still apart is confirmed there; pairs are never rows. Hence no link between two
-   different components is lost, whatever the leaders were.
+2. *Completion*: buckets that still hold several components are compared across components. They are cut by set size
+   first: sizes of linked sets differ by a third at most, so a member meets only its own band of sizes and the next.
+   The largest component of such a group is compared with all others, not with itself, in tiles of bounded size;
+   members outside it are copied to every tile, those inside only as often as the others fill tiles. Members of some
+   pair that passes the filter are met again with their full sets, and every such pair whose components are still apart
+   is confirmed there; pairs are never rows. Hence no link between two components is lost, whatever the leaders were.
 
 Null or empty texts have empty sets, are linked with nothing and stay. A repeated doc_id gives a row each; a null
 doc_id comes last and stays only if its whole component has none. Empty tables give empty results; other columns are ignored by :func:`components` and kept by :func:`drop_near_copies`.
@@ -27,6 +29,7 @@ doc_id comes last and stays only if its whole component has none. Empty tables g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -47,15 +50,15 @@ SYMBOLS = CHUNK * CHUNKS
 #: Symbols of the byte signature, and how many must agree for a pair to be confirmed on the sets.
 WIDE = 128
 AGREE = 72
-#: Members of one tile of a bucket that is compared in full.
-TILE = 2048
+#: Members of each side of a tile.
+TILE = 512
 
 _SEED = np.random.default_rng(75)
 _WORD_ODD = (_SEED.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MUL = (_SEED.integers(1, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _XOR = _SEED.integers(1, 1 << 63, WIDE, dtype=np.uint64)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SETS = "doc_id long, row_id long, n_shingles long, class_id long, class_check long, symbols binary, wide binary"
+SETS = "doc_id long, row_id long, n_shingles long, key_hi long, key_lo long, symbols binary, wide binary"
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -120,7 +123,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, v in zip(cols, (len(items), *_class_key(items.tobytes()), s[:SYMBOLS].tobytes(), s.astype(np.uint8).tobytes()), strict=True):
                 c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "row_id", "n_shingles", "class_id", "class_check", "symbols", "wide"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "row_id", "n_shingles", "key_hi", "key_lo", "symbols", "wide"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +137,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t).tobytes() for t in text_bytes(batch)]
-        ids = [_class_key(s)[0] for s in sets]  # of the text itself: a doc_id may stand for several
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["class_id", "items"])
+        keys = list(zip(*map(_class_key, sets), strict=True)) or [(), ()]  # of the text itself: a doc_id may stand for several
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(sets, pa.binary())], names=["key_hi", "key_lo", "items"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,64 +155,78 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets], pa.bool_()))
 
 
-def _by_tile(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
-    """The rows of every tile with more than one row; they come sorted by key, tile_a, tile_b, the first ``columns``."""
-    at, rows = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if row[:3] != at:
-                if len(rows) > 1:
-                    yield rows
-                at, rows = row[:3], []
-            rows.append(row)
-    if len(rows) > 1:
-        yield rows
-
+TILE_KEY = ["key", "band", "tile_a", "tile_b"]
+TILE_COLUMNS = [*TILE_KEY, "tile", "own", "class_id", "root", "n_shingles", "symbols", "wide"]
+TILES = "key long, band int, tile_a int, tile_b int, tile int, own boolean, class_id long, root long, n_shingles long, symbols binary, wide binary"
 
-TILE_COLUMNS = ["key", "tile_a", "tile_b", "tile", "class_id", "root", "symbols", "wide"]
 
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every tile with more than one row; they come sorted by TILE_KEY."""
+    at, parts = None, []
 
-def _near_pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a tile to confirm: across components, of byte signatures that agree enough.
+    def whole() -> Iterator[pa.RecordBatch]:
+        if sum(p.num_rows for p in parts) > 1:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    A pair belongs to the first key that both share, so that its other buckets leave it out, and to the tile of its
-    two blocks.
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in TILE_KEY]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for first, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+            key = tuple(int(k[first]) for k in keys)
+            if key != at:
+                yield from whole()
+                at, parts = key, []
+            parts.append(batch.slice(first, end - first))
+    yield from whole()
+
+
+def _near_pairs(tile: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a tile to confirm: across components, of near sizes, of byte signatures that agree enough.
+
+    A pair belongs to the first key that both share, so that its other buckets leave it out, to the lower band of the
+    two, and to the tile of its two blocks.
     """
-    key, tile_a, tile_b = rows[0][:3]
-    ids, roots, blocks = (np.array([r[i] for r in rows]) for i in (4, 5, 3))
-    if (roots == roots[0]).all():
+    key, _, tile_a, tile_b = (tile.column(c)[0].as_py() for c in TILE_KEY)
+    ids, roots, blocks, sizes = (tile.column(c).to_numpy() for c in ("class_id", "root", "tile", "n_shingles"))
+    own = tile.column("own").to_numpy(zero_copy_only=False)
+    if (roots == roots[0]).all() or not own.any():
         return
-    keys = keys_of(np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, SYMBOLS)).view(np.int64)
-    wide = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, WIDE)
-    for k in range(0, len(rows), 32):
-        near = (wide[k : k + 32, None, :] == wide[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
-        near &= (ids[k : k + 32, None] < ids[None, :]) & (roots[k : k + 32, None] != roots[None, :])
+    symbols, wide = (np.frombuffer(b"".join(tile.column(c).to_pylist()), t).reshape(len(ids), -1) for c, t in (("symbols", np.uint32), ("wide", np.uint8)))
+    keys = keys_of(symbols).view(np.int64)
+    for k in range(0, len(ids), 32):
+        some = slice(k, k + 32)
+        near = (ids[some, None] < ids) & (roots[some, None] != roots) & (own[some, None] | own)
+        near &= (100 * sizes[some, None] >= PERCENT * sizes) & (100 * sizes >= PERCENT * sizes[some, None])
         if tile_a != tile_b:
-            near &= blocks[k : k + 32, None] != blocks[None, :]
+            near &= blocks[some, None] != blocks
         x, y = np.nonzero(near)
-        x += k
+        if len(x) > near.size // 4:
+            agree = (wide[some, None, :] == wide[None, :, :]).sum(2, dtype=np.uint8)[x, y] >= AGREE
+        else:
+            agree = (wide[x + k] == wide[y]).sum(1, dtype=np.uint8) >= AGREE
+        x, y = x[agree] + k, y[agree]
         if len(x):
             first = (keys[x] == keys[y]).argmax(1)
-            own = keys[x, first] == key
-            yield x[own], y[own]
+            mine = keys[x, first] == key
+            yield x[mine], y[mine]
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each tile that are in some pair to confirm; never more rows than came."""
-    for rows in _by_tile(batches, TILE_COLUMNS):
-        held = np.zeros(len(rows), bool)
-        for x, y in _near_pairs(rows):
+    for tile in _by_tile(batches):
+        held = np.zeros(tile.num_rows, bool)
+        for x, y in _near_pairs(tile):
             held[x] = held[y] = True
         if held.any():
-            cols = zip(*(rows[i] for i in np.flatnonzero(held)), strict=True)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=TILE_COLUMNS)
+            yield tile.filter(pa.array(held))
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirm a tile's pairs on the full sets; a pair whose components the tile has joined already needs no test."""
-    for rows in _by_tile(batches, [*TILE_COLUMNS, "items"]):
-        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+    for tile in _by_tile(batches):
+        items, ids, roots = tile.column("items"), tile.column("class_id").to_pylist(), tile.column("root").to_pylist()
         above: dict[int, int] = {}
 
         def find(x: int, above=above) -> int:
@@ -218,13 +235,13 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return x
 
         a, b = [], []
-        for xs, ys in _near_pairs(rows):
+        for xs, ys in _near_pairs(tile):
             for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                u, v = find(rows[x][5]), find(rows[y][5])
-                if u != v and linked(sets[x], sets[y]):
+                u, v = find(roots[x]), find(roots[y])
+                if u != v and linked(*(np.frombuffer(items[i].as_buffer(), np.uint64) for i in (x, y))):
                     above[max(u, v)] = min(u, v)
-                    a.append(rows[x][4])
-                    b.append(rows[y][4])
+                    a.append(ids[x])
+                    b.append(ids[y])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -253,12 +270,13 @@ def connect(edges: DataFrame) -> DataFrame:
 class _Join:
     """State of one run: classes, buckets, and the components found so far."""
 
-    def __init__(self, docs: DataFrame):
-        row_id = F.col("__row") if "__row" in docs.columns else F.lit(0).cast("long")
+    def __init__(self, docs: DataFrame, row: str | None = None):
+        row_id = F.col(row) if row else F.lit(0).cast("long")
         self.docs = docs.select(F.col("doc_id").cast("long"), row_id.alias("row_id"), "text")
         self.sets = materialize(arrow_map(self.docs, _sets, SETS), "near-sets")
         some = self.sets.where("n_shingles > 0")
-        self.classes = materialize(some.groupBy("class_id", "class_check").agg(F.min("doc_id").alias("doc_id"), F.max("symbols").alias("symbols"), F.max("wide").alias("wide")), "near-classes")
+        classes = some.groupBy("key_hi", "key_lo").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("symbols").alias("symbols"), F.max("wide").alias("wide"))
+        self.classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "near-classes")
         keys = arrow_map(self.classes.select("class_id", "symbols"), _keys, "key long, class_id long")
         keys = materialize(keys, "near-keys")
         shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -286,19 +304,26 @@ class _Join:
 
     def complete(self) -> None:
         """Compare the buckets that still hold several components, across components."""
-        tiles = F.ceil(F.col("members") / TILE).cast("int")
-        rows = self.rooted().withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
-        rows = rows.join(self.classes.select("class_id", "symbols", "wide"), "class_id")
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        rows = self.rooted().drop("members").join(self.classes.select("class_id", "n_shingles", "symbols", "wide"), "class_id")
+        size_band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / PERCENT)).cast("int")
+        rows = rows.withColumn("size_band", size_band).withColumn("band", F.explode(F.array(F.col("size_band") - 1, F.col("size_band")))).withColumn("own", F.col("band") == F.col("size_band"))
+        group = ["key", "band"]
+        each = rows.groupBy(*group, "root").agg(F.count("*").alias("n"), F.max("own").alias("has"))
+        groups = each.groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("has").alias("has"))
+        groups = groups.where("roots > 1 AND has").select(*group, "major", F.ceil(F.col("n_major") / TILE).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("n_major")) / TILE).cast("int").alias("others"))
+        rows = rows.join(groups, group)
+        large, at = F.col("root") == F.col("major"), F.xxhash64("class_id")
+        rows = rows.withColumn("tile", F.when(large, F.pmod(at, F.col("majors"))).otherwise(F.col("majors") + F.pmod(at, F.col("others"))).cast("int"))
+        # blocks of the largest component do not meet each other
+        other = F.explode(F.sequence(F.when(large, F.col("majors")).otherwise(0), F.col("majors") + F.col("others") - 1))
         rows = rows.withColumn("other", other).withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
-        involved = materialize(arrow_map(self._dealt(rows.select(TILE_COLUMNS)), _involved, "key long, tile_a int, tile_b int, tile int, class_id long, root long, symbols binary, wide binary"), "near-involved")
+        involved = materialize(arrow_map(self._dealt(rows.select(TILE_COLUMNS)), _involved, TILES), "near-involved")
         with_items = involved.join(self._items_of(involved.select("class_id")), "class_id")
         self.join_components(materialize(arrow_map(self._dealt(with_items.select(*TILE_COLUMNS, "items")), _tile_links, "a long, b long"), "near-links"))
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         """Tiles by hash, the rows of a tile together."""
-        tile = ["key", "tile_a", "tile_b"]
-        return rows.repartition(shuffle_partitions(self.docs.sparkSession), *tile).sortWithinPartitions(*tile)
+        return rows.repartition(shuffle_partitions(self.docs.sparkSession), *TILE_KEY).sortWithinPartitions(*TILE_KEY)
 
     def merge(self, pairs: DataFrame) -> None:
         """Confirm candidate pairs on the full sets and join their components."""
@@ -325,24 +350,25 @@ class _Join:
         wanted = classes.distinct()
         if self.items is not None:
             wanted = wanted.join(self.items.select("class_id"), "class_id", "left_anti")
-        holders = self.classes.join(wanted, "class_id").select(F.col("doc_id").alias("holder")).distinct()
-        texts = self.docs.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-        new = materialize(arrow_map(texts.select("text"), _texts, "class_id long, items binary").dropDuplicates(["class_id"]), "near-items")
+        classes = self.classes.join(wanted, "class_id").select("class_id", "key_hi", "key_lo", F.col("doc_id").alias("holder"))
+        texts = self.docs.join(classes.select("holder").distinct(), F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
+        found = arrow_map(texts.select("text"), _texts, "key_hi long, key_lo long, items binary")
+        new = materialize(found.join(classes, ["key_hi", "key_lo"]).select("class_id", "items").dropDuplicates(["class_id"]), "near-items")
         self.items = new if self.items is None else self.items.unionByName(new).dropDuplicates(["class_id"])
         return self.items
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row_id (``__row``, if there), n_shingles, root (null without shingles), component_id."""
-    run = _Join(docs)
+def _rows(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row_id (the value of column ``row``), n_shingles, root (null without shingles), component_id."""
+    run = _Join(docs, row)
     run.star(F.col("class_id"))
     run.star(F.xxhash64("key", "class_id"))
     run.complete()
-    roots = run.classes.select("class_id", "class_check", "doc_id").join(run.roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    roots = run.classes.select("class_id", "key_hi", "key_lo", "doc_id").join(run.roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     roots = materialize(roots, "near-rooted")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = roots.join(least, "root").select("class_id", "class_check", "root", "component_id")
-    out = run.sets.select("doc_id", "row_id", "n_shingles", "class_id", "class_check").join(of_class, ["class_id", "class_check"], "left")
+    of_class = roots.join(least, "root").select("key_hi", "key_lo", "root", "component_id")
+    out = run.sets.select("doc_id", "row_id", "n_shingles", "key_hi", "key_lo").join(of_class, ["key_hi", "key_lo"], "left")
     return out.select("doc_id", "row_id", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -356,12 +382,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Verdicts go by row: of rows with one doc_id each is judged by its own text, and one of a component stays.
     """
-    keyed = with_rows(docs, "near-rows")
-    rows = materialize(_rows(keyed).where("root IS NOT NULL"), "near-verdicts")
+    keyed, row = with_rows(docs, "near-rows")
+    rows = materialize(_rows(keyed, row).where("root IS NOT NULL"), "near-verdicts")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_id")
     lead = rows.groupBy("root").agg(F.min(order).alias("lead"))
-    gone = rows.join(lead, "root").where(F.col("row_id") != F.col("lead.row_id")).select(F.col("row_id").alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
+    gone = rows.join(lead, "root").where(F.col("row_id") != F.col("lead.row_id")).select(F.col("row_id").alias(row))
+    return keyed.join(gone, row, "left_anti").select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabweft.llm import near_dedup as nd
 
@@ -62,7 +64,7 @@ def test_pigeonhole_misses_no_pair_under_the_distance():
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(nd, "TILE", 8)
+    monkeypatch.setattr(nd, "TILE", 4)
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.components(docs).collect()}
@@ -76,3 +78,22 @@ def test_drop_and_nulls_and_empty(spark):
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in nd.components(docs).collect())
     assert got == [(0, 1, False), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]
     assert nd.components(docs.limit(0)).count() == 0
+
+
+def test_completion_alone_finds_every_link(spark, monkeypatch):
+    """Without the star rounds all links come from the tiles."""
+    monkeypatch.setattr(nd, "TILE", 3)
+    rows = corpus(5)
+    run = nd._Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    run.roots = run.classes.select("class_id", F.col("class_id").alias("root")).limit(0)
+    run.complete()
+    roots = run.classes.join(run.roots, "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("root"))
+    groups = defaultdict(set)
+    for r in roots.collect():
+        groups[r["root"]].add(r["doc_id"])
+    want = defaultdict(set)
+    for i, (n, c) in brute(rows).items():
+        if n:
+            want[c].add(i)
+    firsts = {i for g in groups.values() for i in g}  # one document of each class
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g & firsts) for g in want.values())

@@ -5,10 +5,11 @@ page_id, and every task appends gzip members, one for each record, to archives o
 a payload becomes ``response``, the others ``revisit`` records without payload that name it.
 
 Index: one line for each capture, ``<reversed-host URL key> <JSON>``, sorted over all tasks by key and page_id. The first
-level is files of compressed blocks of ``BLOCK_LINES`` lines; the second a sparse directory with the first key,
-file, offset and length of every block. A lookup binary-searches the directory, reads one block (or as many as the
-key fills), and range-reads the records. Reading everything back goes the same way for all blocks at once: blocks
-give capture lines, and these give range reads in the order of the archives.
+level is files of compressed blocks of ``BLOCK_LINES`` lines; the second, at the end of each file, the sparse
+directory of its blocks: first key and page_id, offset and length. A lookup binary-searches the files' first keys (a
+row for each file of the index), then the file's directory, reads one block (or as many as the key fills), and
+range-reads the records. Many lookups are sorted by key first, so that a task reads each of its blocks once, and their
+range reads are dealt and sorted by archive and offset.
 
 Null html counts as an empty payload, a null url gives the empty key. Pages without page_id come after all others.
 Rows that repeat both page_id and payload are all responses or all revisits. An empty table gives no archive and an
@@ -21,9 +22,11 @@ import base64
 import hashlib
 import json
 import os
+import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -40,7 +43,10 @@ DATE = "1970-01-01T00:00:00Z"
 #: Captures of one read task lie within this many bytes of an archive.
 READ_BYTES = 32 << 20
 CAPTURES = "key string, page_id long, line string"
-DIRECTORY = "part int, first string, first_id long, name string, offset long, length int"
+MANIFEST = "part int, name string, first string, first_id long, blocks long, captures long"
+#: The end of an index file: offset and length of its directory.
+_TAIL = struct.Struct("<QQI")
+_MAGIC = 0x43445832
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -146,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort the captures into files of compressed blocks below ``folder``; returns the block directory in order."""
+    """Sort the captures into files of compressed blocks below ``folder``; returns the manifest, one row per file."""
     n = shuffle_partitions(captures.sparkSession)
     # by key and page_id, so that a URL with many captures is spread over files
     ordered = captures.repartitionByRange(n, "key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
@@ -155,7 +161,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        store, name, blocks = open_shared(folder), f"index-{part:06d}-{os.urandom(4).hex()}.cdx.gz", []
+        store, name, directory, count = open_shared(folder), f"index-{part:06d}-{os.urandom(4).hex()}.cdx", [], [0]
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "line")), strict=True))
         head = next(rows, None)
         if head is None:
@@ -168,29 +174,45 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
                 while row is not None and len(lines) < BLOCK_LINES:
                     lines.append(f"{_escape(row[0])} {row[2]}\n")
                     row = next(rows, None)
-                packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                member = packer.compress("".join(lines).encode()) + packer.flush()
+                member = _packed("".join(lines).encode())
                 out.write(member)
-                blocks.append((part, first[0], first[1], name, at, len(member)))
+                directory.append([first[0], first[1], at, len(member)])
+                count[0] += len(lines)
                 at += len(member)
+            member = _packed(json.dumps(directory).encode())
+            out.write(member + _tail(at, len(member)))
 
         store.write(name, fill)
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), kinds, strict=True)], names=["part", "first", "first_id", "name", "offset", "length"])
+        values = (part, name, head[0], head[1], len(directory), count[0])
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "name", "first", "first_id", "blocks", "captures"])
 
-    return materialize(arrow_map(ordered, write, DIRECTORY), "warc-directory")
+    return materialize(arrow_map(ordered, write, MANIFEST), "warc-manifest")
+
+
+def _tail(at: int, length: int) -> bytes:
+    return _TAIL.pack(at, length, _MAGIC)
+
+
+def _packed(raw: bytes) -> bytes:
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
 
 
 def _escape(key: str) -> str:
-    """Keys have no space or line end in a line of the index; the order of keys stays."""
+    """Keys have no space or line end in a line of the index."""
     return key.replace("%", "%25").replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D") if any(c in key for c in "% \n\r") else key
 
 
+def _unescape(key: str) -> str:
+    return key.replace("%0D", "\r").replace("%0A", "\n").replace("%20", " ").replace("%25", "%") if "%" in key else key
+
+
 def _block(store, name: str, offset: int, length: int) -> list[tuple[str, dict]]:
     with store.open(name) as f:
         f.seek(offset)
         text = zlib.decompress(f.read(length), 31).decode()
-    return [(key, json.loads(line)) for key, _, line in (x.partition(" ") for x in text.split("\n")[:-1])]
+    return [(_unescape(key), json.loads(line)) for key, _, line in (x.partition(" ") for x in text.split("\n")[:-1])]
 
 
 def _read(store, at: dict) -> dict:
@@ -199,38 +221,91 @@ def _read(store, at: dict) -> dict:
         return parse(zlib.decompress(f.read(at["length"]), 31))
 
 
+def _order(page_id: int | None) -> tuple[bool, int]:
+    return page_id is not None, page_id or 0
+
+
 class CaptureIndex:
-    """Point lookups: the sparse directory in memory, one block and the records by range reads."""
+    """Lookups by binary search. ``files``: (first key, first page_id, name) of every index file, in order; one block is kept."""
 
-    def __init__(self, folder: str, directory: DataFrame):
-        self.store = open_shared(folder)
-        self.blocks = sorted((tuple(r) for r in directory.collect()), key=lambda r: (r[0], r[4]))  # one row for BLOCK_LINES captures
-        self.firsts = [r[1] for r in self.blocks]
+    def __init__(self, folder: str, files: list[tuple[str, int | None, str]]):
+        self.store, self.files = open_shared(folder), files
+        self.file_keys = [(key, *_order(i)) for key, i, _ in files]
+        self.directories: dict[str, tuple[list, list]] = {}
+        self.held: tuple[tuple, list] | None = None
         self.blocks_read = 0
 
-    def lookup(self, url: str) -> list[dict]:
-        """All captures of a URL as fields of their records."""
-        key = url_key(url)
-        at, found = max(0, bisect_left(self.firsts, key) - 1), []
-        while at < len(self.blocks) and self.firsts[at] <= key:
-            lines = _block(self.store, *self.blocks[at][3:])
+    @classmethod
+    def of(cls, folder: str, manifest: DataFrame) -> CaptureIndex:
+        return cls(folder, index_files(manifest))
+
+    def directory(self, name: str) -> tuple[list, list]:
+        """(keys, [key, page_id, offset, length]) of a file's blocks; read once, the last file's is kept."""
+        if name not in self.directories:
+            with self.store.open(name) as f:
+                f.seek(0, os.SEEK_END)
+                end = f.tell() - _TAIL.size
+                f.seek(end)
+                at, length, magic = _TAIL.unpack(f.read(_TAIL.size))
+                if magic != _MAGIC:
+                    raise ValueError(f"{name} is no index file")
+                f.seek(at)
+                rows = json.loads(zlib.decompress(f.read(length), 31))
+            self.directories = {name: ([(key, *_order(i)) for key, i, _, _ in rows], rows)}
+        return self.directories[name]
+
+    def block(self, name: str, offset: int, length: int) -> list[tuple[str, dict]]:
+        if self.held is None or self.held[0] != (name, offset):
+            self.held = (name, offset), _block(self.store, name, offset, length)
             self.blocks_read += 1
-            own = [k for k, _ in lines]
-            found += [where for k, where in lines[bisect_left(own, _escape(key)) if own == sorted(own) else 0 :] if k == _escape(key)]
+        return self.held[1]
+
+    def places(self, key: str, page_id: int | None = None, any_id: bool = False) -> Iterator[dict]:
+        """Where the captures of a key and page_id (or of all its page_ids) lie: id, file, offset, length."""
+        low = (key,) if any_id else (key, *_order(page_id))
+        past = lambda first: first[: len(low)] > low
+        at = max(0, bisect_left(self.file_keys, low) - 1)
+        while at < len(self.files) and not past(self.file_keys[at]):
+            name = self.files[at][2]
+            firsts, rows = self.directory(name)
+            n = max(0, bisect_left(firsts, low) - 1)
+            while n < len(rows) and not past(firsts[n]):
+                lines = self.block(name, *rows[n][2:])
+                for k in range(bisect_left(lines, key, key=itemgetter(0)), bisect_right(lines, key, key=itemgetter(0))):
+                    if any_id or lines[k][1]["id"] == page_id:
+                        yield lines[k][1]
+                n += 1
             at += 1
-        return [_read(self.store, where) for where in found]
 
+    def lookup(self, url: str) -> list[dict]:
+        """All captures of a URL as fields of their records."""
+        return [_read(self.store, where) for where in self.places(url_key(url), any_id=True)]
+
+
+def index_files(manifest: DataFrame) -> list[tuple[str, int | None, str]]:
+    """(first key, first page_id, name) of every index file, in order: a row for each shuffle partition at most."""
+    return [(r["first"], r["first_id"], r["name"]) for r in manifest.orderBy("part").collect()]
+
+
+def request_keys(pages: DataFrame) -> DataFrame:
+    """(key, page_id) of the pages, each pair once: what :func:`read_archives` looks up."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["page_id"]).append_column("key", pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string()))
+
+    return arrow_map(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")), keys, "page_id long, key string").distinct()
 
-def read_archives(spark: SparkSession, folder: str, directory: DataFrame) -> DataFrame:
-    """Every capture of the index, read from its archive: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    n = shuffle_partitions(spark)
+
+def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, requests: DataFrame) -> DataFrame:
+    """The captures of the requests (key, page_id), found in the index and read from their archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    n, files = shuffle_partitions(spark), index_files(manifest)
 
     def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = open_shared(folder)
+        index = CaptureIndex(folder, files)
         for batch in batches:
-            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("name", "offset", "length")), strict=True):
-                where = [w for _, w in _block(store, name, offset, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in where], k) for c, k in (("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))], names=["file", "offset", "length"])
+            where = [w for key, i in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist(), strict=True) for w in index.places(key, i)]
+            yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in where], k) for c, k in (("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))], names=["file", "offset", "length"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name, source = open_shared(folder), None, None
@@ -249,15 +324,17 @@ def read_archives(spark: SparkSession, folder: str, directory: DataFrame) -> Dat
         if source:
             source.close()
 
-    lines = arrow_map(directory.select("name", "offset", "length").repartition(n), captures, "file string, offset long, length long")
+    asked = requests.select("key", "page_id").repartitionByRange(n, "key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
+    lines = arrow_map(asked, captures, "file string, offset long, length long")
     dealt = lines.withColumn("span", F.floor(F.col("offset") / READ_BYTES)).repartition(n, "file", "span").sortWithinPartitions("file", "offset")
     return arrow_map(dealt.select("file", "offset", "length"), read, RECORDS)
 
 
 def op6_warc_archives(spark, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    directory = write_index(write_archives(table(spark, sf_dir, "pages"), folder), folder)
-    return read_archives(spark, folder, directory)
+    pages = table(spark, sf_dir, "pages")
+    manifest = write_index(write_archives(pages, folder), folder)
+    return read_archives(spark, folder, manifest, request_keys(pages))
 
 
 def oracle_sql() -> str:

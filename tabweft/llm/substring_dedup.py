@@ -30,18 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, mix64, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, table, text_bytes, unused
 
 #: Words that a span needs.
 MIN_WORDS = 12
 #: Words of a sentence of which one is a cut.
 GAP = 12
-#: Sentences of a row of :func:`spans`.
-RUN = 1
 
 _END = re.compile(rb"(?<=[.!?])[ \t\n\r\x0b\x0c]+|[\t\r\x0b\x0c ]*\n[ \t\n\r\x0b\x0c]*")
+#: A span's hash: 96 bits, so that no two of 1e12 spans are taken for equal.
+_HASH = np.dtype([("span", "<i8"), ("check", "<i4"), ("rest", "<i4")])
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
-SPANS = "span long, doc_id long, key long, at int, n int, late boolean"
+SPANS = "span long, check int, doc_id long, key long, at int, n int, late boolean"
 
 
 def picked(own: list[bytes]) -> list[int]:
@@ -88,7 +88,7 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
 
 
 def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first sentences, numbers of sentences) of the text's spans."""
+    """(hashes of span and check, first sentences, numbers of sentences) of the text's spans."""
     _, words = sentences(text)
     n = len(words)
     before = np.concatenate([[0], np.cumsum(np.fromiter((w.count(b" ") + 1 for w in words), np.int64, n))]).astype(np.int64)
@@ -97,15 +97,8 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ahead, back = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
     both = np.unique(np.concatenate([ahead * (n + 1) + ends[ahead], starts[back] * (n + 1) + back + 1]))
     first, end = both // (n + 1), both % (n + 1)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(b"\n".join(words[i:j])) for i, j in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(both))
-    return hashes.view(np.int64), first.astype(np.int32), (end - first).astype(np.int32)
-
-
-def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`windows` by sentence: (hash of span and place in it, sentence) of every sentence of every span."""
-    hashes, first, n = windows(text)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return mix64(np.repeat(hashes, n).view(np.uint64) + mix64(place + 1)).view(np.int64), (np.repeat(first, n) + place).astype(np.int32)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"\n".join(words[i:j])) for i, j in zip(first.tolist(), end.tolist(), strict=True)), _HASH)
+    return hashes, first.astype(np.int32), (end - first).astype(np.int32)
 
 
 def remove(text: bytes, gone: set[int]) -> bytes:
@@ -124,17 +117,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not sum(len(h) for h, _, _ in found):
             continue
         h, at, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        span, check = np.ascontiguousarray(h["span"]), np.ascontiguousarray(h["check"])
         of = np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found])
         ids = batch.column("doc_id")
         keys = batch.column("key")
         by_order = np.lexsort((keys.to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
         rank = _ranks(ids, keys, by_order)[of]
-        order = np.lexsort((at, rank, h))
-        group = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        order = np.lexsort((at, rank, check, span))
+        group = np.concatenate([[True], (span[order][1:] != span[order][:-1]) | (check[order][1:] != check[order][:-1])])
         first = order[np.flatnonzero(group)][np.cumsum(group) - 1]
         late = np.empty(len(h), bool)
         late[order] = (rank[order] != rank[first]) | (at[order] != at[first])
-        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(at), pa.array(n), pa.array(late)], names=["span", "doc_id", "key", "at", "n", "late"])
+        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(check), ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(at), pa.array(n), pa.array(late)], names=["span", "check", "doc_id", "key", "at", "n", "late"])
 
 
 def _ranks(ids: pa.Array, keys: pa.Array, by_order: np.ndarray) -> np.ndarray:
@@ -154,39 +148,44 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, key, gone): the numbers of the sentences that a non-first occurrence of a repeated span covers."""
     every = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), _key().alias("key"), "text"), _spans, SPANS), "span-rows")
     # equal places share a rank, so that neither is an occurrence after the other
-    rank = F.rank().over(Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_last(), "key", "at"))
+    rank = F.rank().over(Window.partitionBy("span", "check").orderBy(F.col("doc_id").asc_nulls_last(), "key", "at"))
     met = every.where("NOT late").withColumn("rank", rank).where("rank > 1")
     again = every.where("late").select("doc_id", "key", "at", "n").unionByName(met.select("doc_id", "key", "at", "n"))
     return again.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("gone"))
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, numbers = [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-            if gone and text:
-                text = remove(text.encode(), set(gone)).decode()
-            out.append(text)
-            numbers.append(len(gone or ()))
-        at = batch.schema.get_field_index("text")
-        batch = batch.set_column(at, "text", pa.array(out, batch.schema.field("text").type))
-        yield batch.set_column(batch.schema.get_field_index("__gone"), "__gone", pa.array(numbers, pa.int64()))
+def _apply(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, numbers = [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if gone and text:
+                    text = remove(text.encode(), set(gone)).decode()
+                out.append(text)
+                numbers.append(len(gone or ()))
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, "text", pa.array(out, batch.schema.field("text").type))
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(numbers, pa.int64()))
+
+    return run
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with cleaned text, and __gone: how many sentences went."""
-    gone = repeated_sentences(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left").drop("__id", "__key")
-    schema = docs.select("*", F.lit(0).cast("long").alias("__gone")).schema
-    return arrow_map(joined, _apply, schema)
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with cleaned text and the number of sentences that went, and that column's name."""
+    count, own_id, own_key = (unused(docs, c) for c in ("__gone", "__id", "__key"))
+    gone = repeated_sentences(docs).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("gone").alias(count))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own_id)) & (_key() == F.col(own_key)), "left").drop(own_id, own_key)
+    schema = docs.select("*", F.lit(0).cast("long").alias(count)).schema
+    return arrow_map(joined, _apply(count), schema), count
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents without repeated spans; columns as in ``docs``. A document may become empty, none is dropped."""
-    return _cleaned(docs).drop("__gone")
+    out, count = _cleaned(docs)
+    return out.drop(count)
 
 
 def op7_sentence_span_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, text (what stays), removed_sentences, changed."""
-    out = _cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__gone").alias("removed_sentences"), (F.col("__gone") > 0).alias("changed"))
+    out, count = _cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col(count).alias("removed_sentences"), (F.col(count) > 0).alias("changed"))

@@ -4,10 +4,11 @@ Leaf i of a word's tree holds (rank, i) of the pair that starts at symbol i, or
 minimum of its children, so the root is the leftmost pair of lowest rank. A merge changes three leaves, whose paths
 to the root are recomputed in logarithmic time; encoding ends when the root is infinite. Trees of equal width are
 kept as rows of one array and advance together, a merge for each word and round. Words are split off by the
-vocabulary's pattern, special tokens first; each distinct word is encoded once per worker while it is remembered.
+pattern that the tokenizer file names, special tokens first; each distinct word is encoded once per worker while it is
+remembered, and with its ids are kept their digits and the bytes that they decode to.
 
-Null texts count as empty (no ids). Very long words are encoded whole, by one tree. Repeated rows and empty tables
-need no care; other columns are ignored.
+Null texts count as empty (no ids). Very long words are encoded whole, by one tree of about 30 bytes a byte. Repeated
+rows and empty tables need no care; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweft.llm.common import arrow_map, table
-from tabweft.llm.vocabulary import MEMO, byte_symbols, default_path
+from tabweft.llm.vocabulary import MEMO, MEMO_BYTES, byte_symbols, default_path
 
-#: Fixed value: how byte-level vocabularies of this kind split a text.
+#: Fixed value: how byte-level vocabularies split a text if their file names no pattern of its own.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of one array of trees.
 TREES = 8192
 #: Text that is split before its new words are encoded.
 SPLIT_BYTES = 1 << 20
 _NONE = np.int64(1) << np.int64(62)
+_IDS, _DIGITS, _BYTES = itemgetter(0), itemgetter(1), itemgetter(2)
+
+
+def split_pattern(spec: dict) -> str:
+    """The pattern by which a tokenizer file splits words; ValueError if it does more than that."""
+    if spec.get("normalizer"):
+        raise ValueError("a byte-level vocabulary with a normalizer is not supported")
+    steps = spec.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [steps])
+    last = steps[-1]
+    if last.get("type") != "ByteLevel" or last.get("add_prefix_space") or spec["model"].get("type") != "BPE" or spec["model"].get("ignore_merges"):
+        raise ValueError("only byte-level BPE without a prefix space is supported")
+    if len(steps) == 1 and last.get("use_regex", True):
+        return SPLIT
+    first = steps[0]
+    isolated = first.get("type") == "Split" and first.get("behavior") == "Isolated" or first.get("behavior") == "Removed" and first.get("invert")
+    if len(steps) != 2 or not isolated or last.get("use_regex", True) or "Regex" not in first["pattern"]:
+        raise ValueError("the file's way of splitting words is not supported")
+    return first["pattern"]["Regex"]
 
 
 class SegmentTreeBpe:
@@ -44,21 +65,23 @@ class SegmentTreeBpe:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         symbols = byte_symbols()
         byte_of = {s: b for b, s in enumerate(symbols)}
-        self.byte_ids = np.array([vocab[s] for s in symbols], np.int64)
+        self.byte_ids = np.array([vocab[s] for s in symbols], np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token_bytes = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = np.append(keys[order], _NONE), np.append(order, 0).astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.split = regex.compile(SPLIT)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.split = regex.compile(split_pattern(spec))
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.digits = {i: b"%d" % i for i in self.token_bytes}
+        self.known: dict[str, tuple[tuple[int, ...], bytes, bytes]] = {}  # word -> ids, their digits, what they decode to
+        self.long: list[str] = []
 
     def _rank(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaf values of the pairs (left, right) at positions ``at``; right < 0: no pair."""
-        key = (left << 32) | np.maximum(right, 0)
+        key = (left.astype(np.int64) << 32) | np.maximum(right, 0)
         found = np.searchsorted(self.keys, key)
         return np.where((right >= 0) & (self.keys[found] == key), (self.ranks[found] << 32) | at, _NONE)
 
@@ -67,16 +90,21 @@ class SegmentTreeBpe:
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
         flat = np.frombuffer(b"".join(words), np.uint8)
-        column = np.arange(width)
-        ids = np.full((n, width + 1), -1, np.int64)  # the last column stands for "no symbol"
+        column = np.arange(width, dtype=np.int32)
+        ids = np.full((n, width + 1), -1, np.int32)  # the last column stands for "no symbol"
         ids[:, :width][column < lengths[:, None]] = self.byte_ids[flat]
-        after = np.tile(np.append(np.minimum(column + 1, width), width), (n, 1))
-        before = np.tile(np.append(np.append(width, column[:-1]), width), (n, 1))
+        after = np.tile(np.append(column + 1, np.int32(width)), (n, 1))
+        before = np.tile(np.concatenate([[width], column[:-1], [width]]).astype(np.int32), (n, 1))
         tree = np.full((n, 2 * width), _NONE)
-        tree[:, width:] = self._rank(ids[:, :width], ids[:, 1:], column)
-        tree[:, width:][ids[:, :width] < 0] = _NONE
-        for i in range(width - 1, 0, -1):
-            np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+        for k in range(0, width, 1 << 16):  # the temporary arrays of a long word stay small
+            some = slice(k, min(k + (1 << 16), width))
+            leaves = self._rank(ids[:, some], ids[:, some.start + 1 : some.stop + 1], column[some])
+            leaves[ids[:, some] < 0] = _NONE
+            tree[:, width + some.start : width + some.stop] = leaves
+        level = width
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
         ids, after, before, tree = ids.ravel(), after.ravel(), before.ravel(), tree.ravel()
         rows = np.arange(n)
         while True:
@@ -129,19 +157,31 @@ class SegmentTreeBpe:
         return list(chain.from_iterable([p] if p in self.special else self.split.findall(p) for p in self.special_split.split(text)))
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not remembered."""
+        """Encode the words that are not remembered; long ones are forgotten by the next call."""
+        for w in self.long:
+            self.known.pop(w, None)
         if len(self.known) > MEMO:
             self.known.clear()
-            self.known |= {s: (i,) for s, i in self.special.items()}
         new = list(words.difference(self.known, self.special))
-        self.known.update(zip(new, self.encode_words(new), strict=True))
-        self.known.update({s: (i,) for s, i in self.special.items()})
+        self.long = [w for w in new if len(w) > MEMO_BYTES]
+        for w, ids in chain(zip(new, self.encode_words(new), strict=True), ((s, (i,)) for s, i in self.special.items())):
+            self.known[w] = ids, b",".join(map(self.digits.__getitem__, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[int, ...]]:
+    def _pieces(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], bytes, bytes]]]:
         words = [self.words_of(t) for t in texts]
         self.learn(set(chain.from_iterable(words)))
         for own in words:
-            yield tuple(chain.from_iterable(map(self.known.__getitem__, own)))
+            yield list(map(self.known.__getitem__, own))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[int, ...]]:
+        for pieces in self._pieces(texts):
+            yield tuple(chain.from_iterable(map(_IDS, pieces)))
+
+    def encode_and_decode(self, texts: list[str]) -> Iterator[tuple[int, bytes, str]]:
+        """(number of ids, their digits joined by commas, the text that they decode to) of each text."""
+        for pieces in self._pieces(texts):
+            raw = b"".join(map(_BYTES, pieces))
+            yield sum(map(len, map(_IDS, pieces))), b",".join(map(_DIGITS, pieces)), raw.decode("utf-8", "replace")
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; broken UTF-8 becomes replacement characters."""
@@ -202,14 +242,13 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        decimal = {i: str(i).encode() for i in bpe.token_bytes}
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for texts in _some(batch.column("text").to_pylist()):
-                for ids in bpe.encode_all(texts):
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                for n, digits, decoded in bpe.encode_and_decode(texts):
+                    counts.append(n)
+                    ids_sha.append(hashlib.sha256(digits).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

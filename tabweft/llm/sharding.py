@@ -5,7 +5,9 @@ A *partial partition* is a tuple of ``n_shards`` byte sums. Differencing takes t
 must not grow with the corpus: groups of more than 1/``BUNDLES`` of all bytes enter alone (there are fewer than
 ``BUNDLES``), all others are first bundled by a hash of their text into ``BUNDLES`` bundles. The driver thus
 differences the sums of at most 2 * ``BUNDLES`` items at any scale, and sends back as many shard numbers, a
-broadcast of fixed size. A group is never divided; one larger than its share alone sets the spread.
+broadcast of fixed size. Adding two partial partitions oppositely ordered never gives a spread above the larger of
+theirs, so the shards' spread is at most the largest item: the largest group, or the largest bundle, which holds
+about 1/``BUNDLES`` of all bytes. A group is never divided; one larger than its share alone sets the spread.
 
 Groups are equal texts (null equals empty), found by a 128-bit hash with sums taken before the shuffle, so a group
 that holds a third of all rows is one row there. Slots are counted over hash chunks of the rows, not over shards
@@ -16,18 +18,16 @@ or groups. Repeated rows each get a slot. Empty tables give empty results; other
 from __future__ import annotations
 
 import heapq
-import os
 import zlib
 from collections.abc import Iterator
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.llm.common import arrow_map, materialize, running_offsets, table, text_bytes
+from tabweft.llm.common import arrow_map, materialize, running_offsets, table, text_bytes, with_rows
 
 N_SHARDS = 24
 #: Bytes of every document besides its text.
@@ -83,9 +83,8 @@ def difference_sizes(sizes: list[int], n_shards: int) -> list[int]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_bytes(batch)
-        uid = np.frombuffer(os.urandom(8 * len(texts)), np.int64)
         keys = np.fromiter((h for t in texts for h in divmod(xxhash.xxh3_128_intdigest(t), 1 << 64)), np.uint64, 2 * len(texts)).view(np.int64)
-        arrays = [batch.column("doc_id"), pa.array(uid), pa.array([len(t) + ROW_BYTES for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(keys[::2]), pa.array(keys[1::2])]
+        arrays = [batch.column("doc_id"), batch.column("uid"), pa.array([len(t) + ROW_BYTES for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(keys[::2]), pa.array(keys[1::2])]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "uid", "size", "text_crc32", "group_key", "group_check"])
 
 
@@ -111,20 +110,27 @@ def place_groups(rows: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``)."""
-    rows = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _rows, ROWS), "shard-rows")
+def _shards(docs: DataFrame, n_shards: int, row: str | None = None) -> DataFrame:
+    """:func:`shard_documents` with uid, the value of column ``row`` or a number of its own for every row."""
+    uid = F.col(row) if row else F.monotonically_increasing_id()
+    rows = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), uid.alias("uid"), "text"), _rows, ROWS), "shard-rows")
     placed = place_groups(rows, n_shards).select("doc_id", "uid", "size", "text_crc32", "shard", F.lit(1).alias("one"))
     slotted = running_offsets(placed, "shard", "uid", "one", "slot")
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return slotted.select("uid", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``)."""
+    return _shards(docs, n_shards).drop("uid")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
-    """Write ``docs`` as Parquet folders ``shard=0`` ... below ``path``; rows are matched by doc_id and text."""
-    shards = shard_documents(docs, n_shards).groupBy("doc_id", "text_crc32").agg(F.first("shard").alias("shard"))
-    keyed = docs.withColumn("__crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    out = keyed.join(shards, keyed["doc_id"].eqNullSafe(shards["doc_id"]) & (keyed["__crc"] == shards["text_crc32"])).drop(shards["doc_id"]).drop("__crc", "text_crc32")
-    out.write.partitionBy("shard").parquet(path)
+    """Write ``docs`` with all its columns as Parquet folders ``shard=0`` ... below ``path``; ValueError if it has a column ``shard``."""
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("a column shard is there already")
+    keyed, row = with_rows(docs, "shard-input")
+    shards = _shards(keyed, n_shards, row).select(F.col("uid").alias(row), "shard")
+    keyed.join(shards, row).drop(row).write.partitionBy("shard").parquet(path)
 
 
 def op4_karmarkar_karp_sharding(spark, sf_dir: str) -> DataFrame:

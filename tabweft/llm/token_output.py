@@ -137,44 +137,34 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     """Encode ``docs`` and write them below ``folder``. Returns the manifest: file, name, documents, ids; one row per file."""
     path = vocabulary or default_path("word_bpe_49k.json")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    n_files = shuffle_partitions(docs.sparkSession)
-    quantiles = docs.agg(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)], 100 * n_files).alias("q")).first()["q"] if n_files > 1 else []
-    bounds = sorted(set(quantiles or []))
-    # file: the number of bounds below the doc_id, by a balanced tree of comparisons
-    at = _count_below(F.col("doc_id"), bounds, 0, len(bounds))
-    ranged = docs.withColumn("file", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
-    dealt = ranged.repartitionById(n_files, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"))
+    # one file for each range of doc_ids
+    dealt = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
     end = np.array([end_id], np.uint32)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        file = TaskContext.get().partitionId()
         words, store = word_vocabulary(path), open_shared(folder)
-        rows = ((f, d, t) for b in batches for f, d, t in zip(b.column("file").to_pylist(), b.column("doc_id").to_pylist(), text_bytes(b), strict=True))
-        row = next(rows, None)
-        while row is not None:
-            file = row[0]
-            name = f"tokens-{file:06d}-{os.urandom(4).hex()}.zst"  # of this attempt; the manifest names the one that counts
-            made: list[FrameWriter] = []
-
-            def fill(out, file=file, made=made) -> None:
-                nonlocal row
-                writer = FrameWriter(out)
-                while row is not None and row[0] == file:
-                    writer.add(row[1], np.concatenate([np.frombuffer(words.encode(row[2]), "<u4"), end]))
-                    row = next(rows, None)
-                writer.close()
-                made.append(writer)
-
-            store.write(name, fill)
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([name]), pa.array([made[0].count], pa.int64()), pa.array([made[0].total], pa.int64())], names=["file", "name", "documents", "ids"])
-
-    return materialize(arrow_map(dealt.select("file", "doc_id", "text"), write, "file int, name string, documents long, ids long"), "token-manifest")
-
-
-def _count_below(column, bounds: list[int], lo: int, hi: int):
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(column <= bounds[mid], _count_below(column, bounds, lo, mid)).otherwise(_count_below(column, bounds, mid + 1, hi))
+        rows = ((d, t) for b in batches for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True))
+        head = next(rows, None)
+        if head is None:
+            return
+        name = f"tokens-{file:06d}-{os.urandom(4).hex()}.zst"  # of this attempt; the manifest names the one that counts
+        made: list[FrameWriter] = []
+
+        def fill(out) -> None:
+            writer, row = FrameWriter(out), head
+            while row is not None:
+                writer.add(row[0], np.concatenate([np.frombuffer(words.encode(row[1]), "<u4"), end]))
+                row = next(rows, None)
+            writer.close()
+            made.append(writer)
+
+        store.write(name, fill)
+        yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([name]), pa.array([made[0].count], pa.int64()), pa.array([made[0].total], pa.int64())], names=["file", "name", "documents", "ids"])
+
+    return materialize(arrow_map(dealt, write, "file int, name string, documents long, ids long"), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

@@ -39,8 +39,9 @@ IN_USE = 3
 ONE_ERROR, TWO_ERRORS = 5, 8
 #: Words on each side of a hit.
 WINDOW = 10
-MEMO = 500_000
-#: Fixed words that report what someone else said.
+#: Words that a worker remembers, the longest of them, and states of the automaton that it keeps; all bound its memory.
+MEMO, MEMO_CHARS, STATES = 250_000, 64, 100_000
+#: Words that report what someone else said, unless the caller names others.
 REPORTING = frozenset("said says quote quoted quotes quoting wrote writes called reported claims claimed shouted yelled sagte sagt schrieb dit disait écrit dijo dice escribió".split())
 _EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "“”„«»‚‘’…—–¿¡"
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
@@ -67,6 +68,10 @@ class LexiconAutomaton:
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], k)
             self.term[node] = n
+        self._forget()
+
+    def _forget(self) -> None:
+        """Back to the first state; the others are made again when a word leads to them."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -106,6 +111,8 @@ class LexiconAutomaton:
         return self._state(pairs)
 
     def match(self, word: str) -> tuple[int, int] | None:
+        if len(self.sets) > STATES:
+            self._forget()
         state = self.start
         if state < 0:
             return None
@@ -122,15 +129,18 @@ class LexiconAutomaton:
 class _Hits(dict):
     """Chunk of text to (term, errors) or None."""
 
-    def __init__(self, automaton: LexiconAutomaton, in_use: frozenset[str]):
-        self.automaton, self.in_use = automaton, in_use
+    def __init__(self, automaton: LexiconAutomaton, in_use: frozenset[str], reporting: frozenset[str] = REPORTING):
+        self.automaton, self.in_use, self.reporting = automaton, in_use, reporting
 
     def __missing__(self, chunk: str):
         word = chunk.strip(_EDGES).lower()
         hit = self.automaton.match(word) if word else None
         if hit and hit[1] and word in self.in_use:
             hit = None
-        self[chunk] = hit
+        if len(chunk) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[chunk] = hit
         return hit
 
 
@@ -147,8 +157,6 @@ def _quoted(chunks: list[str], at: int) -> bool:
 def context_features(text: str | None, hits: _Hits) -> list[float]:
     """Of the hits' context scores: their sum, the largest, and the sum of each term's largest (sums as log1p); zero without a hit."""
     chunks = (text or "").split()
-    if len(hits) > MEMO:
-        hits.clear()
     found = [(i, h) for i, h in enumerate(map(hits.__getitem__, chunks)) if h]
     if not found:
         return [0.0] * FEATURES
@@ -160,7 +168,7 @@ def context_features(text: str | None, hits: _Hits) -> list[float]:
         score = 1.0 - 0.1 * errors
         if inside:
             score *= 0.25
-        if any(c.strip(_EDGES).lower() in REPORTING for c in chunks[max(0, i - WINDOW // 2) : i]):
+        if any(c.strip(_EDGES).lower() in hits.reporting for c in chunks[max(0, i - WINDOW // 2) : i]):
             score *= 0.6
         score *= 1 + 0.25 * min(others, 4)
         total += score
@@ -201,11 +209,11 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class ToxicityModel:
     """Lexicon, words in use, and weights; small, and fitted on a bounded sample."""
 
-    def __init__(self, terms: list[str], in_use: list[str], weights: np.ndarray | None, base: float):
-        self.terms, self.in_use, self.weights, self.base = terms, in_use, weights, base
+    def __init__(self, terms: list[str], in_use: list[str], weights: np.ndarray | None, base: float, reporting: frozenset[str] = REPORTING):
+        self.terms, self.in_use, self.weights, self.base, self.reporting = terms, in_use, weights, base, reporting
 
     def hits(self) -> _Hits:
-        return _Hits(LexiconAutomaton(self.terms), frozenset(self.in_use))
+        return _Hits(LexiconAutomaton(self.terms), frozenset(self.in_use), self.reporting)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -223,15 +231,15 @@ def _features(model: ToxicityModel, keep: list[str]):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, reporting: frozenset[str] = REPORTING) -> ToxicityModel:
+    """Fit on at most ``rows`` labelled documents outside the held-out fold; equal texts count once, with their highest label."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` small rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["text"])
-    texts = materialize(texts.select("text", "toxic"), "toxic-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = materialize(texts.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     total, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == total:
-        return ToxicityModel([], [], None, float(toxic / total) if total else 0.0)
+        return ToxicityModel([], [], None, float(toxic / total) if total else 0.0, reporting)
     words = materialize(arrow_map(texts, _vocabulary, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")), "toxic-words")
     n, share = F.col("n"), F.col("hits") / F.col("n")
     lower = share - 1.0 * F.sqrt(share * (1 - share) / n) - 0.5 / n
@@ -241,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
     chance = n * (part(share, base) + part(1 - share, 1 - base)) >= math.log(tried)
     found = words.where((F.col("hits") >= MIN_SUPPORT) & (lower >= PRECISION) & (share > base) & chance & (F.length("word") >= 3))
     terms = sorted(r["word"] for r in found.collect())  # of the bounded sample
-    model = ToxicityModel(terms, [], None, toxic / total)
+    model = ToxicityModel(terms, [], None, toxic / total, reporting)
     if terms:
         model.in_use = _established(words, model)
         rows_of = arrow_map(texts, _features(model, ["toxic"]), "toxic int, features array<double>").collect()  # the sample

@@ -6,8 +6,8 @@ import re
 
 import numpy as np
 
-#: Entries that a worker remembers before it starts anew; bounds its memory.
-MEMO = 700_000
+#: Entries that a worker remembers before it starts anew, and bytes of the longest word that it remembers; both bound its memory.
+MEMO, MEMO_BYTES = 250_000, 64
 
 #: Words for which normaliser and splitter are the identity but for lower case: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
@@ -26,7 +26,11 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -57,10 +61,6 @@ class WordVocabulary:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        if len(self.words) > MEMO:
-            self.words.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

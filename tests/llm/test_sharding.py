@@ -26,6 +26,37 @@ def test_known_example_in_two_parts():
     assert sorted(sums.values()) == [14, 16]  # differencing leaves 2 here
 
 
+def plain_differencing(sizes, n_shards):
+    """The method on lists, the largest spread found by looking at all."""
+    left = [[0] * (n_shards - 1) + [x] for x in sizes]
+    while len(left) > 1:
+        left.sort(key=lambda p: max(p) - min(p))
+        a, b = sorted(left.pop()), sorted(left.pop(), reverse=True)
+        left.append([x + y for x, y in zip(a, b, strict=True)])
+    return sorted(left[0])
+
+
+def test_against_plain_differencing():
+    rng = random.Random(14)
+    for n_shards in (2, 3, 7):
+        for _ in range(20):
+            sizes = rng.sample(range(1, 10**9), rng.randint(1, 60))  # no ties of spreads but by chance
+            sums = [0] * n_shards
+            for size, shard in zip(sizes, sharding.difference_sizes(sizes, n_shards), strict=True):
+                sums[shard] += size
+            assert sorted(sums) == plain_differencing(sizes, n_shards)
+            assert max(sums) - min(sums) <= max(sizes)  # the bound that the module states
+
+
+def test_written_shards_keep_all_columns(spark, tmp_path):
+    rows = [(1, "a", 7), (1, "a", 8), (1, "b", 9), (None, "a", 10), (2, None, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_crc32 int")
+    sharding.write_shards(docs, f"{tmp_path}/out", 2)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.text_crc32 for r in got.collect()) == [7, 8, 9, 10, 11]
+    assert len({r.shard for r in got.collect() if r.text == "a"}) == 1
+
+
 def test_documents(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUNDLES", 100)
     rng = random.Random(12)

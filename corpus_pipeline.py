@@ -6,11 +6,35 @@ next stage's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweft import cluster
 from tabweft.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
-from tabweft.llm.common import materialize
+
+
+#: Folders that the last stage made in the shared folder.
+_left: list[str] = []
+
+
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage that first deletes what the stage before has left, unless ``docs`` still reads it: its result is written by then."""
+
+    @wraps(run)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        if not any(folder.rsplit("/", 1)[-1] in file for folder in _left for file in read):
+            cluster.clear(spark, _left)
+            _left.clear()
+        before = set(cluster.made())
+        out = run(spark, docs, sf_dir)
+        _left.extend(x for x in cluster.made() if x not in before)
+        return out
+
+    return staged
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -18,26 +42,31 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their host's boilerplate lines."""
     return _counted(quality_rules.apply_rules(docs, without_id=True))
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
     return near_dedup.drop_near_copies(docs)
 
 
+@_stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the sentences that repeat a span of an earlier document."""
     return _counted(substring_dedup.drop_repeats(docs))
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of every document with its place in a sequence."""
     return packing.pack(docs)
@@ -58,5 +87,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cluster.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -369,7 +369,8 @@ def _rows(docs: DataFrame, row: str | None = None) -> DataFrame:
     """:func:`exact_classes` with row_id, the value of column ``row``."""
     folder = new_folder(docs.sparkSession, "exact-index")
     members, manifest = build_index(docs, folder, row)
-    joined = members.join(read_index(folder, manifest), "entry_id")
+    # the manifest's size says nothing about the rows read from its files
+    joined = members.join(read_index(folder, manifest).hint("merge"), "entry_id")
     return joined.select("doc_id", "row_id", "keep_id", "group_size", (F.col("lead") & F.col("first_entry")).alias("kept"), "text_sha256")
 
 

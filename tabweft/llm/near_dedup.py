@@ -279,23 +279,27 @@ class _Join:
         self.classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "near-classes")
         keys = arrow_map(self.classes.select("class_id", "symbols"), _keys, "key long, class_id long")
         keys = materialize(keys, "near-keys")
-        shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        self.buckets = materialize(keys.join(shared, "key").select("key", "class_id", "members"), "near-buckets")
+        shared = materialize(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "near-shared")
+        self.buckets = materialize(keys.join(shared, "key"), "near-buckets")
         self.roots: DataFrame | None = None  # (class_id, root) of classes that are not their own root
         self.items: DataFrame | None = None
 
     def rooted(self) -> DataFrame:
-        """Bucket members with their root, of buckets that hold more than one component."""
+        """Bucket members with their root, of buckets that hold more than one component.
+
+        Here and below what is joined to all members of a bucket is written first: a join of two plain shuffles can be
+        split where a bucket is large, one that follows an aggregation in its own stage cannot.
+        """
         if self.roots is None:
             return self.buckets.withColumn("root", F.col("class_id"))
         found = self.buckets.join(self.roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        mixed = found.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        mixed = materialize(found.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-mixed-keys")
         return materialize(found.join(mixed, "key"), "near-mixed")
 
     def star(self, by) -> None:
         """Pair every member with its bucket's leader, the first by ``by``; merge what is confirmed."""
         members = self.rooted()
-        lead = members.groupBy("key").agg(F.min_by(F.struct("class_id", "root"), by).alias("lead"))
+        lead = materialize(members.groupBy("key").agg(F.min_by(F.struct("class_id", "root"), by).alias("lead")), "near-leaders")
         pairs = members.join(lead, "key").where((F.col("class_id") != F.col("lead.class_id")) & (F.col("root") != F.col("lead.root")))
         pairs = pairs.select(F.least("class_id", "lead.class_id").alias("a"), F.greatest("class_id", "lead.class_id").alias("b")).distinct()
         wide = self.classes.select("class_id", "wide")
@@ -304,14 +308,14 @@ class _Join:
 
     def complete(self) -> None:
         """Compare the buckets that still hold several components, across components."""
-        rows = self.rooted().drop("members").join(self.classes.select("class_id", "n_shingles", "symbols", "wide"), "class_id")
+        rows = self.rooted().join(self.classes.select("class_id", "n_shingles", "symbols", "wide"), "class_id")
         size_band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / PERCENT)).cast("int")
         rows = rows.withColumn("size_band", size_band).withColumn("band", F.explode(F.array(F.col("size_band") - 1, F.col("size_band")))).withColumn("own", F.col("band") == F.col("size_band"))
         group = ["key", "band"]
         each = rows.groupBy(*group, "root").agg(F.count("*").alias("n"), F.max("own").alias("has"))
         groups = each.groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("has").alias("has"))
         groups = groups.where("roots > 1 AND has").select(*group, "major", F.ceil(F.col("n_major") / TILE).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("n_major")) / TILE).cast("int").alias("others"))
-        rows = rows.join(groups, group)
+        rows = rows.join(materialize(groups, "near-groups"), group)
         large, at = F.col("root") == F.col("major"), F.xxhash64("class_id")
         rows = rows.withColumn("tile", F.when(large, F.pmod(at, F.col("majors"))).otherwise(F.col("majors") + F.pmod(at, F.col("others"))).cast("int"))
         # blocks of the largest component do not meet each other

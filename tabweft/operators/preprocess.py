@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabweft.functions.binning import bin_index, edges, ranges
 from tabweft.functions.expressions import translate
+from tabweft.functions.order import exact_quantiles
 from tabweft.spec import as_number
 
 IMPUTATIONS = ("drop", "keep", "mean", "median", "most_frequent", "missforest")
@@ -84,7 +85,10 @@ class TabularImputer:
             self.forest = MissForest(self.random_state).fit(df, self.numerical)
             self.values = {}
             return self
-        fill = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "most_frequent": lambda c: F.mode(c, True)}[self.method]
+        if self.method == "median":
+            self.values = {c: (exact_quantiles(df, as_number(df, c), [0.5]) or [None])[0] for c in self.numerical}
+            return self
+        fill = {"mean": F.avg, "most_frequent": lambda c: F.mode(c, True)}[self.method]
         row = df.agg(*[fill(as_number(df, c)).alias(f"v{i}") for i, c in enumerate(self.numerical)]).first()
         self.values = {c: row[f"v{i}"] for i, c in enumerate(self.numerical)}
         return self
@@ -326,8 +330,7 @@ class QuantileMap:
     @classmethod
     def fit(cls, df: DataFrame, column: str, n: int = 1000) -> QuantileMap:
         n = max(2, min(n, df.count()))
-        at = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-        return cls(list(df.agg(F.percentile(as_number(df, column), at).alias("q")).first()["q"] or []))
+        return cls(exact_quantiles(df, as_number(df, column), [i / (n - 1) for i in range(n)]) or [])
 
     def value(self, u: Column) -> Column:
         """The quantile at level ``u`` in [0, 1]."""

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweft.cluster import ship_package
+from tabweft.cluster import materialize, ship_package
+from tabweft.functions.order import exact_quantiles
 from tabweft.functions.randomness import hash_sample, uniform
 from tabweft.operators import scores
-from tabweft.operators.ml import ml_task
+from tabweft.operators.ml import ml_task, resolve_model_name
 from tabweft.operators.neighbours import MixedSpace, nearest
 from tabweft.spec import FeatureSpec, as_level, as_number
 
@@ -27,18 +28,17 @@ def dcr_once(train: DataFrame, test: DataFrame, syn: DataFrame, spec: FeatureSpe
     """One row of all scores for three sets as they are."""
     space = space or MixedSpace(train, spec)
     tr, te, sy = space.of(train), space.of(test), space.of(syn)
-    to_train, to_test, control = _two(sy, tr), nearest(sy, te, 1).select("id", F.col("d").alias("dt")), _two(te, tr)
-    levels = F.array(F.lit(0.02), F.lit(0.05))
-    limits = control.agg(F.percentile("d1", levels).alias("q"), F.avg("nndr").alias("nndr_baseline"), F.percentile("nndr", levels).alias("b"))
-    rows = to_train.join(to_test, "id").join(F.broadcast(limits))  # one row
+    control = materialize(_two(te, tr), "dcr-control")
+    rows = materialize(_two(sy, tr).join(nearest(sy, te, 1).select("id", F.col("d").alias("dt")), "id"), "dcr-rows")
+    levels = [0.02, 0.05]
+    q, b, n = ((exact_quantiles(df, c, levels) or [None, None]) for df, c in ((control, "d1"), (control, "nndr"), (rows, "nndr")))
+    base = control.agg(F.avg("nndr")).first()[0]
     share = lambda c: F.avg(c.cast("double"))
-    one = rows.agg(
-        share(F.col("d1") < F.col("dt")).alias("train"), share(F.col("d1") < F.col("q")[0]).alias("002"), share(F.col("d1") < F.col("q")[1]).alias("005"),
-        F.avg("nndr").alias("nndr_train"), F.percentile("nndr", levels).alias("n"), F.max("nndr_baseline").alias("nndr_baseline"), F.max("b").alias("b"),
-    )
+    one = rows.agg(share(F.col("d1") < F.col("dt")).alias("train"), share(F.col("d1") < F.lit(q[0])).alias("002"), share(F.col("d1") < F.lit(q[1])).alias("005"), F.avg("nndr").alias("nndr_train"))
+    value = lambda x: F.lit(x).cast("double")
     return one.select(
         F.least(F.lit(1.0), 2 * (1 - F.col("train"))).alias("score"), "train", (1 - F.col("train")).alias("test"), "002", "005",
-        "nndr_train", F.col("n")[0].alias("nndr_train_002"), F.col("n")[1].alias("nndr_train_005"), "nndr_baseline", F.col("b")[0].alias("nndr_baseline_002"), F.col("b")[1].alias("nndr_baseline_005"),
+        "nndr_train", value(n[0]).alias("nndr_train_002"), value(n[1]).alias("nndr_train_005"), value(base).alias("nndr_baseline"), value(b[0]).alias("nndr_baseline_002"), value(b[1]).alias("nndr_baseline_005"),
     )
 
 
@@ -155,23 +155,40 @@ def domias_scores(reference: DataFrame, syn: DataFrame, rows: DataFrame, spec: F
 ATTACKS = {"domias": domias_scores, "dpi": dpi_scores, "classifier": classifier_scores}
 
 
+def attack_of(name: str):
+    """The scores of an attack by name; ``classifier-<model>`` is the classifier attack with that model."""
+    kind, _, model = name.partition("-")
+    if kind not in ATTACKS or (model and kind != "classifier"):
+        raise ValueError(f"unknown attack {name!r}; attacks are {sorted(ATTACKS)} and classifier-<model>")
+    if not model:
+        return ATTACKS[kind]
+    resolve_model_name(model)
+    return lambda *args, **kw: classifier_scores(*args, model_name=model, **kw)
+
+
 def attack(name: str, train: DataFrame, test: DataFrame, syn: DataFrame, spec: FeatureSpec, ref_prop: float = 0.5, member_prop: float = 1.0, seed: int = 0) -> DataFrame:
     """(metric, value) of one attack."""
-    reference, rows = mia_roles(train, test, spec, ref_prop, member_prop, seed)
-    found = ATTACKS[name](reference, syn, rows, spec)
+    reference, rows = (materialize(x, "mia-roles") for x in mia_roles(train, test, spec, ref_prop, member_prop, seed))
+    found = attack_of(name)(reference, syn, rows, spec)
     return scores.attack_scores(found.join(rows.select(F.col(spec.id).alias("id"), "y"), "id"))
 
 
 def ensemble_attack(train: DataFrame, test: DataFrame, syn: DataFrame, spec: FeatureSpec, include=("dpi", "classifier"), how: str = "rank_avg", seed: int = 0) -> DataFrame:
-    """(component, metric, value) of the components and of their combination, ``ensemble``."""
-    reference, rows = mia_roles(train, test, spec, seed=seed)
-    wide = rows.select(F.col(spec.id).alias("id"), "y")
-    for name in include:
-        wide = wide.join(ATTACKS[name](reference, syn, rows, spec).withColumnRenamed("score", name), "id")
-    combined = scores.ensemble(wide, list(include), how)
+    """(component, metric, value) of the components and of their combination, ``ensemble``.
+
+    The rows with all components' scores are written once.
+    """
+    reference, rows = (materialize(x, "mia-roles") for x in mia_roles(train, test, spec, seed=seed))
+    syn = materialize(syn, "mia-syn")
+    wide, columns = rows.select(F.col(spec.id).alias("id"), "y"), []
+    for i, name in enumerate(include):
+        columns.append(f"c{i}")
+        wide = wide.join(materialize(attack_of(name)(reference, syn, rows, spec).select("id", F.col("score").alias(columns[-1])), "mia-scores"), "id")
+    wide = materialize(wide, "mia-wide")
+    combined = scores.ensemble(wide, columns, how)
     out = scores.attack_scores(combined).select(F.lit("ensemble").alias("component"), "metric", "value")
-    for name in include:
-        out = out.unionByName(scores.attack_scores(wide.withColumn("score", F.col(name))).select(F.lit(name).alias("component"), "metric", "value"))
+    for name, c in zip(include, columns, strict=True):
+        out = out.unionByName(scores.attack_scores(wide.withColumn("score", F.col(c))).select(F.lit(name).alias("component"), "metric", "value"))
     return out
 
 

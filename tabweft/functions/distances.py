@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value added to both sides of the Kullback-Leibler divergence.
 EPSILON = 2.220446049250313e-16
-#: Names under which a distance may be asked for.
+#: Fixed names under which a distance may be asked for, without spaces, hyphens and underscores.
 ALIASES = {
-    "wsd": "wsd", "wasserstein": "wsd", "jsd": "jsd", "jensenshannon": "jsd", "kld": "kld", "kl": "kld",
-    "ks": "ks", "kolmogorov-smirnov": "ks", "tvd": "tvd", "total_variation": "tvd",
-}
+    "wsd": ("wsd", "ws", "wasserstein", "wassersteindistance"),
+    "jsd": ("jsd", "js", "jensenshannon", "jensenshannondistance"),
+    "kld": ("kld", "kl", "kullbackleibler", "kullbackleiblerdivergence"),
+    "ks": ("ks", "kstest", "kolmogorov", "kolmogorovsmirnov"),
+    "tvd": ("tvd", "tv", "totalvariation", "totalvariationdistance"),
+}
 
 
 def resolve_distance(name: str) -> str:
-    key = name.lower().replace(" ", "_")
-    if key not in ALIASES:
-        raise ValueError(f"unknown distance {name!r}; known are {sorted(ALIASES)}")
-    return ALIASES[key]
+    key = re.sub(r"[ _-]", "", name.lower())
+    for kind, names in ALIASES.items():
+        if key in names:
+            return kind
+    raise ValueError(f"unknown distance {name!r}; known are {sorted(x for names in ALIASES.values() for x in names)}")
 
 
 def tvd(p: Column, q: Column) -> Column:

@@ -11,7 +11,10 @@ _COMPARE = {ast.Gt: "__gt__", ast.GtE: "__ge__", ast.Lt: "__lt__", ast.LtE: "__l
 
 
 def translate(text: str) -> Column:
-    """``a >= 18 and (b > c) | ~d``, chained comparisons, ``**``, ``%``, ``//`` and ``in [..]``; ValueError for anything else."""
+    """``a >= 18 and (b > c) | ~d``, chained comparisons, ``**``, ``%``, ``//`` and ``in [..]``; ValueError for anything else.
+
+    A comparison with a missing value is false, ``!=`` and ``not in`` are true.
+    """
     try:
         return _column(ast.parse(text.strip(), mode="eval").body)
     except SyntaxError as e:
@@ -62,6 +65,7 @@ def _column(x: ast.AST) -> Column:
                 one = getattr(_column(left), _COMPARE[type(op)])(_column(right))
             else:
                 raise ValueError("unknown comparison")
+            one = F.coalesce(one, F.lit(isinstance(op, (ast.NotEq, ast.NotIn))))
             out, left = one if out is None else out & one, right
         return out
     raise ValueError(f"cannot translate {ast.dump(x)}")

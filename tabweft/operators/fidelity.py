@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweft.cluster import shuffle_partitions
+from tabweft.cluster import materialize, shuffle_partitions
 from tabweft.functions import distances as dist
 from tabweft.functions.expressions import translate
 from tabweft.operators.frequencies import binned, both_sides, fit_bins, frequencies, pairs_long, share, unpivot
@@ -111,11 +111,17 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def _numbers(df: DataFrame, spec: FeatureSpec, ranked: bool) -> DataFrame:
+    """The numerical features as numbers, or as average ranks: the ranks of all of them come from one table of distinct values."""
     out = df.select(*[as_number(df, c).alias(c) for c in spec.numerical], *spec.discrete)
-    if ranked:
-        for c in spec.numerical:
-            out = average_rank(out, c, f"__r_{c}").drop(c).withColumnRenamed(f"__r_{c}", c)
-    return out
+    if not ranked:
+        return out
+    rows = materialize(out.withColumn("__row", F.monotonically_increasing_id()), "ranks")
+    long = unpivot(rows.select("__row", *spec.numerical).withColumnRenamed("__row", "side"), spec.numerical, "x").where("x IS NOT NULL").withColumnRenamed("side", "__row")
+    counts = materialize(long.groupBy("variable", "x").agg(F.count("*").alias("r")), "ranks")
+    steps = dist.ecdf(counts.select("variable", "x", "r", F.col("r").alias("s")), shuffle_partitions(df.sparkSession))
+    ranks = steps.join(counts, ["variable", "x"]).select("variable", "x", (F.col("cr") - (F.col("r") - 1) / 2).alias("rank"))
+    wide = long.join(ranks, ["variable", "x"]).groupBy("__row").agg(*[F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(c) for c in spec.numerical])
+    return rows.select("__row", *spec.discrete).join(wide, "__row", "left").select(*spec.numerical, *spec.discrete)
 
 
 def numeric_correlations(df: DataFrame, spec: FeatureSpec, method: str = "pearson") -> DataFrame:
@@ -134,7 +140,7 @@ def trend_scores(real: DataFrame, syn: DataFrame, spec: FeatureSpec, method: str
     if len(spec.numerical) > 1:
         a, b = (numeric_correlations(x, spec, method).withColumnRenamed("value", n) for x, n in ((real, "cr"), (syn, "cs")))
         gap = F.abs(F.coalesce("cs", F.lit(0.0)) - F.coalesce("cr", F.lit(0.0)))
-        out = a.join(F.broadcast(b), ["u", "v"]).select("u", "v", (1 - gap / 2).alias("score"))  # one row per pair of columns
+        out = a.join(b, ["u", "v"]).select("u", "v", (1 - gap / 2).alias("score"))  # one row per pair of columns
     if spec.discrete:
         sides = both_sides(real, syn, list(spec.features))
         bounds = fit_bins([real, syn], spec)
@@ -144,7 +150,7 @@ def trend_scores(real: DataFrame, syn: DataFrame, spec: FeatureSpec, method: str
         long = long.where(F.col("u").isin(*spec.discrete) | F.col("v").isin(*spec.discrete))
         counts = long.groupBy("u", "v", "a", "b").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("s"))
         totals = counts.groupBy("u", "v").agg(F.sum("r").alias("tr"), F.sum("s").alias("ts"))
-        cat = counts.join(F.broadcast(totals), ["u", "v"]).groupBy("u", "v").agg((1 - 0.5 * F.sum(F.abs(share("r", "tr") - share("s", "ts")))).alias("score"))
+        cat = counts.join(totals, ["u", "v"]).groupBy("u", "v").agg((1 - 0.5 * F.sum(F.abs(share("r", "tr") - share("s", "ts")))).alias("score"))
         out = cat if out is None else out.unionByName(cat)
     return out if out is not None else real.sparkSession.createDataFrame([], "u string, v string, score double")
 
@@ -218,7 +224,7 @@ def nmi_pairs(real: DataFrame, syn: DataFrame, spec: FeatureSpec, n_bins: int =
     cell = pairs_long(levels, spec.features).groupBy("side", "u", "v", "a", "b").agg(F.count("*").alias("n"))
     total = cell.groupBy("side", "u", "v").agg(F.sum("n").alias("t"))
     p = F.col("n") / F.col("t")
-    joint = cell.join(F.broadcast(total), ["side", "u", "v"]).groupBy("side", "u", "v").agg(F.sum(-p * F.ln(p)).alias("huv"))
+    joint = cell.join(total, ["side", "u", "v"]).groupBy("side", "u", "v").agg(F.sum(-p * F.ln(p)).alias("huv"))
     hu, hv = (h.select("side", F.col("variable").alias(x), F.col("h").alias(f"h{x}")) for x in ("u", "v"))
     out = joint.join(F.broadcast(hu), ["side", "u"]).join(F.broadcast(hv), ["side", "v"])  # one row per feature
     value = F.try_divide(F.greatest(F.col("hu") + F.col("hv") - F.col("huv"), F.lit(0.0)), F.sqrt(F.col("hu") * F.col("hv")))
@@ -236,23 +242,37 @@ def nmi_score(real: DataFrame, syn: DataFrame, spec: FeatureSpec, n_bins: int =
 # --- association rules -------------------------------------------------------------------------------------------
 
 
+#: Frequent items that a plan holds as literals; more are joined.
+FEW_ITEMS = 2000
+
+
 def frequent_itemsets(levels: DataFrame, columns, min_support: float | int, max_size: int = 2) -> DataFrame:
     """(items array<string> sorted, n) of ``column=value`` sets in at least ``min_support`` rows (a share, or a count if int).
 
-    Sizes grow one at a time: rows keep only frequent items, and candidate sets are counted as they occur.
+    Sizes grow one at a time: rows keep only frequent items, and sets with a part that is not frequent are not counted.
     """
     rows = levels.count()
     least = min_support if isinstance(min_support, int) else max(1, math.ceil(min_support * rows))
     items = levels.select(F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns]).alias("row"))
-    found = items.select(F.explode("row").alias("item")).select(F.array("item").alias("items")).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    out = found
-    frequent = [r[0][0] for r in found.collect()]  # at most columns / support items
-    base = items.select(F.array_sort(F.array_intersect("row", F.array(*map(F.lit, frequent)) if frequent else F.array().cast("array<string>"))).alias("row"))
+    counted = lambda sets: materialize(sets.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least), "itemsets")
+    found = counted(items.select(F.explode("row").alias("item")).select(F.array("item").alias("items")))
+    out, frequent = found, found.limit(FEW_ITEMS + 1).collect()
+    if len(frequent) <= FEW_ITEMS:
+        known = F.array(*[F.lit(r["items"][0]) for r in frequent]) if frequent else F.array().cast("array<string>")
+        base = items.select(F.array_sort(F.array_intersect("row", known)).alias("row"))
+    else:  # rows are split into items, which meet the frequent ones in a join
+        single = items.withColumn("id", F.monotonically_increasing_id())
+        single = materialize(single, "item-rows").select("id", F.explode("row").alias("item"))
+        base = single.join(found.select(F.col("items")[0].alias("item")), "item").groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("row"))
     for size in range(2, max_size + 1):
         sets = F.transform("row", lambda x: F.array(x))
         for _ in range(size - 1):
             sets = _extend(sets)
-        found = base.select(F.explode(sets).alias("items")).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        candidates = base.select(F.explode(sets).alias("items"))
+        if size > 2:  # what is left without the first or the last item is frequent too
+            for part in (F.slice("items", 1, size - 1), F.slice("items", 2, size - 1)):
+                candidates = candidates.withColumn("part", part).join(found.select(F.col("items").alias("part")), "part", "left_semi").drop("part")
+        found = counted(candidates)
         out = out.unionByName(found)
     return out
 
@@ -344,6 +364,46 @@ def domain_constraints(real: DataFrame, syn: DataFrame, constraints: list[str])
 # --- plots as data -----------------------------------------------------------------------------------------------
 
 
+def density_curves(real: DataFrame, syn: DataFrame, spec: FeatureSpec, points: int = 200, n_bins: int = 1000) -> DataFrame:
+    """(variable, x, real_density, syn_density): Gaussian kernel estimates with Scott's bandwidth at ``points`` places.
+
+    Values are counted in ``n_bins`` bins over both sides first, and a bin stands for its middle; null without spread.
+    """
+    bounds = {c: v for c, v in fit_bins([real, syn], spec).items() if c in spec.numerical}
+    sides = both_sides(real, syn, list(spec.numerical))
+    numbers = unpivot(sides.select("side", *[as_number(sides, c).alias(c) for c in spec.numerical]), spec.numerical, "x").where("x IS NOT NULL")
+    limits = [(c, float(lo), float(hi)) for c, (lo, hi) in bounds.items()]
+    limits = real.sparkSession.createDataFrame(limits, "variable string, lo double, hi double")
+    binned_rows = numbers.join(F.broadcast(limits), "variable").withColumn("w", (F.col("hi") - F.col("lo")) / n_bins)  # one row per variable
+    at = F.coalesce(F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("w"))), F.lit(n_bins - 1)), F.lit(0))
+    cells = binned_rows.withColumn("bin", at).groupBy("variable", "side", "lo", "hi", "w", "bin").agg(F.count("*").alias("n"))
+    spread = numbers.groupBy("variable", "side").agg(F.count("*").alias("total"), F.stddev_samp("x").alias("sd"))
+    width = F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
+    places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("i"), (F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"))))
+    middle = F.col("lo") + (F.col("bin") + 0.5) * F.col("w")
+    # bins x points rows for each variable and side, summed where they arise
+    parts = cells.join(spread, ["variable", "side"]).withColumn("h", width).withColumn("m", middle).withColumn("p", places)
+    z = F.try_divide(F.col("p.x") - F.col("m"), F.col("h"))
+    value = F.sum(F.col("n") * F.exp(-0.5 * z * z) / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi)))
+    each = parts.groupBy("variable", F.col("p.i").alias("i"), F.col("p.x").alias("x"), "side").agg(value.alias("d"))
+    out = each.groupBy("variable", "i", "x").agg(F.max(F.when(F.col("side") == 0, F.col("d"))).alias("real_density"), F.max(F.when(F.col("side") == 1, F.col("d"))).alias("syn_density"))
+    return out.select("variable", "x", "real_density", "syn_density")
+
+
+def feature_plots(real: DataFrame, syn: DataFrame, spec: FeatureSpec, save_dir: str | None = None, n_bins: int = 20, max_categories: int = 20) -> dict[str, DataFrame]:
+    """The data of a plot for every feature: histograms and density curves of numbers, shares of levels; as Parquet below ``save_dir`` if named."""
+    if missing := [c for c in spec.features for df in (real, syn) if c not in df.columns]:
+        raise ValueError(f"columns not found: {missing}")
+    out = {}
+    if spec.numerical:
+        out |= {"histograms": histograms(real, syn, spec, n_bins), "densities": density_curves(real, syn, spec)}
+    if spec.discrete:
+        out["proportions"] = proportions(real, syn, spec, max_categories)
+    for name, frame in out.items() if save_dir else ():
+        frame.write.mode("overwrite").parquet(f"{save_dir}/{name}")
+    return out
+
+
 def histograms(real: DataFrame, syn: DataFrame, spec: FeatureSpec, n_bins: int = 20) -> DataFrame:
     """(variable, bin, lo, hi, real_density, syn_density) over bins of both sides."""
     bounds = fit_bins([real, syn], spec)

@@ -34,9 +34,9 @@ def read_results(spark: SparkSession, path: str, generator: str = "results") ->
 
 
 def write_synthetic(syn: DataFrame, syn_test: DataFrame, folder: str, train_seed: int, sampling_seed: int) -> None:
-    """Parquet partitioned by seeds, so that a reader prunes to its own."""
+    """Parquet partitioned by seeds, so that a reader prunes to its own; a rerun replaces the tables of its seeds."""
     for name, df in (("train", syn), ("test", syn_test)):
-        df.withColumn("train_seed", F.lit(train_seed)).withColumn("sampling_seed", F.lit(sampling_seed)).write.mode("append").partitionBy("train_seed", "sampling_seed").parquet(f"{folder}/synthetic_{name}")
+        df.withColumn("train_seed", F.lit(train_seed)).withColumn("sampling_seed", F.lit(sampling_seed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("train_seed", "sampling_seed").parquet(f"{folder}/synthetic_{name}")
 
 
 def read_synthetic(spark: SparkSession, folder: str, train_seed: int, sampling_seed: int) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,19 @@ def cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+def truncated_normals(df, draws: dict[str, tuple[Column, Column, Column, Column, Column]]):
+    """``df`` with a column of :func:`truncated_normal` for each name; shared parts become columns first, which keeps the plan small."""
+    step = df.withColumns({f"__{k}_{n}": v for n, parts in draws.items() for k, v in zip("umsab", parts, strict=True)})
+    col = lambda k, n: F.col(f"__{k}_{n}")
+    step = step.withColumns({f"__{k}z_{n}": F.try_divide(col(k, n) - col("m", n), col("s", n)) for n in draws for k in "ab"})
+    step = step.withColumns({f"__{k}c_{n}": cdf(F.col(f"__{k}z_{n}")) for n in draws for k in "ab"})
+    step = step.withColumns({f"__p_{n}": F.col(f"__ac_{n}") + col("u", n) * (F.col(f"__bc_{n}") - F.col(f"__ac_{n}")) for n in draws})
+    step = step.withColumns({f"__q_{n}": quantile(F.col(f"__p_{n}")) for n in draws})
+    drawn = {n: F.least(F.greatest(col("m", n) + col("s", n) * F.col(f"__q_{n}"), col("a", n)), col("b", n)) for n in draws}
+    out = step.withColumns({n: F.when((col("s", n) <= 0) | (col("a", n) >= col("b", n)), col("m", n)).otherwise(v) for n, v in drawn.items()})
+    return out.drop(*[f"__{k}_{n}" for n in draws for k in ("u", "m", "s", "a", "b", "az", "bz", "ac", "bc", "p", "q")])
+
+
 def truncated_normal(u: Column, mean: Column, sd: Column, lo: Column, hi: Column) -> Column:
     """The normal draw at level ``u`` within [lo, hi]; the mean's place if there is no spread."""
     a, b = (cdf(F.try_divide(x - mean, sd)) for x in (lo, hi))

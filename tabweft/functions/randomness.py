@@ -22,6 +22,15 @@ def _dealt(df: DataFrame, u: Column) -> DataFrame:
     return df.withColumn("__u", u).withColumn("__part", F.floor(F.col("__u") * PARTS).cast("int"))
 
 
+def uniform_rank(df: DataFrame, u: Column, out: str, row_id: str) -> DataFrame:
+    """Add ``out``: 0, 1, ... in ascending order of the uniform number ``u``."""
+    dealt = _dealt(df, u)
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))  # PARTS rows at most
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__u", row_id)) - 1
+    return dealt.withColumn("__at", inside).join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__at")).drop("__u", "__part", "__start", "__at")  # PARTS rows
+
+
 def hash_sample(df: DataFrame, n: int, seed: int, name: str, row_id: str) -> DataFrame:
     """Exactly ``n`` rows (all if there are fewer) without replacement: those of smallest uniform number.
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweft.cluster import materialize
 from tabweft.functions.normal import quantile
 from tabweft.functions.randomness import uniform
-from tabweft.generators.base import BaseGenerator, level_shares
+from tabweft.generators.base import BaseGenerator, drawn, level_shares, stretches
 from tabweft.spec import as_level, as_number
 
 
@@ -30,10 +32,29 @@ def schedule(spark: SparkSession, steps: int, kind: str = "cosine") -> DataFrame
     return rows.withColumn("alpha", 1 - F.col("beta")).withColumn("alpha_bar", F.exp(F.sum(F.ln("alpha")).over(upto)))
 
 
-def cosine_angle(spark: SparkSession, steps: int, floor: float = 1e-5) -> DataFrame:
-    """(t, alpha_bar): squared cosine of an angle that grows evenly with t = 1 .. steps."""
-    angle = F.col("id") / F.lit(float(steps)) * F.lit(math.pi / 2)
-    return spark.range(1, steps + 1).select(F.col("id").cast("int").alias("t"), F.greatest(F.pow(F.cos(angle), 2), F.lit(floor)).alias("alpha_bar"))
+def cosine_angle(spark: SparkSession, steps: int, first: float = 0.9999, last: float = 1e-4) -> DataFrame:
+    """(t, beta, alpha, alpha_bar) for t = 0 .. steps - 1: the signal's share is the squared cosine of an evenly growing angle; betas lie in [1e-8, 0.999]."""
+    a, b = math.acos(math.sqrt(first)), math.acos(math.sqrt(last))
+    bar = lambda i: F.pow(F.cos(F.lit(a) + i * F.lit((b - a) / max(steps - 1, 1))), 2)
+    i = F.col("id").cast("double")
+    beta = F.least(F.greatest(1 - F.when(i == 0, bar(i)).otherwise(bar(i) / bar(i - 1)), F.lit(1e-8)), F.lit(0.999))
+    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # ``steps`` rows
+    rows = spark.range(steps).select(F.col("id").cast("int").alias("t"), beta.alias("beta"))
+    return rows.withColumn("alpha", 1 - F.col("beta")).withColumn("alpha_bar", F.exp(F.sum(F.ln("alpha")).over(upto)))
+
+
+def cosine_angle_bars(steps: int, first: float = 0.9999, last: float = 1e-4) -> list[float]:
+    """alpha_bar of :func:`cosine_angle` as numbers."""
+    a, b = math.acos(math.sqrt(first)), math.acos(math.sqrt(last))
+    bars, out = [math.cos(a + i * (b - a) / max(steps - 1, 1)) ** 2 for i in range(steps)], []
+    for i, bar in enumerate(bars):
+        beta = min(max(1 - (bar / bars[i - 1] if i else bar), 1e-8), 0.999)
+        out.append((out[-1] if out else 1.0) * (1 - beta))
+    return out
+
+
+def vp_beta(t: Column, beta_min: float = 0.1, beta_max: float = 8.0) -> Column:
+    return F.lit(beta_min) + t * F.lit(beta_max - beta_min)
 
 
 def vp_alpha_bar(t: Column, beta_min: float = 0.1, beta_max: float = 8.0) -> Column:
@@ -41,6 +62,15 @@ def vp_alpha_bar(t: Column, beta_min: float = 0.1, beta_max: float = 8.0) -> Col
     return F.exp(-0.5 * t * t * (beta_max - beta_min) - t * beta_min)
 
 
+def vp_step(x: Column, score: Column, beta: Column, h: float, noise: Column) -> Column:
+    """Euler-Maruyama step of length ``h`` back in time of the variance-preserving process."""
+    return x + (0.5 * beta * x + beta * score) * h + F.sqrt(beta * h) * noise
+
+
+def flow_step(x: Column, velocity: Column, h: float) -> Column:
+    return x + h * velocity
+
+
 def q_sample(x: Column, alpha_bar: Column, noise: Column) -> Column:
     return F.sqrt(alpha_bar) * x + F.sqrt(1 - alpha_bar) * noise
 
@@ -62,6 +92,14 @@ def multinomial_posterior(p0: Column, at: Column, alpha: Column, alpha_bar_befor
     return (alpha * at + (1 - alpha) / levels) * (alpha_bar_before * p0 + (1 - alpha_bar_before) / levels)
 
 
+def absorbing_reverse(p0: Column, is_mask: Column, move_t: Column, move_s: Column) -> Column:
+    """Share of a level, or of the mask, at the earlier time s for a masked cell: ``p0`` is the level's predicted share, ``move_*`` the share masked by then.
+
+    A cell that is not masked any more keeps its level.
+    """
+    return F.when(is_mask, move_s).otherwise(p0 * (move_t - move_s)) / move_t
+
+
 def edm_sigmas(spark: SparkSession, steps: int, lo: float = 0.002, hi: float = 80.0, rho: float = 7.0) -> DataFrame:
     """(t, sigma) from ``hi`` to ``lo``, then 0."""
     a, b = hi ** (1 / rho), lo ** (1 / rho)
@@ -69,13 +107,37 @@ def edm_sigmas(spark: SparkSession, steps: int, lo: float = 0.002, hi: float = 8
     return spark.range(steps + 1).select(F.col("id").cast("int").alias("t"), sigma.alias("sigma"))
 
 
+def edm_weight(sigma: Column, spread: float = 0.5) -> Column:
+    """Weight of the squared error of a denoised value."""
+    return (sigma * sigma + spread**2) / F.pow(sigma * spread, 2)
+
+
+def edm_churn(sigma: Column, steps: int, churn: float = 1.0) -> Column:
+    """The noise level to which a step first raises its rows."""
+    return sigma * (1 + min(churn / steps, math.sqrt(2) - 1))
+
+
+def edm_euler(x: Column, denoised: Column, sigma: Column, to: Column) -> Column:
+    return x + (to - sigma) * (x - denoised) / sigma
+
+
+def edm_heun(x: Column, denoised: Column, sigma: Column, euler: Column, denoised_there: Column, to: Column) -> Column:
+    """The second-order step: the mean of the slopes at both ends; ``euler`` is the first-order result."""
+    return x + (to - sigma) * 0.5 * ((x - denoised) / sigma + (euler - denoised_there) / to)
+
+
 def power_mean_sigma(t: Column, lo: float = 0.002, hi: float = 80.0, rho: float = 7.0) -> Column:
     return F.pow(F.lit(lo ** (1 / rho)) + t * F.lit(hi ** (1 / rho) - lo ** (1 / rho)), F.lit(rho))
 
 
-def log_linear_noise(t: Column, eps: float = 1e-3) -> Column:
-    """Total noise -ln(1 - (1 - eps) t) of the masking process."""
-    return -F.ln(1 - (1 - eps) * t)
+def log_linear_noise(t: Column, eps: float = 1e-3, power: float | Column = 1.0) -> Column:
+    """Total noise -ln(1 - (1 - eps) t^power) of the masking process; ``power`` may differ between columns."""
+    p = power if isinstance(power, Column) else F.lit(float(power))
+    return -F.ln(1 - (1 - eps) * F.pow(t, p))
+
+
+def masked_share(t: Column, eps: float = 1e-3, power: float | Column = 1.0) -> Column:
+    return 1 - F.exp(-log_linear_noise(t, eps, power))
 
 
 def logistic_timewarp(t: Column, mu: float, nu: float) -> Column:
@@ -84,6 +146,33 @@ def logistic_timewarp(t: Column, mu: float, nu: float) -> Column:
     return 1 / (1 + F.exp(-nu * odds))
 
 
+def logistic_timewarp_density(t: Column, mu: float, nu: float) -> Column:
+    z = F.exp(-nu * (F.ln(t / (1 - t)) - F.lit(math.log(mu / (1 - mu)))))
+    return nu / (t * (1 - t)) * z / F.pow(1 + z, 2)
+
+
+def logistic_timewarp_quantile(u: Column, mu: float, nu: float, eps: float = 1e-7) -> Column:
+    u = F.least(F.greatest(u, F.lit(eps)), F.lit(1 - eps))
+    return 1 / (1 + F.exp(-(F.lit(math.log(mu / (1 - mu))) + F.ln(u / (1 - u)) / nu)))
+
+
+def polynomial_gamma(t: Column, a: Column, b: Column, c: Column, lo: float = -7.0, hi: float = 7.0, least_slope: float = 0.0) -> Column:
+    """Log noise to signal, growing from ``lo`` to ``hi``: the integral of (a t^2 + b t + c)^2, scaled."""
+    at = lambda x: a * a * F.pow(x, F.lit(5)) / 5 + a * b * F.pow(x, F.lit(4)) / 2 + (b * b + 2 * a * c) * F.pow(x, F.lit(3)) / 3 + b * c * x * x + (c * c + least_slope) * x
+    return lo + (hi - lo) * at(t) / at(F.lit(1.0))
+
+
+def polynomial_gamma_slope(t: Column, a: Column, b: Column, c: Column, lo: float = -7.0, hi: float = 7.0) -> Column:
+    whole = a * a / 5 + a * b / 2 + (b * b + 2 * a * c) / 3 + b * c + c * c
+    return (hi - lo) * F.pow(a * t * t + b * t + c, 2) / whole
+
+
+def learning_rate(step: Column, last_step: int, base: float, final: float = 0.0, warmup: int = 0, first: float = 0.0, anneal: bool = True) -> Column:
+    """Linear from ``first`` over ``warmup`` steps, then linear to ``final`` at ``last_step`` (or level)."""
+    level = F.lit(base) + F.lit((final - base) / max(last_step - warmup, 1)) * (F.least(step, F.lit(last_step)) - warmup) if anneal else F.lit(base)
+    return F.when(step < warmup, F.lit(first) + (base - first) * step / max(warmup, 1)).otherwise(level)
+
+
 def low_discrepancy_times(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
     """Add ``t``: one uniform offset, then evenly spread over the ``n`` rows with dense ids."""
     offset = uniform(seed, "time", F.lit(0))
@@ -91,9 +180,11 @@ def low_discrepancy_times(df: DataFrame, n: int, seed: int, row_id: str) -> Data
 
 
 class _Boosted(BaseGenerator):
-    """Numbers scaled to [-1, 1] are moved from noise to data; categories are drawn from their shares with the label."""
+    """Numbers scaled to [-1, 1] are moved from noise to data; categories and missing flags are drawn from their joint shares."""
+
+    flags_missing = True
 
-    def __init__(self, target_column: str | None = None, num_timesteps: int = 5, max_iter: int = 10, max_depth: int = 4, clip_extremes: bool = True, random_state: int = 0):
+    def __init__(self, target_column: str | None = None, num_timesteps: int = 50, max_iter: int = 10, max_depth: int = 4, clip_extremes: bool = True, random_state: int = 0):
         super().__init__(random_state)
         self.target, self.steps, self.max_iter, self.max_depth, self.clip = target_column, num_timesteps, max_iter, max_depth, clip_extremes
 
@@ -103,26 +194,16 @@ class _Boosted(BaseGenerator):
         self.limits = ranges([df], list(self.spec.numerical), as_number) if self.spec.numerical else {}
         keys = [as_level(c).alias(c) for c in self.spec.discrete]
         scaled = [(2 * (as_number(df, c) - lo) / ((hi - lo) or 1.0) - 1).alias(c) for c, (lo, hi) in self.limits.items()]
-        self.rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *scaled, *keys).na.drop(), "boosted")
+        self.rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *scaled, *keys), "boosted")
+        self.indexer = Pipeline(stages=[StringIndexer(inputCol=c, outputCol=f"__s_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in self.spec.discrete]).fit(self.rows)
         self.joint = self._joint() if self.spec.discrete else None
         self.models = [{c: self._model(c, k) for c in self.limits} for k in range(self.steps)]
 
     def _joint(self) -> DataFrame | None:
-        """Every combination of levels with its stretch [__from, __to) of the rows in order, once for each block of ``width`` rows that it touches."""
+        """Every combination of levels with its stretch of the rows in order."""
         keys = list(self.spec.discrete)
-        parts = self.rows.groupBy(*keys).agg(F.count("*").alias("__n")).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
-        parts = materialize(parts, "levels")
-        count, self.total = parts.agg(F.count("*"), F.sum("__n")).first()
-        if not count:
-            return None
-        self.width = -(-self.total // count)
-        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-        starts = parts.groupBy("__part").agg(F.sum("__n").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-        inside = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-        placed = parts.withColumn("__own", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(starts, "__part").withColumn("__from", F.col("__start") + F.col("__own"))
-        block = lambda at: F.floor(at / F.lit(self.width)).cast("long")
-        blocks = F.explode(F.sequence(block(F.col("__from")), block(F.col("__from") + F.col("__n") - 1))).alias("__block")
-        return materialize(placed.select(*keys, "__from", (F.col("__from") + F.col("__n")).alias("__to"), blocks), "levels")
+        table, self.total, self.width = stretches(self.rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
+        return table
 
     def _noise(self, c: str, row_id: str, name: str) -> Column:
         return quantile(uniform(self.random_state, f"{name}:{c}", row_id))
@@ -130,7 +211,8 @@ class _Boosted(BaseGenerator):
     def _assembled(self, df: DataFrame, prefix: str) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
-        coded = df.select("*", *[F.pmod(F.xxhash64(c), F.lit(997)).cast("double").alias(f"__i_{c}") for c in self.spec.discrete])
+        names = [f"__s_{c}" for c in self.spec.discrete]
+        coded = self.indexer.transform(df).withColumns({f"__i_{c}": F.col(f"__s_{c}") + 0.0 for c in self.spec.discrete}).drop(*names)
         return VectorAssembler(inputCols=[f"{prefix}{c}" for c in self.limits] + [f"__i_{c}" for c in self.spec.discrete], outputCol="__x").transform(coded)
 
     def _boost(self, df: DataFrame, label: Column):
@@ -141,10 +223,9 @@ class _Boosted(BaseGenerator):
     def _start(self, n: int) -> DataFrame:
         rows = self.spark.range(n)
         if self.joint is not None:
-            drawn = F.least(F.floor(uniform(self.random_state, "levels", "id") * F.lit(self.total)), F.lit(self.total - 1)).cast("long")
-            rows = rows.withColumn("__at", drawn).withColumn("__block", F.floor(F.col("__at") / F.lit(self.width)).cast("long"))
-            rows = rows.join(self.joint, "__block").where("__at >= __from AND __at < __to").drop("__at", "__block", "__from", "__to")
-        return rows.select("*", *[self._noise(c, "id", "start").alias(f"z_{c}") for c in self.limits])
+            rows = drawn(rows, uniform(self.random_state, "levels", "id"), self.joint, self.total, self.width)
+        rows = rows.withColumns({f"u_{c}": uniform(self.random_state, f"start:{c}", "id") for c in self.limits})
+        return rows.withColumns({f"z_{c}": quantile(F.col(f"u_{c}")) for c in self.limits}).drop(*[f"u_{c}" for c in self.limits])
 
     def _finish(self, rows: DataFrame) -> DataFrame:
         out = []
@@ -155,9 +236,28 @@ class _Boosted(BaseGenerator):
 
 
 class BoostedFlowGenerator(_Boosted):
-    """Flow matching: a model for each step and column predicts data minus noise; Euler steps from noise."""
+    """A model for each step and column. ``flow``: it predicts data minus noise, Euler steps lead from noise to data;
+    ``vp``: it predicts the score of the variance-preserving process, Euler-Maruyama steps lead back from its end."""
+
+    def __init__(self, *args, diffusion_type: str = "flow", beta_min: float = 0.1, beta_max: float = 8.0, eps: float = 1e-3, **kwargs):
+        super().__init__(*args, **kwargs)
+        if diffusion_type not in ("flow", "vp"):
+            raise ValueError("diffusion_type is flow or vp")
+        self.kind, self.beta_min, self.beta_max, self.eps = diffusion_type, beta_min, beta_max, eps
+
+    def _bar(self, t: float) -> float:
+        return math.exp(-0.5 * t * t * (self.beta_max - self.beta_min) - t * self.beta_min)
+
+    def _time(self, k: int) -> float:
+        return 1.0 - k * (1.0 - self.eps) / self.steps
 
     def _model(self, c: str, k: int):
+        if self.kind == "vp":
+            bar = self._bar(self._time(k))
+            a, s = math.sqrt(bar), math.sqrt(1 - bar)
+            noise = lambda x: self._noise(x, "__id", f"fit{k}")
+            mixed = self.rows.select("*", *[(a * F.col(x) + s * noise(x)).alias(f"z_{x}") for x in self.limits])
+            return self._boost(self._assembled(mixed, "z_"), -noise(c) / s)
         t = (k + 0.5) / self.steps
         mixed = self.rows.select("*", *[(t * F.col(x) + (1 - t) * self._noise(x, "__id", f"fit{k}")).alias(f"z_{x}") for x in self.limits])
         return self._boost(self._assembled(mixed, "z_"), F.col(c) - self._noise(c, "__id", f"fit{k}"))
@@ -167,7 +267,13 @@ class BoostedFlowGenerator(_Boosted):
         for k in range(self.steps):
             for c in self.limits:
                 rows = self.models[k][c].transform(self._assembled(rows, "z_")).withColumn(f"v_{c}", F.col("__p")).drop("__x", "__p", *[f"__i_{d}" for d in self.spec.discrete])
-            rows = materialize(rows.select("id", *self.spec.discrete, *[(F.col(f"z_{c}") + F.col(f"v_{c}") / self.steps).alias(f"z_{c}") for c in self.limits]), "flow")
+            h = 1.0 / self.steps
+            if self.kind == "vp":
+                beta = F.lit(self.beta_min + self._time(k) * (self.beta_max - self.beta_min))
+                moved = [vp_step(F.col(f"z_{c}"), F.col(f"v_{c}"), beta, h * (1 - self.eps), self._noise(c, "id", f"step{k}") if k + 1 < self.steps else F.lit(0.0)).alias(f"z_{c}") for c in self.limits]
+            else:
+                moved = [flow_step(F.col(f"z_{c}"), F.col(f"v_{c}"), h).alias(f"z_{c}") for c in self.limits]
+            rows = materialize(rows.select("id", *self.spec.discrete, *moved), "flow")
         return self._finish(rows)
 
 
@@ -179,7 +285,7 @@ class BoostedDiffusionGenerator(_Boosted):
         self.deterministic = deterministic_sampler
 
     def _bar(self, k: int) -> float:
-        return max(math.cos(k / self.steps * math.pi / 2) ** 2, 1e-5)
+        return cosine_angle_bars(self.steps)[k - 1] if k else 1.0
 
     def _model(self, c: str, k: int):
         bar = self._bar(k + 1)
@@ -202,7 +308,7 @@ class BoostedDiffusionGenerator(_Boosted):
                 if self.deterministic or not k:
                     out.append(ddim(x0, noise, F.lit(before)).alias(f"z_{c}"))
                 else:
-                    mean, variance = posterior(x0, z, F.lit(1 - bar / before), F.lit(bar), F.lit(before))
+                    mean, variance = posterior(x0, z, F.lit(1 - bar / before), F.lit(bar), F.lit(before))  # the ancestral update
                     out.append((mean + F.sqrt(variance) * self._noise(c, "id", f"step{k}")).alias(f"z_{c}"))
             rows = materialize(rows.select("id", *self.spec.discrete, *out), "diffusion")
         return self._finish(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.ml import Pipeline
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweft.cluster import materialize
-from tabweft.functions.normal import truncated_normal
-from tabweft.functions.randomness import uniform
-from tabweft.generators.base import BaseGenerator, level_shares, weighted_draw
+from tabweft.functions.binning import ranges
+from tabweft.functions.normal import quantile, truncated_normals
+from tabweft.functions.randomness import uniform, uniform_rank
+from tabweft.generators.base import BaseGenerator, drawn, level_shares, stretches, weighted_draw
 from tabweft.operators.preprocess import QuantileMap
 from tabweft.spec import as_level, as_number
 
@@ -20,19 +22,25 @@ from tabweft.spec import as_level, as_number
 class SynthpopGenerator(BaseGenerator):
     """Sequential trees: the first column from its marginal, every other from the leaf of a tree on the columns before it.
 
-    ``K`` bags of bootstrap rows have a column order and trees of their own and share the rows to generate. ``honest``:
-    leaves are filled with rows that the bag's trees did not see, and fall back on the bag where there are none.
+    ``K`` bags of bootstrap rows (each row as often as a Poisson number says) have a column order and trees of their own
+    and share the rows to generate. ``honest``: leaves are filled with rows that the bag's trees did not see, and fall
+    back on the bag where there are fewer than ``minibucket_sampling``. ``smoothing`` of drawn numbers: ``none``, ``kde``
+    (normal noise of the leaf's bandwidth) or ``histogram`` (evenly within one of 64 bins of the column).
     """
 
-    def __init__(self, K: int = 5, minibucket: int = 10, max_depth: int = 8, honest_trees: bool = True, condition_y: str | None = None, target_column: str | None = None, random_state: int = 0):  # noqa: N803
+    flags_missing = True
+
+    def __init__(self, K: int = 100, minibucket: int = 10, max_depth: int = 8, honest_trees: bool = True, condition_y: str | None = None, target_column: str | None = None, random_state: int = 0, minibucket_sampling: int = 3, smoothing: str = "none"):  # noqa: N803
         super().__init__(random_state)
+        if smoothing not in ("none", "kde", "histogram"):
+            raise ValueError("smoothing is none, kde or histogram")
+        self.least, self.smoothing = minibucket_sampling, smoothing
         self.K, self.minibucket, self.max_depth, self.honest, self.condition_y, self.target = K, minibucket, max_depth, honest_trees, condition_y, target_column
 
     def _fit(self, df: DataFrame) -> None:
         plain = [as_number(df, c).alias(c) if c in self.spec.numerical else as_level(c).alias(c) for c in self.columns]
         self.rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *plain), "synthpop")
-        if self.spec.numerical:
-            self.rows = self.rows.na.drop(subset=list(self.spec.numerical))
+        self.limits = ranges([self.rows], list(self.spec.numerical), as_number) if self.spec.numerical else {}
         rng, self.bags = random.Random(self.random_state), []
         self.indexer = Pipeline(stages=[StringIndexer(inputCol=c, outputCol=f"__i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in self.spec.discrete]).fit(self.rows)
         bins = 2 + max([self.rows.select(c).distinct().count() for c in self.spec.discrete], default=30)
@@ -42,9 +50,8 @@ class SynthpopGenerator(BaseGenerator):
             if self.condition_y and self.target in order:
                 order.remove(self.target)
                 order = [self.target, *order] if self.condition_y == "first" else [*order, self.target]
-            inside = uniform(self.random_state, f"bag{bag}", "__id") < 0.632
-            coded = self.indexer.transform(self.rows)
-            train, source = coded.where(inside), coded.where(~inside) if self.honest else coded.where(inside)
+            coded = self.indexer.transform(self.rows).withColumn("__w", _poisson(uniform(self.random_state, f"bag{bag}", "__id")))
+            train, source = coded.where("__w > 0"), coded.where("__w = 0") if self.honest else coded.where("__w > 0")
             steps = []
             for i, c in enumerate(order[1:], 1):
                 steps.append((c, *self._tree(train, source, order[:i], c, max(32, bins))))
@@ -57,14 +64,17 @@ class SynthpopGenerator(BaseGenerator):
         inputs = [f"__i_{x}" if x in self.spec.discrete else x for x in given]
         kind = DecisionTreeClassifier if c in self.spec.discrete else DecisionTreeRegressor
         label = f"__i_{c}" if c in self.spec.discrete else c
-        tree = kind(featuresCol="__x", labelCol=label, leafCol="__leaf", maxDepth=self.max_depth, minInstancesPerNode=self.minibucket, maxBins=bins, seed=self.random_state)
+        tree = kind(featuresCol="__x", labelCol=label, leafCol="__leaf", weightCol="__w", maxDepth=self.max_depth, minInstancesPerNode=self.minibucket, maxBins=bins, seed=self.random_state)
         model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="__x"), tree]).fit(train)
         keep = ["__leaf", F.col(c).alias("__v"), "__id"]
         filled = model.transform(source).select(*keep)
-        rest = model.transform(train).select(*keep).join(filled.select("__leaf").distinct(), "__leaf", "left_anti")
+        enough = filled.groupBy("__leaf").agg(F.count("*").alias("n")).where(F.col("n") >= self.least).select("__leaf")
+        filled, rest = filled.join(enough, "__leaf", "left_semi"), model.transform(train).select(*keep).join(enough, "__leaf", "left_anti")
         leaves = filled.unionByName(rest)
         at = Window.partitionBy("__leaf").orderBy("__id")
-        leaves = leaves.select("__leaf", "__v", (F.row_number().over(at) - 1).alias("__at"), F.count("*").over(Window.partitionBy("__leaf")).alias("__n"))
+        own = Window.partitionBy("__leaf")
+        spread = F.coalesce(F.stddev_samp("__v").over(own), F.lit(0.0)) * F.pow(F.count("*").over(own).cast("double"), F.lit(-0.2)) if c in self.spec.numerical else F.lit(0.0)
+        leaves = leaves.select("__leaf", "__v", (F.row_number().over(at) - 1).alias("__at"), F.count("*").over(own).alias("__n"), spread.alias("__h"))
         return model, materialize(leaves, "synthpop-leaves")
 
     def _generate(self, n: int) -> DataFrame:
@@ -77,12 +87,23 @@ class SynthpopGenerator(BaseGenerator):
                 coded = self.indexer.transform(rows.select("*", *[F.lit("").alias(x) for x in self.spec.discrete if x not in rows.columns]))
                 leafed = model.transform(coded).select(*rows.columns, "__leaf")
                 sizes = leaves.select("__leaf", "__n").distinct()
-                drawn = leafed.join(sizes, "__leaf").withColumn("__at", F.floor(uniform(self.random_state, f"leaf{bag}:{c}", "id") * F.col("__n")).cast("int"))
-                rows = drawn.join(leaves.select("__leaf", "__at", F.col("__v").alias(c)), ["__leaf", "__at"]).select(*rows.columns, c)
+                placed = leafed.join(sizes, "__leaf").withColumn("__at", F.floor(uniform(self.random_state, f"leaf{bag}:{c}", "id") * F.col("__n")).cast("int"))
+                rows = placed.join(leaves.select("__leaf", "__at", F.col("__v").alias(c), "__h"), ["__leaf", "__at"]).select(*rows.columns, self._smoothed(c, bag).alias(c))
                 rows = materialize(rows, "synthpop-rows")
             out = rows.select("id", *self.columns) if out is None else out.unionByName(rows.select("id", *self.columns))
         return self._typed(out)
 
+    def _smoothed(self, c: str, bag: int):
+        if c not in self.limits or self.smoothing == "none":
+            return F.col(c)
+        (lo, hi), u = self.limits[c], uniform(self.random_state, f"smooth{bag}:{c}", "id")
+        if self.smoothing == "kde":
+            moved = F.col(c) + F.coalesce("__h", F.lit(0.0)) * quantile(u)
+        else:
+            width = (hi - lo) / 64
+            moved = F.lit(lo) + (F.least(F.floor((F.col(c) - lo) / (width or 1.0)), F.lit(63)) + u) * width
+        return F.least(F.greatest(moved, F.lit(lo)), F.lit(hi))
+
     def _marginal(self, c: str, bag: int):
         u = uniform(self.random_state, f"first{bag}", "id")
         if c in self.spec.discrete:
@@ -90,13 +111,30 @@ class SynthpopGenerator(BaseGenerator):
         return QuantileMap.fit(self.rows, c, 1000).value(u)
 
 
+def _poisson(u):
+    """The Poisson number of mean 1 at level ``u``."""
+    out, total, p = F.lit(9), 0.0, math.exp(-1)
+    bounds = []
+    for k in range(9):
+        total += p
+        bounds.append(total)
+        p /= k + 1
+    for k in reversed(range(9)):
+        out = F.when(u < bounds[k], k).otherwise(out)
+    return out.cast("double")
+
+
 class ARFGenerator(BaseGenerator):
     """Adversarial random forest: tell rows from rows with permuted columns, then draw from the leaves' densities.
 
-    A leaf is drawn by its coverage; within it numbers are truncated normals and categories have the leaf's shares.
+    A leaf is drawn by its coverage; within it numbers are normals truncated to the leaf's values, or with
+    ``retain_value_ranges`` off to half a deviation beyond them, and categories have the leaf's shares; with ``alpha``
+    every level of a column counts that much in every leaf.
     """
 
-    def __init__(self, num_trees: int = 20, delta: float = 0.0, max_iters: int = 3, min_node_size: int = 5, max_depth: int = 8, alpha: float = 0.0, retain_value_ranges: bool = False, random_state: int = 0):
+    flags_missing = True
+
+    def __init__(self, num_trees: int = 20, delta: float = 0.0, max_iters: int = 10, min_node_size: int = 5, max_depth: int = 8, alpha: float = 0.0, retain_value_ranges: bool = True, random_state: int = 0):
         super().__init__(random_state)
         self.num_trees, self.delta, self.max_iters, self.min_node_size, self.max_depth, self.alpha, self.clip = num_trees, delta, max_iters, min_node_size, max_depth, alpha, retain_value_ranges
 
@@ -105,8 +143,11 @@ class ARFGenerator(BaseGenerator):
         keys = [within] if within else []
         base = None
         for c in self.columns:
-            order = Window.partitionBy(*keys).orderBy(uniform(self.random_state + rounds, f"perm:{c}", "__id"), "__id") if keys else Window.orderBy(uniform(self.random_state + rounds, f"perm:{c}", "__id"), "__id")
-            one = rows.select(*keys, F.row_number().over(order).alias("__r"), c)
+            u = uniform(self.random_state + rounds, f"perm:{c}", "__id")
+            if keys:
+                one = rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(u, "__id")).alias("__r"), c)
+            else:
+                one = uniform_rank(rows.select("__id", c), u, "__r", "__id").select("__r", c)
             base = one if base is None else base.join(one, [*keys, "__r"])
         return base.withColumn("__id", F.monotonically_increasing_id() + F.lit(1 << 50))
 
@@ -114,7 +155,7 @@ class ARFGenerator(BaseGenerator):
         from pyspark.ml.classification import RandomForestClassifier
 
         plain = [as_number(df, c).alias(c) if c in self.spec.numerical else as_level(c).alias(c) for c in self.columns]
-        rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *plain).na.drop(), "arf")
+        rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *plain), "arf")
         bins = max(32, 2 + max([rows.select(c).distinct().count() for c in self.spec.discrete], default=30))
         inputs = [f"__i_{c}" if c in self.spec.discrete else c for c in self.columns]
         stages = [StringIndexer(inputCol=c, outputCol=f"__i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in self.spec.discrete]
@@ -135,25 +176,24 @@ class ARFGenerator(BaseGenerator):
 
     def _estimate(self, leafed: DataFrame) -> None:
         long = materialize(leafed.select(*self.columns, F.posexplode(_leaves("__leaf")).alias("tree", "leaf")), "arf-long")
-        sizes = long.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_node_size)
         numbers = [f.alias(f"{p}_{c}") for c in self.spec.numerical for p, f in (("m", F.avg(c)), ("s", F.coalesce(F.stddev_samp(c), F.lit(0.0))), ("a", F.min(c)), ("b", F.max(c)))]
-        stats = long.groupBy("tree", "leaf").agg(F.count("*").alias("n"), *numbers).where(F.col("n") >= self.min_node_size)
-        self.leaf_stats = materialize(stats.withColumn("cdf", F.sum("n").over(Window.orderBy("tree", "leaf").rowsBetween(Window.unboundedPreceding, 0))), "arf-leaves")
-        self.total = sizes.agg(F.sum("n")).first()[0]
+        stats = long.groupBy("tree", "leaf").agg(F.count("*").alias("__n"), *numbers).where(F.col("__n") >= self.min_node_size)
+        self.leaf_stats, self.total, self.width = stretches(stats, ["tree", "leaf"])
         self.shares = {}
         for c in self.spec.discrete:
-            at = Window.partitionBy("tree", "leaf").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-            counts = long.groupBy("tree", "leaf", c).agg((F.count("*") + F.lit(self.alpha)).alias("w"))
-            self.shares[c] = materialize(counts.withColumn("hi", F.sum("w").over(at) / F.sum("w").over(Window.partitionBy("tree", "leaf"))).withColumn("lo", F.col("hi") - F.col("w") / F.sum("w").over(Window.partitionBy("tree", "leaf"))).drop("w"), "arf-shares")
+            leaf = Window.partitionBy("tree", "leaf")
+            at = leaf.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+            counts = long.groupBy("tree", "leaf", c).agg(F.count("*").cast("double").alias("w"))
+            if self.alpha:  # the levels that a leaf does not hold as well
+                cells = stats.select("tree", "leaf").crossJoin(long.select(c).distinct())  # leaves x levels of the column
+                counts = cells.join(counts, ["tree", "leaf", c], "left").withColumn("w", F.coalesce("w", F.lit(0.0)) + self.alpha)
+            self.shares[c] = materialize(counts.withColumn("hi", F.sum("w").over(at) / F.sum("w").over(leaf)).withColumn("lo", F.col("hi") - F.col("w") / F.sum("w").over(leaf)).drop("w"), "arf-shares")
 
     def _generate(self, n: int) -> DataFrame:
         seed = self.random_state
-        bounds = self.leaf_stats.withColumn("lo", (F.col("cdf") - F.col("n")) / F.lit(self.total)).withColumn("hi", F.col("cdf") / F.lit(self.total))
-        # leaves are at most trees * 2**depth rows
-        rows = self.spark.range(n).withColumn("u", uniform(seed, "leaf", "id")).join(F.broadcast(bounds), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).drop("lo", "hi", "cdf")
-        rows = materialize(rows, "arf-draw")
-        for c in self.spec.numerical:
-            rows = rows.withColumn(c, truncated_normal(uniform(seed, c, "id"), F.col(f"m_{c}"), F.col(f"s_{c}"), F.col(f"a_{c}"), F.col(f"b_{c}")))
+        rows = materialize(drawn(self.spark.range(n), uniform(seed, "leaf", "id"), self.leaf_stats, self.total, self.width), "arf-draw")
+        beyond = lambda c: F.lit(0.0) if self.clip else F.col(f"s_{c}") / 2
+        rows = truncated_normals(rows, {c: (uniform(seed, c, "id"), F.col(f"m_{c}"), F.col(f"s_{c}"), F.col(f"a_{c}") - beyond(c), F.col(f"b_{c}") + beyond(c)) for c in self.spec.numerical}) if self.spec.numerical else rows
         for c in self.spec.discrete:
             v = uniform(seed, c, "id")
             rows = rows.withColumn("v", v).join(self.shares[c], ["tree", "leaf"]).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))).drop("lo", "hi", "v")

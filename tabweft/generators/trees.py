@@ -47,6 +47,7 @@ class SynthpopGenerator(BaseGenerator):
         for bag in range(self.K):
             order = list(self.columns)
             rng.shuffle(order)
+            order.sort(key=lambda c: c not in self.flags.values())  # what is missing comes first
             if self.condition_y and self.target in order:
                 order.remove(self.target)
                 order = [self.target, *order] if self.condition_y == "first" else [*order, self.target]

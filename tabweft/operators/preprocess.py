@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from tabweft.functions.binning import bin_index, edges, ranges
 from tabweft.functions.expressions import translate
+from tabweft.functions.normal import cdf as normal_cdf
+from tabweft.functions.normal import quantile as normal_quantile
 from tabweft.functions.order import exact_quantiles
 from tabweft.spec import as_number
 
@@ -316,13 +318,26 @@ def onehot(df: DataFrame, column: str, levels: list[str], weight: float = 0.5) -
     return df.select("*", *[F.when(F.col(column).cast("string") == v, weight).otherwise(0.0).alias(f"{column}_{v}") for v in levels]).drop(column)
 
 
+def onehot_inverse(df: DataFrame, column: str, levels: list[str], baseline: float = 0.5, dropped: str | None = None) -> DataFrame:
+    """The level of the largest column (the first of equals). ``dropped``: a level without a column, which holds where none exceeds ``baseline``."""
+    names = [f"{column}_{v}" for v in levels]
+    pairs = [(F.col(n).cast("double"), F.lit(v)) for n, v in zip(names, levels, strict=True)]
+    most = F.greatest(*[c for c, _ in pairs]) if len(pairs) > 1 else pairs[0][0]
+    out = F.lit(None).cast("string")
+    for c, v in reversed(pairs):
+        out = F.when(c == most, v).otherwise(out)
+    if dropped is not None:
+        out = F.when(most <= baseline / 2, F.lit(dropped)).otherwise(out)
+    return df.withColumn(column, out).drop(*names)
+
+
 def kbins(df: DataFrame, column: str, n_bins: int, reference: DataFrame | None = None) -> DataFrame:
     limits = ranges([reference or df], [column], as_number)
     return df.withColumn(column, bin_index(as_number(df, column), edges(*limits[column], n_bins)))
 
 
 class QuantileMap:
-    """Between a column and its quantile levels, linear between ``n`` exact quantiles."""
+    """Between a column and its quantile levels, linear between ``n`` exact quantiles; or the normal quantiles of these levels."""
 
     def __init__(self, values: list[float]):
         self.values = values
@@ -339,6 +354,20 @@ class QuantileMap:
         i = F.least(F.floor(at).cast("int"), F.lit(n - 2))
         return F.element_at(table, i + 1) + (at - i) * (F.element_at(table, i + 2) - F.element_at(table, i + 1))
 
+    @staticmethod
+    def default_count(rows: int) -> int:
+        """How many quantiles a transform to normal numbers takes."""
+        return max(min(rows // 30, 1000), 10)
+
+    def with_normal(self, df: DataFrame, x: Column, out: str, eps: float = 1e-7) -> DataFrame:
+        """Add ``out``: the normal quantile of the value's level, which is kept within [eps, 1 - eps]."""
+        level = df.withColumn(out, F.least(F.greatest(self.level(x), F.lit(eps)), F.lit(1 - eps)))  # a column of its own keeps the plan small
+        return level.withColumn(out, normal_quantile(F.col(out)))
+
+    def with_value(self, df: DataFrame, z: Column, out: str) -> DataFrame:
+        """Add ``out``: the value whose normal quantile is ``z``."""
+        return df.withColumn(out, normal_cdf(z)).withColumn(out, self.value(F.col(out)))
+
     def level(self, x: Column) -> Column:
         """The level of a value: the mean of its interpolations from below and above, so ties get their middle."""
         n, table = len(self.values), F.array(*[F.lit(float(v)) for v in self.values])

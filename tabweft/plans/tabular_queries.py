@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from tabweft.functions.normal import truncated_normals
 from tabweft.functions.randomness import bootstrap, hash_sample, stratified_split, uniform
 from tabweft.generators import diffusion as df_
 from tabweft.generators.base import SMOTEGenerator, UnivariateGenerator
 from tabweft.generators.trees import ARFGenerator, SynthpopGenerator
-from tabweft.operators import ml, privacy, scores
+from tabweft.operators import fidelity, mixtures, ml, privacy, scores
 from tabweft.operators import neighbours as nb
 from tabweft.operators import preprocess as pp
 from tabweft.plans.fidelity_queries import rounded
@@ -181,6 +182,56 @@ def _multinomial(spark, d):
     return rounded(base(spark, d).select("k", w.alias("weight")))
 
 
+def _times(spark, d):
+    """Every order with a time in (0, 1), a place and a level."""
+    return base(spark, d).select("k", ((F.col("k") % 97 + 1) / 99.0).alias("t"), (F.col("bal") / 10000).alias("x"), "status")
+
+
+def _levels(spark, d):
+    """Levels of a column among its quantiles, which a normal quantile function would take further."""
+    rows = base(spark, d).select("k", "bal")
+    return rows.select("k", pp.QuantileMap.fit(rows, "bal", 21).level(F.col("bal")).alias("level"))
+
+
+def _truncated(spark, d):
+    """A draw within [0, 2] around 0.5, from the exact ends of the distribution function at the levels."""
+    rows = base(spark, d).select("k", uniform(33, "t", "k").alias("u"))
+    out = truncated_normals(rows, {"x": (F.col("u"), F.lit(0.5), F.lit(1.0), F.lit(0.0), F.lit(2.0))})
+    return out.agg(F.count("*").alias("rows"), F.sum((F.col("x") < 0).cast("long") + (F.col("x") > 2).cast("long")).alias("outside"), F.round(F.avg("x"), 1).alias("mean"))
+
+
+def _steps_back(spark, d):
+    """One step of each sampler for every order."""
+    t, x = F.col("t"), F.col("x")
+    noise, den, to = uniform(31, "noise", "k"), x * math.sqrt(0.5) + 0.1, t / 2
+    euler = df_.edm_euler(x, den, t, to)
+    beta = df_.vp_beta(t)
+    return rounded(_times(spark, d).select(
+        "k", df_.flow_step(x, den, 0.1).alias("flow"), df_.vp_alpha_bar(t).alias("vp_bar"), df_.vp_step(x, den, beta, 0.01, noise).alias("vp"), df_.ddim(x, noise, F.lit(0.8)).alias("ddim"),
+        euler.alias("euler"), df_.edm_heun(x, den, t, euler, euler * math.sqrt(0.5) + 0.1, to).alias("heun"), df_.edm_weight(t).alias("weight"), df_.edm_churn(t, 50).alias("churn"),
+    ))
+
+
+def _noise_levels(spark, d):
+    t = F.col("t")
+    c = [F.lit(v) for v in (0.5, -0.3, 0.8)]
+    return rounded(_times(spark, d).select(
+        "k", df_.power_mean_sigma(t).alias("power_mean"), df_.log_linear_noise(t).alias("log_linear"), df_.log_linear_noise(t, power=1.5).alias("log_linear_column"),
+        df_.logistic_timewarp(t, 0.3, 1.7).alias("warp"), df_.logistic_timewarp_density(t, 0.3, 1.7).alias("warp_density"), df_.logistic_timewarp_quantile(t, 0.3, 1.7).alias("warp_quantile"),
+        df_.polynomial_gamma(t, *c).alias("gamma"), df_.polynomial_gamma_slope(t, *c).alias("gamma_slope"), df_.learning_rate(F.col("k") % 200, 150, 0.01, 0.001, 30).alias("rate"),
+    ))
+
+
+def _absorbing(spark, d):
+    mask = F.col("status") == "P"
+    return rounded(_times(spark, d).select("k", df_.absorbing_reverse(F.lit(0.6), mask, df_.masked_share(F.col("t")), df_.masked_share(F.col("t") / 2)).alias("share")))
+
+
+def _spread_times(spark, d):
+    rows = base(spark, d)
+    return rounded(df_.low_discrepancy_times(rows.select("k"), 1000, 5, "k").select("k", "t"))
+
+
 def _stamped(df):
     """Timestamps as text, the same in every engine and time zone."""
     return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
@@ -234,6 +285,16 @@ QUERIES = {
     "q_sample": _q_sample,
     "gaussian_posterior": _posterior,
     "multinomial_posterior": _multinomial,
+    "angle_schedule": lambda spark, d: rounded(df_.cosine_angle(spark, 50)),
+    "sampler_steps": _steps_back,
+    "noise_levels": _noise_levels,
+    "absorbing_reverse": _absorbing,
+    "low_discrepancy_times": _spread_times,
+    "quantile_normal": lambda spark, d: rounded(_levels(spark, d)),
+    "onehot_inverse": lambda spark, d: pp.onehot_inverse(pp.onehot(base(spark, d).select("k", "status"), "status", ["F", "O", "P"]), "status", ["F", "O", "P"]),
+    "density_curves": lambda spark, d: rounded(fidelity.density_curves(*sides(spark, d, "real", "syn"), FeatureSpec((), ("bal",)), 20)),
+    "truncated_normals": _truncated,
+    "distributional_tree": lambda spark, d: rounded(mixtures.distributional_tree(base(spark, d), "total", max_depth=2, min_bucket=20)),
     "dpi_attack": lambda spark, d: rounded(privacy.attack("dpi", *sides(spark, d, "train", "test", "syn"), SPEC)),
     "classifier_attack": lambda spark, d: rounded(privacy.attack("classifier", *sides(spark, d, "train", "test", "syn"), SPEC)),
     "domias_attack": lambda spark, d: rounded(privacy.attack("domias", *sides(spark, d, "train", "test", "syn"), SPEC)),
@@ -297,11 +358,23 @@ def _top(k: float) -> str:
     return f"(SELECT avg(y) FROM (SELECT y FROM sc ORDER BY a DESC, id DESC LIMIT (SELECT greatest(1, ceil({k}e0 * count(*)))::BIGINT FROM sc))) / (SELECT avg(y) FROM sc)"
 
 
+_ATTACK_SQL = "SELECT 'auc' AS metric, round(sum(pos * (cneg - neg / 2e0)) / max(p * n), 6) AS value FROM cu " + "".join(f" UNION ALL SELECT 'lift_{m}', round({_top(k)}, 6) UNION ALL SELECT 'tpr_at_fpr_{m}', round(coalesce((SELECT max((p - cpos + pos)::DOUBLE / p) FROM cu WHERE (n - cneg + neg)::DOUBLE / n <= {k}e0), 0), 6)" for k, m in ((0.1, "010"), (0.05, "005"), (0.01, "001")))
 _FILL = lambda e: f"WITH {_GAPS} SELECT p_partkey, round(coalesce(price, (SELECT {e} FROM gaps))::DOUBLE, 6) AS price FROM gaps"
 _BARS = lambda n: f"sch AS (SELECT t, beta, 1 - beta AS alpha, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS alpha_bar FROM (SELECT t::INT AS t, least(1 - power(cos(((t + 1) / {n}e0 + 0.008e0) / 1.008e0 * pi() / 2), 2) / power(cos((t / {n}e0 + 0.008e0) / 1.008e0 * pi() / 2), 2), 0.999e0) AS beta FROM range({n}) r(t)))"
 _UNI_Q = "[" + ", ".join(f"{i}e0 / 49" for i in range(50)) + "]"
 
 
+_TIMES = f"{_W}, tm AS (SELECT k, (k % 97 + 1) / 99e0 AS t, bal / 10000 AS x, status FROM base)"
+# the attack by the 20 nearest of reference and synthetic rows; ties go to the smaller 2 * key + side
+_DPI = f"""{_W}, te AS (SELECT *, row_number() OVER (ORDER BY {u_sql(0, 'mia-test', 'k')}, k) <= floor(0.5e0 * count(*) OVER ()) AS ref FROM test), reference AS (SELECT * FROM te WHERE ref),
+    rws AS (SELECT k, {', '.join(NUM + CAT)}, 0 AS y FROM te WHERE NOT ref UNION ALL SELECT k, {', '.join(NUM + CAT)}, 1 FROM train),
+    lim AS (SELECT {', '.join(f'min({c})::DOUBLE AS {c}_lo, (max({c}) - min({c}))::DOUBLE AS {c}_w' for c in NUM)} FROM reference),
+    pool AS (SELECT 2 * k AS id, 0 AS s, {', '.join(f'({c} - {c}_lo) / {c}_w AS {c}' for c in NUM)}, {', '.join(CAT)} FROM reference, lim UNION ALL SELECT 2 * k + 1, 1, {', '.join(f'({c} - {c}_lo) / {c}_w' for c in NUM)}, {', '.join(CAT)} FROM syn, lim),
+    qs AS (SELECT k, y, {', '.join(f'({c} - {c}_lo) / {c}_w AS {c}' for c in NUM)}, {', '.join(CAT)}, {', '.join(f'CASE WHEN {c} IN (SELECT {c} FROM pool) THEN 1e0 ELSE 0.5e0 END AS {c}_cost' for c in CAT)} FROM rws, lim),
+    nr AS (SELECT q.k, q.y, min((({' + '.join([f'abs(q.{c} - r.{c})' for c in NUM] + [f"CASE WHEN q.{c} = r.{c} THEN 0e0 ELSE q.{c}_cost END" for c in CAT])}), r.id), 20) AS best FROM qs q, pool r GROUP BY 1, 2),
+    sc AS (SELECT k AS id, y, coalesce(list_sum([b[2] % 2 FOR b IN best])::DOUBLE / nullif(list_sum([1 - b[2] % 2 FOR b IN best]), 0), 0) AS a FROM nr)"""
+
+
 def _cum(c: str) -> str:
     return f"w_{c} AS (SELECT v, hi, coalesce(lag(hi) OVER (ORDER BY v), 0) AS lo FROM (SELECT {c} AS v, sum(count(*)) OVER (ORDER BY {c}) / (sum(count(*)) OVER ())::DOUBLE AS hi FROM base GROUP BY {c}))"
 
@@ -327,7 +400,7 @@ SQL = {
     "prdc": f"{_PRDC} SELECT 'precision' AS metric, round(avg(hit), 6) AS value FROM bs UNION ALL SELECT 'density', round(avg(n) / 5, 6) FROM bs UNION ALL SELECT 'recall', round(avg(hit), 6) FROM br UNION ALL SELECT 'coverage', round(avg(cov), 6) FROM br",
     "alpha_beta_curves": f"{_CURVES} SELECT round(alpha, 6) AS alpha, round(precision, 6) AS precision, round(recall, 6) AS recall FROM curves",
     "alpha_precision_beta_recall": f"{_CURVES} SELECT 'precision' AS metric, round(1 - sum(abs(alpha - precision)) / sum(alpha), 6) AS value FROM curves UNION ALL SELECT 'recall', round(1 - sum(abs(alpha - recall)) / sum(alpha), 6) FROM curves",
-    "attack_scores": f"{_SCORED}, {_STEPS} SELECT 'auc' AS metric, round(sum(pos * (cneg - neg / 2e0)) / max(p * n), 6) AS value FROM cu " + "".join(f" UNION ALL SELECT 'lift_{m}', round({_top(k)}, 6) UNION ALL SELECT 'tpr_at_fpr_{m}', round(coalesce((SELECT max((p - cpos + pos)::DOUBLE / p) FROM cu WHERE (n - cneg + neg)::DOUBLE / n <= {k}e0), 0), 6)" for k, m in ((0.1, "010"), (0.05, "005"), (0.01, "001"))),
+    "attack_scores": f"{_SCORED}, {_STEPS} " + _ATTACK_SQL,
     "ensemble_rank_avg": f"{_SCORED} SELECT id, round(({_AVG_RANK('a')} + {_AVG_RANK('b')}) / 2, 6) AS score FROM sc",
     "ensemble_mean": f"{_SCORED} SELECT id, round(((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ())) / 2, 6) AS score FROM sc",
     "weighted_f1": f"{_W}, p AS (SELECT priority AS label, CASE WHEN {u_sql(6, 'pred', 'k')} < 0.7e0 THEN priority ELSE '5-LOW' END AS prediction FROM base), c AS (SELECT DISTINCT label AS c FROM p), f AS (SELECT c, (SELECT count(*) FROM p WHERE label = c) AS t, (SELECT count(*) FROM p WHERE prediction = c) AS s, (SELECT count(*) FROM p WHERE prediction = c AND label = c) AS h FROM c) SELECT round(sum(t * 2e0 * h / (t + s)) / sum(t), 6) AS f1, round(sum(h)::DOUBLE / sum(t), 6) AS accuracy FROM f",
@@ -344,6 +417,15 @@ SQL = {
     "gaussian_posterior": f"{_W}, {_BARS(10)} SELECT k, round(sqrt(alpha_bar / alpha) * beta / (1 - alpha_bar) * bal / 10000 + sqrt(alpha) * (1 - alpha_bar / alpha) / (1 - alpha_bar) * bal / 20000, 6) AS mean, round(beta * (1 - alpha_bar / alpha) / (1 - alpha_bar), 6) AS variance FROM base JOIN sch ON t = k % 10",
     "event_constraint_rates": "SELECT strftime(date_trunc('hour', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS rows, sum((NOT value >= 50)::INT)::BIGINT AS value_gte_50_violations, sum((event_type = 'click')::INT)::BIGINT AS event_type_neq_click_violations FROM events GROUP BY 1, 2",
     "event_level_counts": "SELECT strftime(date_trunc('day', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
+    "angle_schedule": "WITH a AS (SELECT t, pow(cos(acos(sqrt(0.9999e0)) + t * (acos(sqrt(0.0001e0)) - acos(sqrt(0.9999e0))) / 49), 2) AS bar FROM range(50) r(t)), b AS (SELECT t, least(greatest(1 - CASE WHEN t = 0 THEN bar ELSE bar / lag(bar) OVER (ORDER BY t) END, 0.00000001e0), 0.999e0) AS beta FROM a) SELECT t::INT AS t, round(beta, 6) AS beta, round(1 - beta, 6) AS alpha, round(exp(sum(ln(1 - beta)) OVER (ORDER BY t)), 6) AS alpha_bar FROM b",
+    "sampler_steps": f"{_TIMES}, n AS (SELECT *, {u_sql(31, 'noise', 'k')} AS z, x * sqrt(0.5e0) + 0.1e0 AS d, 0.1e0 + t * 7.9e0 AS b FROM tm), e AS (SELECT *, x + (t / 2 - t) * (x - d) / t AS e FROM n) SELECT k, round(x + 0.1e0 * d, 6) AS flow, round(exp(-0.5e0 * t * t * 7.9e0 - t * 0.1e0), 6) AS vp_bar, round(x + (0.5e0 * b * x + b * d) * 0.01e0 + sqrt(b * 0.01e0) * z, 6) AS vp, round(sqrt(0.8e0) * x + sqrt(0.2e0) * z, 6) AS ddim, round(e, 6) AS euler, round(x + (t / 2 - t) * 0.5e0 * ((x - d) / t + (e - (e * sqrt(0.5e0) + 0.1e0)) / (t / 2)), 6) AS heun, round((t * t + 0.25e0) / pow(t * 0.5e0, 2), 6) AS weight, round(t * 1.02e0, 6) AS churn FROM e",
+    "noise_levels": f"{_TIMES}, p AS (SELECT *, exp(-1.7e0 * (ln(t / (1 - t)) - ln(0.3e0 / 0.7e0))) AS w, 0.25e0 / 5 + 0.5e0 * -0.3e0 / 2 + (0.09e0 + 2 * 0.5e0 * 0.8e0) / 3 + -0.3e0 * 0.8e0 + 0.64e0 AS whole FROM tm) SELECT k, round(pow(pow(0.002e0, 1e0 / 7) + t * (pow(80e0, 1e0 / 7) - pow(0.002e0, 1e0 / 7)), 7), 6) AS power_mean, round(-ln(1 - 0.999e0 * t), 6) AS log_linear, round(-ln(1 - 0.999e0 * pow(t, 1.5e0)), 6) AS log_linear_column, round(1 / (1 + w), 6) AS warp, round(1.7e0 / (t * (1 - t)) * w / pow(1 + w, 2), 6) AS warp_density, round(1 / (1 + exp(-(ln(0.3e0 / 0.7e0) + ln(t / (1 - t)) / 1.7e0))), 6) AS warp_quantile, round(-7 + 14 * (0.25e0 * pow(t, 5) / 5 + 0.5e0 * -0.3e0 * pow(t, 4) / 2 + (0.09e0 + 0.8e0) * pow(t, 3) / 3 + -0.3e0 * 0.8e0 * t * t + 0.64e0 * t) / whole, 6) AS gamma, round(14 * pow(0.5e0 * t * t - 0.3e0 * t + 0.8e0, 2) / whole, 6) AS gamma_slope, round(CASE WHEN k % 200 < 30 THEN 0.01e0 * (k % 200) / 30 ELSE 0.01e0 + (0.001e0 - 0.01e0) / 120 * (least(k % 200, 150) - 30) END, 6) AS rate FROM p",
+    "absorbing_reverse": f"{_TIMES} SELECT k, round(CASE WHEN status = 'P' THEN 0.999e0 * t / 2 ELSE 0.6e0 * (0.999e0 * t - 0.999e0 * t / 2) END / (0.999e0 * t), 6) AS share FROM tm",
+    "low_discrepancy_times": f"{_W} SELECT k, round(fmod({u_sql(5, 'time', '0')} + k / 1000e0, 1e0), 6) AS t FROM base",
+    "quantile_normal": f"{_W}, q AS (SELECT quantile_cont(bal, [" + ", ".join(f"{i}e0 / 20" for i in range(21)) + "]) AS q FROM base), b AS (SELECT k, bal, q, len(list_filter(q, lambda v: v < bal)) AS lo, len(list_filter(q, lambda v: v <= bal)) AS up FROM base, q) SELECT k, round(((CASE WHEN lo = 0 THEN 0e0 WHEN lo >= 21 THEN 1e0 ELSE (lo - 1 + (bal - q[lo]) / (q[lo + 1] - q[lo])) / 20 END) + (CASE WHEN up = 0 THEN 0e0 WHEN up >= 21 THEN 1e0 ELSE (up - 1 + coalesce((bal - q[greatest(least(up, 20), 1)]) / (q[greatest(least(up, 20), 1) + 1] - q[greatest(least(up, 20), 1)]), 0)) / 20 END)) / 2, 6) AS level FROM b",
+    "onehot_inverse": f"{_W} SELECT k, status FROM base",
+    "density_curves": real_sql(f"{_W}, v AS (SELECT 0 AS side, bal AS x FROM train UNION ALL SELECT 1, bal FROM syn), l AS (SELECT min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM v), c AS (SELECT side, least(floor((x - lo) / ((hi - lo) / 1000)), 999) AS b, count(*) AS n FROM v, l GROUP BY 1, 2), s AS (SELECT side, count(*) AS total, stddev_samp(x) * pow(count(*), -0.2e0) AS h FROM v GROUP BY 1), p AS (SELECT i, lo + i * (hi - lo) / 19 AS x FROM range(20) r(i), l), d AS (SELECT i, p.x, side, sum(n * exp(-0.5e0 * pow((p.x - (lo + (b + 0.5e0) * (hi - lo) / 1000)) / h, 2)) / (total * h * sqrt(2 * pi()))) AS d FROM p, c JOIN s USING (side), l GROUP BY 1, 2, 3) SELECT 'bal' AS variable, round(x, 6) AS x, round(max(d) FILTER (side = 0), 6) AS real_density, round(max(d) FILTER (side = 1), 6) AS syn_density FROM d GROUP BY i, x"),
+    "dpi_attack": f"{_DPI}, {_STEPS} " + _ATTACK_SQL,
     "multinomial_posterior": f"{_W} SELECT k, round((0.9e0 * (status = 'F')::INT + 0.1e0 / 3) * (0.7e0 * 0.6e0 + 0.3e0 / 3), 6) AS weight FROM base",
 }
 SQL |= {name: real_sql(SQL[name]) for name in ("gower_nearest", "gower_top_3", "prdc", "alpha_beta_curves", "alpha_precision_beta_recall")}

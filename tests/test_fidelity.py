@@ -48,7 +48,7 @@ def test_edge_cases(spark):
 def test_expressions(spark):
     df = spark.createDataFrame([(7, -3, None), (-7, 3, 1.0)], "a int, b int, c double")
     got = df.select(translate("a % b").alias("m"), translate("(a > 0) & ~(b > 0)").alias("l"), translate("-8 < a < 0 or c == 2").alias("r"), translate("a ** 2 // 2").alias("p"), translate("a in [7, 8]").alias("i")).collect()
-    assert [tuple(r) for r in got] == [(-2, True, None, 24, True), (2, False, True, 24, False)]
+    assert [tuple(r) for r in got] == [(-2, True, False, 24, True), (2, False, True, 24, False)]
     with pytest.raises(ValueError):
         translate("f(a)")
     with pytest.raises(ValueError):

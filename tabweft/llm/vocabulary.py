@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: Entries that a worker remembers before it starts anew, and bytes of the longest word that it remembers; both bound its memory.
 MEMO, MEMO_BYTES = 250_000, 64
+#: Entries of one of a memo's two generations.
+GENERATION = 200_000
 
 #: Words for which normaliser and splitter are the identity but for lower case: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+#: Whether the machine's unsigned int is that of the file format.
+_U4 = array("I").itemsize == 4 and sys.byteorder == "little"
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -21,14 +29,27 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    if _U4:
+        return array("I", ids).tobytes()  # several times faster on a few ids
+    return np.array(ids, "<u4").tobytes()
+
+
 class _Memo(dict):
-    def __init__(self, make):
-        self.make = make
+    """Values by key in two generations: a full one becomes the old one, from which only what is asked for again moves on."""
+
+    def __init__(self, make, generation: int = GENERATION):
+        self.make, self.generation = make, generation
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_BYTES:
-            if len(self) >= MEMO:
+            if len(self) >= self.generation:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -47,18 +68,20 @@ class WordVocabulary:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.words, self.pieces = _Memo(self._word), _Memo(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join(map(self.symbols.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        # of printable ASCII each byte stands for itself
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+        return _packed([t.id for t in self.model.tokenize(mapped)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if "<|" not in text and _PLAIN.match(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            pieces = _PIECES.findall(text.lower())
+            return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split()))

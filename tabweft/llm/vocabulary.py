@@ -16,8 +16,6 @@ GENERATION = 200_000
 #: Words for which normaliser and splitter are the identity but for lower case: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
 #: Whether the machine's unsigned int is that of the file format.
 _U4 = array("I").itemsize == 4 and sys.byteorder == "little"
 
@@ -77,6 +75,8 @@ class WordVocabulary:
         return _packed([t.id for t in self.model.tokenize(mapped)])
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one piece
+            return self.pieces[word.lower().decode()]
         text = word.decode()
         if "<|" not in text and _PLAIN.match(text):
             pieces = _PIECES.findall(text.lower())

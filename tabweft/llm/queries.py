@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweft.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_output, toxicity, warc
+from tabweft.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_output, toxicity, vector_packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "op12_vector_packing": vector_packing.op12_vector_packing,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweft.llm import alignment, bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_output, toxicity, vector_packing, warc
+from tabweft.llm import alignment, bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_output, toxicity, variants, vector_packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
         "op11_token_alignment": alignment.op11_token_alignment,
         "op12_vector_packing": vector_packing.op12_vector_packing,
+        "op13_spelling_variants": variants.op13_spelling_variants,
     }
 
 

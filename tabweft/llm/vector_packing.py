@@ -164,8 +164,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, prompt: str | None = No
             firsts = [max(0, p or 0) for p in batch.column("prompt").to_pylist()]
             for at, some in runs_of(texts):
                 cols: list[list] = [[] for _ in names]
-                for k, ids in enumerate(words.encode(some), at):
-                    ids += end
+                for k, text in enumerate(some, at):
+                    ids = words.packed(text) + end
                     held[number] = [doc_ids[k], ids, len(ids) // 4, firsts[k]]
                     rows(window.add(number, len(ids) // 4, firsts[k]), cols)
                     number += 1

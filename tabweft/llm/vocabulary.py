@@ -27,7 +27,7 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     if _U4:
         return array("I", ids).tobytes()  # several times faster on a few ids
@@ -72,7 +72,7 @@ class WordVocabulary:
     def _piece(self, piece: str) -> bytes:
         # of printable ASCII each byte stands for itself
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-        return _packed([t.id for t in self.model.tokenize(mapped)])
+        return packed([t.id for t in self.model.tokenize(mapped)])
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters alone are one piece
@@ -81,7 +81,7 @@ class WordVocabulary:
         if "<|" not in text and _PLAIN.match(text):
             pieces = _PIECES.findall(text.lower())
             return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split()))

@@ -86,13 +86,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, label: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``partition_by``: a column with a folder for each value.
 
     Cuts the lineage in a way that survives the loss of an executor and lets later scans prune columns.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,10 @@ _KNOWN = {
     "arf": "tabweft.generators.trees:ARFGenerator",
     "xgbdiffusion": "tabweft.generators.diffusion:BoostedFlowGenerator",
     "xgbddpm": "tabweft.generators.diffusion:BoostedDiffusionGenerator",
+    "tabddpm": "tabweft.generators.tabddpm:TabDDPMGenerator",
 }
-#: Known designs that need a neural network library, which Spark does not have.
-_NEURAL = ("tabddpm", "tabsyn", "tabdiff", "cdtd", "tabcascade", "ctgan", "tvae")
+#: Known designs whose networks are not built yet.
+_NEURAL = ("tabsyn", "tabdiff", "cdtd", "tabcascade", "ctgan", "tvae")
 
 
 def all_generators() -> list[str]:
@@ -20,11 +21,11 @@ def all_generators() -> list[str]:
 
 
 def get_generator(name: str):
-    """The class; ValueError for an unknown name, NotImplementedError for one that needs a neural network."""
+    """The class; ValueError for an unknown name, NotImplementedError for one that is not built yet."""
     import importlib
 
     if name in _NEURAL:
-        raise NotImplementedError(f"{name} trains a neural network, which has no Spark counterpart here; generators are {all_generators()}")
+        raise NotImplementedError(f"{name} is not built yet; generators are {all_generators()}")
     if name not in _KNOWN:
         raise ValueError(f"unknown generator {name!r}; generators are {all_generators()}")
     module, _, kind = _KNOWN[name].partition(":")

@@ -10,6 +10,7 @@ from tabweft.functions.normal import truncated_normals
 from tabweft.functions.randomness import bootstrap, hash_sample, stratified_split, uniform
 from tabweft.generators import diffusion as df_
 from tabweft.generators.base import SMOTEGenerator, UnivariateGenerator
+from tabweft.generators.tabddpm import TabDDPMGenerator
 from tabweft.generators.trees import ARFGenerator, SynthpopGenerator
 from tabweft.operators import fidelity, mixtures, ml, privacy, scores
 from tabweft.operators import neighbours as nb
@@ -143,6 +144,13 @@ def _univariate(spark, d):
     return rounded(made)
 
 
+def _tabddpm(spark, d):
+    """As many rows as were fitted, by a small network."""
+    rows = sides(spark, d, "all")[0].drop("k")
+    model = TabDDPMGenerator("status", epochs=10, lr=0.01, batch_size=256, num_timesteps=30, embedding_dim=32, model_params={"n_units_hidden": 64, "n_layers_hidden": 2})
+    return rounded(model.fit(rows, list(CAT)).generate(rows.count()))
+
+
 def _minmax(spark, d):
     return rounded(pp.minmax_scale(base(spark, d).select("k", "total", "bal"), ["total", "bal"]))
 
@@ -309,6 +317,7 @@ QUERIES = {
     "arf_generator": lambda spark, d: rounded(ARFGenerator(num_trees=5, max_iters=2, max_depth=5).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
     "xgbdiffusion_generator": lambda spark, d: rounded(df_.BoostedFlowGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
     "xgbddpm_generator": lambda spark, d: rounded(df_.BoostedDiffusionGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
+    "tabddpm_generator": _tabddpm,
 }
 
 _LIM = "lim AS (SELECT " + ", ".join(f"min({c})::DOUBLE AS {c}_lo, (max({c}) - min({c}))::DOUBLE AS {c}_w" for c in NUM) + " FROM train)"

@@ -1,4 +1,4 @@
-"""Diffusion schedules and updates as column expressions, and generators with boosted trees as denoisers."""
+"""Diffusion schedules and updates as column expressions."""
 
 from __future__ import annotations
 
@@ -177,142 +177,3 @@ def low_discrepancy_times(df: DataFrame, n: int, seed: int, row_id: str) -> Data
     """Add ``t``: one uniform offset, then evenly spread over the ``n`` rows with dense ids."""
     offset = uniform(seed, "time", F.lit(0))
     return df.withColumn("t", F.pmod(offset + F.col(row_id) / F.lit(float(n)), F.lit(1.0)))
-
-
-class _Boosted(BaseGenerator):
-    """Numbers scaled to [-1, 1] are moved from noise to data; categories and missing flags are drawn from their joint shares."""
-
-    flags_missing = True
-
-    def __init__(self, target_column: str | None = None, num_timesteps: int = 50, max_iter: int = 10, max_depth: int = 4, clip_extremes: bool = True, random_state: int = 0):
-        super().__init__(random_state)
-        self.target, self.steps, self.max_iter, self.max_depth, self.clip = target_column, num_timesteps, max_iter, max_depth, clip_extremes
-
-    def _fit(self, df: DataFrame) -> None:
-        from tabweft.functions.binning import ranges
-
-        self.limits = ranges([df], list(self.spec.numerical), as_number) if self.spec.numerical else {}
-        keys = [as_level(c).alias(c) for c in self.spec.discrete]
-        scaled = [(2 * (as_number(df, c) - lo) / ((hi - lo) or 1.0) - 1).alias(c) for c, (lo, hi) in self.limits.items()]
-        self.rows = materialize(df.select(F.monotonically_increasing_id().alias("__id"), *scaled, *keys), "boosted")
-        self.indexer = Pipeline(stages=[StringIndexer(inputCol=c, outputCol=f"__s_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in self.spec.discrete]).fit(self.rows)
-        self.joint = self._joint() if self.spec.discrete else None
-        self.models = [{c: self._model(c, k) for c in self.limits} for k in range(self.steps)]
-
-    def _joint(self) -> DataFrame | None:
-        """Every combination of levels with its stretch of the rows in order."""
-        keys = list(self.spec.discrete)
-        table, self.total, self.width = stretches(self.rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
-        return table
-
-    def _noise(self, c: str, row_id: str, name: str) -> Column:
-        return quantile(uniform(self.random_state, f"{name}:{c}", row_id))
-
-    def _assembled(self, df: DataFrame, prefix: str) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
-        names = [f"__s_{c}" for c in self.spec.discrete]
-        coded = self.indexer.transform(df).withColumns({f"__i_{c}": F.col(f"__s_{c}") + 0.0 for c in self.spec.discrete}).drop(*names)
-        return VectorAssembler(inputCols=[f"{prefix}{c}" for c in self.limits] + [f"__i_{c}" for c in self.spec.discrete], outputCol="__x").transform(coded)
-
-    def _boost(self, df: DataFrame, label: Column):
-        from pyspark.ml.regression import GBTRegressor
-
-        return GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="__p", maxIter=self.max_iter, maxDepth=self.max_depth, seed=self.random_state).fit(df.withColumn("__y", label))
-
-    def _start(self, n: int) -> DataFrame:
-        rows = self.spark.range(n)
-        if self.joint is not None:
-            rows = drawn(rows, uniform(self.random_state, "levels", "id"), self.joint, self.total, self.width)
-        rows = rows.withColumns({f"u_{c}": uniform(self.random_state, f"start:{c}", "id") for c in self.limits})
-        return rows.withColumns({f"z_{c}": quantile(F.col(f"u_{c}")) for c in self.limits}).drop(*[f"u_{c}" for c in self.limits])
-
-    def _finish(self, rows: DataFrame) -> DataFrame:
-        out = []
-        for c, (lo, hi) in self.limits.items():
-            z = F.least(F.greatest(F.col(f"z_{c}"), F.lit(-1.0)), F.lit(1.0)) if self.clip else F.col(f"z_{c}")
-            out.append(((z + 1) / 2 * (hi - lo) + lo).alias(c))
-        return self._typed(rows.select("id", *out, *self.spec.discrete))
-
-
-class BoostedFlowGenerator(_Boosted):
-    """A model for each step and column. ``flow``: it predicts data minus noise, Euler steps lead from noise to data;
-    ``vp``: it predicts the score of the variance-preserving process, Euler-Maruyama steps lead back from its end."""
-
-    def __init__(self, *args, diffusion_type: str = "flow", beta_min: float = 0.1, beta_max: float = 8.0, eps: float = 1e-3, **kwargs):
-        super().__init__(*args, **kwargs)
-        if diffusion_type not in ("flow", "vp"):
-            raise ValueError("diffusion_type is flow or vp")
-        self.kind, self.beta_min, self.beta_max, self.eps = diffusion_type, beta_min, beta_max, eps
-
-    def _bar(self, t: float) -> float:
-        return math.exp(-0.5 * t * t * (self.beta_max - self.beta_min) - t * self.beta_min)
-
-    def _time(self, k: int) -> float:
-        return 1.0 - k * (1.0 - self.eps) / self.steps
-
-    def _model(self, c: str, k: int):
-        if self.kind == "vp":
-            bar = self._bar(self._time(k))
-            a, s = math.sqrt(bar), math.sqrt(1 - bar)
-            noise = lambda x: self._noise(x, "__id", f"fit{k}")
-            mixed = self.rows.select("*", *[(a * F.col(x) + s * noise(x)).alias(f"z_{x}") for x in self.limits])
-            return self._boost(self._assembled(mixed, "z_"), -noise(c) / s)
-        t = (k + 0.5) / self.steps
-        mixed = self.rows.select("*", *[(t * F.col(x) + (1 - t) * self._noise(x, "__id", f"fit{k}")).alias(f"z_{x}") for x in self.limits])
-        return self._boost(self._assembled(mixed, "z_"), F.col(c) - self._noise(c, "__id", f"fit{k}"))
-
-    def _generate(self, n: int) -> DataFrame:
-        rows = materialize(self._start(n), "flow")
-        for k in range(self.steps):
-            for c in self.limits:
-                rows = self.models[k][c].transform(self._assembled(rows, "z_")).withColumn(f"v_{c}", F.col("__p")).drop("__x", "__p", *[f"__i_{d}" for d in self.spec.discrete])
-            h = 1.0 / self.steps
-            if self.kind == "vp":
-                beta = F.lit(self.beta_min + self._time(k) * (self.beta_max - self.beta_min))
-                moved = [vp_step(F.col(f"z_{c}"), F.col(f"v_{c}"), beta, h * (1 - self.eps), self._noise(c, "id", f"step{k}") if k + 1 < self.steps else F.lit(0.0)).alias(f"z_{c}") for c in self.limits]
-            else:
-                moved = [flow_step(F.col(f"z_{c}"), F.col(f"v_{c}"), h).alias(f"z_{c}") for c in self.limits]
-            rows = materialize(rows.select("id", *self.spec.discrete, *moved), "flow")
-        return self._finish(rows)
-
-
-class BoostedDiffusionGenerator(_Boosted):
-    """Diffusion with the velocity objective: models predict it at every step; deterministic or ancestral updates."""
-
-    def __init__(self, *args, deterministic_sampler: bool = True, **kwargs):
-        super().__init__(*args, **kwargs)
-        self.deterministic = deterministic_sampler
-
-    def _bar(self, k: int) -> float:
-        return cosine_angle_bars(self.steps)[k - 1] if k else 1.0
-
-    def _model(self, c: str, k: int):
-        bar = self._bar(k + 1)
-        a, s = math.sqrt(bar), math.sqrt(1 - bar)
-        noise = lambda x: self._noise(x, "__id", f"fit{k}")
-        mixed = self.rows.select("*", *[(a * F.col(x) + s * noise(x)).alias(f"z_{x}") for x in self.limits])
-        return self._boost(self._assembled(mixed, "z_"), a * noise(c) - s * F.col(c))
-
-    def _generate(self, n: int) -> DataFrame:
-        rows = materialize(self._start(n), "diffusion")
-        for k in reversed(range(self.steps)):
-            for c in self.limits:
-                rows = self.models[k][c].transform(self._assembled(rows, "z_")).withColumn(f"v_{c}", F.col("__p")).drop("__x", "__p", *[f"__i_{d}" for d in self.spec.discrete])
-            bar, before = self._bar(k + 1), self._bar(k)
-            a, s = math.sqrt(bar), math.sqrt(1 - bar)
-            out = []
-            for c in self.limits:
-                z, v = F.col(f"z_{c}"), F.col(f"v_{c}")
-                x0, noise = a * z - s * v, s * z + a * v
-                if self.deterministic or not k:
-                    out.append(ddim(x0, noise, F.lit(before)).alias(f"z_{c}"))
-                else:
-                    mean, variance = posterior(x0, z, F.lit(1 - bar / before), F.lit(bar), F.lit(before))  # the ancestral update
-                    out.append((mean + F.sqrt(variance) * self._noise(c, "id", f"step{k}")).alias(f"z_{c}"))
-            rows = materialize(rows.select("id", *self.spec.discrete, *out), "diffusion")
-        return self._finish(rows)
-
-
-def level_table(df: DataFrame, columns) -> dict[str, list[tuple[str, float]]]:
-    return {c: level_shares(df, c) for c in columns}

@@ -8,8 +8,8 @@ _KNOWN = {
     "smote": "tabweft.generators.base:SMOTEGenerator",
     "synthpop": "tabweft.generators.trees:SynthpopGenerator",
     "arf": "tabweft.generators.trees:ARFGenerator",
-    "xgbdiffusion": "tabweft.generators.diffusion:BoostedFlowGenerator",
-    "xgbddpm": "tabweft.generators.diffusion:BoostedDiffusionGenerator",
+    "xgbdiffusion": "tabweft.generators.boosted:BoostedFlowGenerator",
+    "xgbddpm": "tabweft.generators.boosted:BoostedDiffusionGenerator",
     "tabddpm": "tabweft.generators.tabddpm:TabDDPMGenerator",
 }
 #: Known designs whose networks are not built yet.

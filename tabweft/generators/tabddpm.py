@@ -14,13 +14,12 @@ from tabweft.cluster import materialize, ship_package
 from tabweft.functions.counter import normals, uniforms
 from tabweft.functions.normal import cdf
 from tabweft.functions.randomness import uniform
-from tabweft.generators.base import BaseGenerator
+from tabweft.generators.boosted import picked
+from tabweft.generators.base import BaseGenerator, level_at, level_lists
 from tabweft.operators.network import STATE_BYTES, Adam, Denoiser, Trainer
 from tabweft.operators.preprocess import QuantileMap
-from tabweft.spec import FeatureSpec, as_level, as_number
+from tabweft.spec import as_level, as_number
 
-#: Levels of all categories together: the width of the network grows with them. More raise ValueError.
-MAX_LEVELS = 4096
 #: Size of the normal scores of a column's ends; what is predicted to lie beyond is drawn back to it.
 LARGEST = 5.2
 
@@ -43,12 +42,6 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def picked(shares: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The level of every row at ``u`` of its shares."""
-    upto = np.cumsum(shares, 1)
-    return np.minimum((upto < u[:, None] * upto[:, -1:]).sum(1), shares.shape[1] - 1)
-
-
 class MixedDiffusion:
     """Losses, gradients and reverse steps of rows (numbers, codes, class).
 
@@ -176,14 +169,14 @@ class TabDDPMGenerator(BaseGenerator):
         if self.target is not None and self.target not in df.columns:
             raise ValueError(f"columns not found: {[self.target]}")
         given = self.target if self.target in self.spec.discrete else None
-        found = self._levels(df)
+        found = level_lists(df, self.spec.discrete)
         self.labels = found.pop(given) if given else []
         self.levels = {c: [v for v, _ in rows] for c, rows in found.items()}
         self.maps = {c: QuantileMap.fit(df.where(as_number(df, c).isNotNull()), c, QuantileMap.default_count(df.count())) for c in self.spec.numerical}
         rows = df.select(*[as_number(df, c).alias(c) for c in self.spec.numerical], *[as_level(c).alias(c) for c in self.spec.discrete])
         for i, c in enumerate(self.spec.numerical):
             rows = self.maps[c].with_normal(rows, F.col(c), f"__x{i}")
-        code = lambda c, levels: (F.array_position(F.array(*map(F.lit, levels)), F.col(c)) - 1).cast("long")  # noqa: E731 - MAX_LEVELS at most
+        code = lambda c, levels: (F.array_position(F.array(*map(F.lit, levels)), F.col(c)) - 1).cast("long")
         packed = rows.select(
             F.monotonically_increasing_id().alias("id"),
             F.array(*[F.col(f"__x{i}") for i in range(len(self.spec.numerical))]).cast("array<double>").alias("x"),
@@ -199,17 +192,6 @@ class TabDDPMGenerator(BaseGenerator):
         fitted, self.losses = trainer.fit(train, model, model.network.start(self.random_state))
         self.parameters = fitted.tolist()
 
-    def _levels(self, df: DataFrame) -> dict[str, list[tuple[str, int]]]:
-        """Levels of each category in ascending order with their counts; ValueError beyond MAX_LEVELS."""
-        out: dict[str, list[tuple[str, int]]] = {}
-        for c in self.spec.discrete:
-            room = MAX_LEVELS - sum(map(len, out.values()))
-            rows = df.groupBy(as_level(c).alias("v")).agg(F.count("*").alias("n")).limit(room + 1).collect()
-            if len(rows) > room:
-                raise ValueError(f"the categories have more than {MAX_LEVELS} levels; lump rare ones first")
-            out[c] = sorted((r["v"], r["n"]) for r in rows)
-        return out
-
     def _generate(self, n: int) -> DataFrame:
         model, seed = self._model(), self.random_state
         parameters = np.array(self.parameters)
@@ -230,10 +212,9 @@ class TabDDPMGenerator(BaseGenerator):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), listed(x.astype(float), numbers), listed(c.astype(np.int64), codes), pa.array(y.astype(np.int64))], names=["id", "x", "c", "y"])
 
         rows = self.spark.range(n).withColumn("u", uniform(seed, "class", "id")).mapInArrow(run, "id long, x array<double>, c array<bigint>, y long")
-        level = lambda levels, at: F.element_at(F.array(*map(F.lit, levels)), (at + 1).cast("int"))
-        out = {c: level(v, F.col("c")[i]) for i, (c, v) in enumerate(self.levels.items())}
+        out = {c: level_at(v, F.col("c")[i]) for i, (c, v) in enumerate(self.levels.items())}
         if self.labels:
-            out[self.target] = level([v for v, _ in self.labels], F.col("y"))
+            out[self.target] = level_at([v for v, _ in self.labels], F.col("y"))
         rows = rows.withColumns({f"__u{i}": cdf(F.col("x")[i]) for i in range(numbers)}) if numbers else rows
         out |= {c: self.maps[c].value(F.col(f"__u{i}")) for i, c in enumerate(self.spec.numerical)}
         return self._typed(rows.select("id", *[out[c].alias(c) for c in self.columns]))

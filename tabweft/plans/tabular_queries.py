@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabweft.functions.normal import truncated_normals
 from tabweft.functions.randomness import bootstrap, hash_sample, stratified_split, uniform
 from tabweft.generators import diffusion as df_
+from tabweft.generators.boosted import BoostedDiffusionGenerator, BoostedFlowGenerator
 from tabweft.generators.base import SMOTEGenerator, UnivariateGenerator
 from tabweft.generators.tabddpm import TabDDPMGenerator
 from tabweft.generators.trees import ARFGenerator, SynthpopGenerator
@@ -144,10 +145,9 @@ def _univariate(spark, d):
     return rounded(made)
 
 
-def _tabddpm(spark, d):
-    """As many rows as were fitted, by a small network."""
+def _as_many(spark, d, model):
+    """As many rows as were fitted."""
     rows = sides(spark, d, "all")[0].drop("k")
-    model = TabDDPMGenerator("status", epochs=10, lr=0.01, batch_size=256, num_timesteps=30, embedding_dim=32, model_params={"n_units_hidden": 64, "n_layers_hidden": 2})
     return rounded(model.fit(rows, list(CAT)).generate(rows.count()))
 
 
@@ -312,12 +312,12 @@ QUERIES = {
     "mle": lambda spark, d: _dict(spark, ml.mle(*sides(spark, d, "train", "test", "syn"), _ML_SPEC, "status", model_name="randomforest", params={"numTrees": 10, "maxDepth": 4})),
     "classifier_test": lambda spark, d: _dict(spark, {"auc": ml.classifier_test(*(x := sides(spark, d, "train", "test", "syn"))[:2], x[2].where(uniform(1, "half", "k") < 0.7), x[2].where(uniform(1, "half", "k") >= 0.7), SPEC, params=_SMALL)}),
     "aia": lambda spark, d: _dict(spark, ml.aia(*sides(spark, d, "real", "syn"), SPEC, ["priority", "bal"], model_name="decisiontree", params={"maxDepth": 4})),
-    "smote_generator": lambda spark, d: rounded(SMOTEGenerator("status").fit((t := sides(spark, d, "all")[0].drop("k")), list(CAT)).generate(1000)),
-    "synthpop_generator": lambda spark, d: rounded(SynthpopGenerator(K=2, max_depth=4).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
-    "arf_generator": lambda spark, d: rounded(ARFGenerator(num_trees=5, max_iters=2, max_depth=5).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
-    "xgbdiffusion_generator": lambda spark, d: rounded(df_.BoostedFlowGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
-    "xgbddpm_generator": lambda spark, d: rounded(df_.BoostedDiffusionGenerator(num_timesteps=2, max_iter=3).fit(sides(spark, d, "all")[0].drop("k"), list(CAT)).generate(1000)),
-    "tabddpm_generator": _tabddpm,
+    "smote_generator": lambda spark, d: _as_many(spark, d, SMOTEGenerator("status")),
+    "synthpop_generator": lambda spark, d: _as_many(spark, d, SynthpopGenerator(K=2, max_depth=4)),
+    "arf_generator": lambda spark, d: _as_many(spark, d, ARFGenerator(num_trees=5, max_iters=2, max_depth=5)),
+    "xgbdiffusion_generator": lambda spark, d: _as_many(spark, d, BoostedFlowGenerator("status", num_timesteps=10, max_iter=4, model_per_timestep=False)),
+    "xgbddpm_generator": lambda spark, d: _as_many(spark, d, BoostedDiffusionGenerator("status", num_timesteps=10, max_iter=4, model_per_timestep=False)),
+    "tabddpm_generator": lambda spark, d: _as_many(spark, d, TabDDPMGenerator("status", epochs=10, lr=0.01, batch_size=256, num_timesteps=30, embedding_dim=32, model_params={"n_units_hidden": 64, "n_layers_hidden": 2})),
 }
 
 _LIM = "lim AS (SELECT " + ", ".join(f"min({c})::DOUBLE AS {c}_lo, (max({c}) - min({c}))::DOUBLE AS {c}_w" for c in NUM) + " FROM train)"

@@ -11,7 +11,7 @@ from tabweft.functions.normal import truncated_normals
 from tabweft.functions.order import dense_index, exact_quantiles
 from tabweft.functions.randomness import bootstrap, hash_sample, stratified_split, uniform, uniform_rank
 from tabweft.generators import diffusion
-from tabweft.generators.diffusion import BoostedDiffusionGenerator, BoostedFlowGenerator
+from tabweft.generators.boosted import BoostedDiffusionGenerator, BoostedFlowGenerator
 from tabweft.generators.trees import ARFGenerator, SynthpopGenerator
 from tabweft.operators import fidelity, mixtures, ml, privacy, scores
 from tabweft.operators import preprocess as pp

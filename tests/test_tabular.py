@@ -125,7 +125,7 @@ def test_tree_generators(spark, tmp_path):
 
 
 def test_boosted_generators_draw_from_all_combinations(spark):
-    from tabweft.generators.diffusion import BoostedFlowGenerator
+    from tabweft.generators.boosted import BoostedFlowGenerator
 
     df = spark.range(12_000).select(F.format_string("%05d", "id").alias("c"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("d"))
     df = df.unionByName(df.where("c = '11999'").crossJoin(spark.range(4000)).drop("id"))

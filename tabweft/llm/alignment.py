@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweft.llm.common import arrow_map, materialize, table, text_bytes
-from tabweft.llm.parts import ByteVocabulary, Remembered, byte_vocabulary, odd, runs_of
+from tabweft.llm.parts import Remembered, byte_vocabulary, odd, runs_of
 from tabweft.llm.vocabulary import default_path
 
 #: Pairs that are handed to every task: 24 bytes each, 24 MB at most.

@@ -11,11 +11,12 @@ from tabweft.functions.order import dense_index
 PARTS = 65_536
 
 
-def uniform(seed: int, name: str, row_id: Column | str) -> Column:
-    """In [0, 1): the first 32 bits of md5("seed:name:row_id")."""
+def uniform(seed: int, name: str, row_id: Column | str, fine: bool = False) -> Column:
+    """In [0, 1): the first 32 bits of md5("seed:name:row_id"); ``fine``: 52 bits, where one of very many places is drawn."""
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
     text = F.concat(F.lit(f"{seed}:{name}:"), row_id.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    digits = 13 if fine else 8
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("double") / F.lit(16.0**digits)
 
 
 def _dealt(df: DataFrame, u: Column) -> DataFrame:
@@ -66,5 +67,5 @@ def bootstrap(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
     """``n`` rows with replacement: draw i takes the row of dense index floor(u_i * rows). Adds ``draw``."""
     rows = df.count()
     indexed = dense_index(df, row_id, "__i")
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(seed, "bootstrap", "id") * rows).cast("long").alias("__i"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(seed, "bootstrap", "id", fine=True) * rows).cast("long").alias("__i"))
     return draws.join(indexed, "__i").drop("__i")

@@ -4,16 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabweft.cluster import materialize
-from tabweft.functions.normal import quantile
 from tabweft.functions.randomness import uniform
-from tabweft.generators.base import BaseGenerator, drawn, level_shares, stretches
-from tabweft.spec import as_level, as_number
 
 
 def schedule(spark: SparkSession, steps: int, kind: str = "cosine") -> DataFrame:

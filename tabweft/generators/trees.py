@@ -14,7 +14,7 @@ from tabweft.cluster import materialize
 from tabweft.functions.binning import ranges
 from tabweft.functions.normal import quantile, truncated_normals
 from tabweft.functions.randomness import uniform, uniform_rank
-from tabweft.generators.base import BaseGenerator, drawn, level_shares, stretches, weighted_draw
+from tabweft.generators.base import BaseGenerator, LevelDraw, drawn, stretches
 from tabweft.operators.preprocess import QuantileMap
 from tabweft.spec import as_level, as_number
 
@@ -82,7 +82,7 @@ class SynthpopGenerator(BaseGenerator):
         out, start = None, 0
         for bag, (order, steps) in enumerate(self.bags):
             size = n // self.K + (bag < n % self.K)
-            rows = self.spark.range(start, start + size).withColumn(order[0], self._marginal(order[0], bag))
+            rows = self._marginal(self.spark.range(start, start + size), order[0], bag)
             start += size
             for c, model, leaves in steps:
                 coded = self.indexer.transform(rows.select("*", *[F.lit("").alias(x) for x in self.spec.discrete if x not in rows.columns]))
@@ -105,11 +105,11 @@ class SynthpopGenerator(BaseGenerator):
             moved = F.lit(lo) + (F.least(F.floor((F.col(c) - lo) / (width or 1.0)), F.lit(63)) + u) * width
         return F.least(F.greatest(moved, F.lit(lo)), F.lit(hi))
 
-    def _marginal(self, c: str, bag: int):
-        u = uniform(self.random_state, f"first{bag}", "id")
+    def _marginal(self, rows: DataFrame, c: str, bag: int) -> DataFrame:
         if c in self.spec.discrete:
-            return weighted_draw(u, level_shares(self.rows, c))
-        return QuantileMap.fit(self.rows, c, 1000).value(u)
+            draw = LevelDraw.fit(self.rows, c)
+            return draw.add(rows, uniform(self.random_state, f"first{bag}", "id", draw.few is None), c)
+        return rows.withColumn(c, QuantileMap.fit(self.rows, c, 1000).value(uniform(self.random_state, f"first{bag}", "id")))
 
 
 def _poisson(u):
@@ -188,11 +188,11 @@ class ARFGenerator(BaseGenerator):
             if self.alpha:  # the levels that a leaf does not hold as well
                 cells = stats.select("tree", "leaf").crossJoin(long.select(c).distinct())  # leaves x levels of the column
                 counts = cells.join(counts, ["tree", "leaf", c], "left").withColumn("w", F.coalesce("w", F.lit(0.0)) + self.alpha)
-            self.shares[c] = materialize(counts.withColumn("hi", F.sum("w").over(at) / F.sum("w").over(leaf)).withColumn("lo", F.col("hi") - F.col("w") / F.sum("w").over(leaf)).drop("w"), "arf-shares")
+            self.shares[c] = materialize(counts.withColumn("hi", F.sum("w").over(at) / F.sum("w").over(leaf)).withColumn("lo", F.coalesce(F.lag("hi").over(leaf.orderBy(c)), F.lit(0.0))).drop("w"), "arf-shares")
 
     def _generate(self, n: int) -> DataFrame:
         seed = self.random_state
-        rows = materialize(drawn(self.spark.range(n), uniform(seed, "leaf", "id"), self.leaf_stats, self.total, self.width), "arf-draw")
+        rows = materialize(drawn(self.spark.range(n), uniform(seed, "leaf", "id", fine=True), self.leaf_stats, self.total, self.width), "arf-draw")
         beyond = lambda c: F.lit(0.0) if self.clip else F.col(f"s_{c}") / 2
         rows = truncated_normals(rows, {c: (uniform(seed, c, "id"), F.col(f"m_{c}"), F.col(f"s_{c}"), F.col(f"a_{c}") - beyond(c), F.col(f"b_{c}") + beyond(c)) for c in self.spec.numerical}) if self.spec.numerical else rows
         for c in self.spec.discrete:

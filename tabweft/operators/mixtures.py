@@ -39,7 +39,7 @@ def distributional_tree(df: DataFrame, column: str, max_depth: int = 3, min_buck
     """(lo, hi, rows, mean, sd): the leaves of a tree that splits a number where its normal distribution changes most.
 
     A node is split if the statistic reaches ``least_stat`` (by default the 95 % point of its distribution with two
-    degrees of freedom). All nodes of a depth are split together; a leaf holds lo < x <= hi.
+    degrees of freedom). All nodes of a depth are split together; lo and hi are the least and the largest value of a leaf.
     """
     x = as_number(df, column)
     counts = materialize(df.select(x.alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n")), "tree-values")
@@ -52,10 +52,11 @@ def distributional_tree(df: DataFrame, column: str, max_depth: int = 3, min_buck
             break
         cuts = sorted([*cuts, *new])
     node = sum((F.when(F.col("x") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    mean = F.sum(F.col("n") * F.col("x")) / F.sum("n")
-    square = F.sum(F.col("n") * F.col("x") * F.col("x")) / F.sum("n")
-    leaves = counts.withColumn("leaf", node).groupBy("leaf").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"))
-    return leaves.drop("leaf")
+    placed = counts.withColumn("leaf", node)
+    means = placed.groupBy("leaf").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))  # 2 ** max_depth rows at most
+    around = F.col("n") * F.pow(F.col("x") - F.col("mean"), F.lit(2))  # about the mean, as a difference of squares loses all digits of far values
+    spread = placed.join(F.broadcast(means.select("leaf", "mean")), "leaf").groupBy("leaf").agg(F.sum(around).alias("square"))
+    return means.join(spread, "leaf").select("lo", "hi", "rows", "mean", F.sqrt(F.col("square") / F.col("rows")).alias("sd"))
 
 
 def gaussian_mixture(df: DataFrame, column: str, components: int = 10, least_weight: float = 0.01, seed: int = 0):

@@ -91,7 +91,7 @@ def classifier_scores(reference: DataFrame, syn: DataFrame, rows: DataFrame, spe
     """(id, score): the probability of being synthetic."""
     label = lambda x, v: x.select(*spec.features).withColumn("__syn", F.lit(v))
     fit = label(reference, 0).unionByName(label(syn, 1))
-    check = rows.withColumn("__syn", F.col(spec.id) % 2)  # the label of rows to score does not matter
+    check = rows.withColumn("__syn", F.lit(0))  # the label of rows to score does not matter, but is a known one
     return ml_task(fit, check, spec, "__syn", "binary", model_name, None, seed, keep=[spec.id]).select(F.col(spec.id).alias("id"), "score")
 
 

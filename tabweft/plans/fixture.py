@@ -36,8 +36,9 @@ def sides(spark: SparkSession, sf_dir: str, *roles: str) -> list[DataFrame]:
     return [all_rows.where(which.get(r, F.col("role") == r)).drop("role") for r in roles]
 
 
-def u_sql(seed: int, name: str, row_id: str) -> str:
-    return f"(('0x' || substr(md5('{seed}:{name}:' || {row_id}), 1, 8))::BIGINT / 4294967296e0)"
+def u_sql(seed: int, name: str, row_id: str, fine: bool = False) -> str:
+    digits = 13 if fine else 8
+    return f"(('0x' || substr(md5('{seed}:{name}:' || {row_id}), 1, {digits}))::BIGINT / {16**digits}e0)"
 
 
 BASE_SQL = f"""

@@ -416,7 +416,7 @@ SQL = {
     "regression_scores": f"{_W} SELECT round(1 - sum(power(total - total * 0.9e0 - bal, 2)) / (var_pop(total) * count(*)), 6) AS r2, round(sqrt(avg(power(total - total * 0.9e0 - bal, 2))), 6) AS rmse FROM base",
     "stratified_split": f"{_W} SELECT k, row_number() OVER (PARTITION BY status ORDER BY {u_sql(11, 'split', 'k')}, k) <= ceil(count(*) OVER (PARTITION BY status) * 0.2e0) AS is_test FROM base",
     "hash_sample": f"{_W} SELECT k FROM base ORDER BY {u_sql(12, 'sample', 'k')}, k LIMIT (SELECT count(*) // 3 FROM base)",
-    "bootstrap": f"{_W}, i AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM base), n AS (SELECT count(*) AS n FROM base), d AS (SELECT floor({u_sql(13, 'bootstrap', 'i')} * n)::BIGINT AS i, count(*) AS times FROM i, n GROUP BY 1) SELECT k, coalesce(times, 0) AS times FROM i LEFT JOIN d USING (i)",
+    "bootstrap": f"{_W}, i AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM base), n AS (SELECT count(*) AS n FROM base), d AS (SELECT floor({u_sql(13, 'bootstrap', 'i', fine=True)} * n)::BIGINT AS i, count(*) AS times FROM i, n GROUP BY 1) SELECT k, coalesce(times, 0) AS times FROM i LEFT JOIN d USING (i)",
     "mia_roles": f"{_W}, t AS (SELECT k, row_number() OVER (ORDER BY {u_sql(14, 'mia-test', 'k')}, k) <= floor(0.5e0 * count(*) OVER ()) AS ref FROM test), m AS (SELECT k, row_number() OVER (ORDER BY {u_sql(14, 'mia-train', 'k')}, k) <= floor(0.7e0 * count(*) OVER ()) AS mem FROM train) SELECT k, CASE WHEN ref THEN 'reference' ELSE 'nonmember' END AS part FROM t UNION ALL SELECT k, 'member' FROM m WHERE mem",
     "univariate_generator": f"{_W}, {_cum('priority')}, {_cum('status')}, q AS (SELECT quantile_cont(total, {_UNI_Q}) AS q FROM base), r AS (SELECT i, {u_sql(21, 'total', 'i')} * 49 AS a, {u_sql(21, 'priority', 'i')} AS b, {u_sql(21, 'status', 'i')} AS c FROM range((SELECT count(*) FROM base)) r(i)) SELECT round(q[floor(a)::INT + 1] + (a - floor(a)) * (q[floor(a)::INT + 2] - q[floor(a)::INT + 1]), 6) AS total, p.v AS priority, s.v AS status FROM r, q, w_priority p, w_status s WHERE b >= p.lo AND b < p.hi AND c >= s.lo AND c < s.hi",
     "diffusion_schedule_cosine": f"WITH {_BARS(50)} SELECT t, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(alpha_bar, 6) AS alpha_bar FROM sch",

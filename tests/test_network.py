@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabweft.functions import counter
 from tabweft.generators.registry import get_generator
 from tabweft.generators import tabddpm as td
-from tabweft.operators.network import Adam, Denoiser, Trainer, silu
+from tabweft.operators.network import Adam, Trainer, silu
 from tabweft.sources import state
 
 

@@ -7,7 +7,7 @@ kept as rows of one array and advance together, a merge for each word and round.
 pattern that the tokenizer file names, special tokens first; each distinct word is encoded once per worker while it is
 remembered, and with its ids are kept their digits and the bytes that they decode to.
 
-Null texts count as empty (no ids). Very long words are encoded whole, by one tree of about 30 bytes a byte. Repeated
+Null texts count as empty (no ids). Very long words are encoded whole, by one tree of about 50 bytes a byte. Repeated
 rows and empty tables need no care; other columns are ignored.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
@@ -32,6 +33,8 @@ from tabweft.llm.vocabulary import MEMO, MEMO_BYTES, byte_symbols, default_path
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of one array of trees.
 TREES = 8192
+#: Fewer words than LONE of at least LONE_WIDTH bytes do not fill the rounds of an array of trees: each goes alone, merge after merge.
+LONE, LONE_WIDTH = 32, 256
 #: Text that is split before its new words are encoded.
 SPLIT_BYTES = 1 << 20
 _NONE = np.int64(1) << np.int64(62)
@@ -78,6 +81,7 @@ class SegmentTreeBpe:
         self.digits = {i: b"%d" % i for i in self.token_bytes}
         self.known: dict[str, tuple[tuple[int, ...], bytes, bytes]] = {}  # word -> ids, their digits, what they decode to
         self.long: list[str] = []
+        self.rank_of: dict[int, int] | None = None
 
     def _rank(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaf values of the pairs (left, right) at positions ``at``; right < 0: no pair."""
@@ -136,6 +140,52 @@ class SegmentTreeBpe:
         out = ids[kept].tolist()
         return [tuple(out[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _encode_lone(self, word: bytes) -> tuple[int, ...]:
+        """Encode one long word: the same tree, with one point update after another, each up to where no minimum changes."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.keys[:-1].tolist(), self.ranks[:-1].tolist(), strict=True))
+        n, none, rank_of, merged = len(word), int(_NONE), self.rank_of, self.merged
+        width = 1 << max(1, (n - 1).bit_length())
+        first = np.append(self.byte_ids[np.frombuffer(word, np.uint8)], -1)
+        tree = np.full(2 * width, _NONE)
+        for k in range(0, n, 1 << 16):  # the temporary arrays stay small
+            end = min(k + (1 << 16), n)
+            tree[width + k : width + end] = self._rank(first[k:end], first[k + 1 : end + 1], np.arange(k, end))
+        level = width
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, ids = array("q", tree.tobytes()), array("i", first.astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + width
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while tree[1] < none:
+            root = tree[1]
+            at, new = root & 0xFFFFFFFF, int(merged[root >> 32])
+            gone = after[at]
+            following, previous = after[gone], before[at]
+            ids[at], ids[gone], after[at] = new, -1, following
+            put(gone, none)
+            if following < n:
+                before[following] = at
+            rank = rank_of.get(new << 32 | ids[following]) if following < n else None
+            put(at, none if rank is None else rank << 32 | at)
+            if previous >= 0:
+                rank = rank_of.get(ids[previous] << 32 | new)
+                put(previous, none if rank is None else rank << 32 | previous)
+        out = np.frombuffer(ids, np.int32)[:n]
+        return tuple(out[out >= 0].tolist())
+
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words that the pattern has split off, each on its own."""
         raw = [w.encode() for w in words]
@@ -144,7 +194,11 @@ class SegmentTreeBpe:
             by_width.setdefault(1 << (len(w) - 1).bit_length() if w else 1, []).append(i)
         out: list[tuple[int, ...]] = [()] * len(raw)
         for width, at in by_width.items():
-            each = max(1, TREES * 8 // width)
+            if width >= LONE_WIDTH and len(at) < LONE:
+                for i in at:
+                    out[i] = self._encode_lone(raw[i])
+                continue
+            each = max(LONE, TREES * 8 // width)
             for k in range(0, len(at), each):
                 for i, ids in zip(at[k : k + each], self._encode_rows([raw[i] for i in at[k : k + each]], width), strict=True):
                     out[i] = ids

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from tokenizers import Tokenizer
 
@@ -51,3 +52,17 @@ def test_queries_and_round_trip(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_lone_long_words_equal_the_library():
+    rng = random.Random(3)
+    own, library = bpe.SegmentTreeBpe(PATH), Tokenizer.from_file(PATH)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinsrhld", "a", "éß日") for n in (255, 256, 257, 700, 5000)]
+    for word, ids in zip(words, own.encode_words(words), strict=True):
+        assert list(ids) == library.encode(word, add_special_tokens=False).ids
+    many = [w[:300] for w in words if len(w) > 300] * 10  # fill the rounds of an array of trees
+    assert own.encode_words(many) == [own._encode_lone(w.encode()) for w in many]
+    long = "".join(rng.choice("etaoinsrhldcu") for _ in range(160_000))
+    began = time.process_time()
+    assert list(own.encode_words([long])[0]) == library.encode(long, add_special_tokens=False).ids
+    assert time.process_time() - began < 20

@@ -50,8 +50,8 @@ SYMBOLS = CHUNK * CHUNKS
 #: Symbols of the byte signature, and how many must agree for a pair to be confirmed on the sets.
 WIDE = 128
 AGREE = 72
-#: Members of each side of a tile.
-TILE = 512
+#: Members of each side of a tile, and bytes of their full sets, of which a side holds fewer members if its sets are long.
+TILE, TILE_BYTES = 512, 32 << 20
 
 _SEED = np.random.default_rng(75)
 _WORD_ODD = (_SEED.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -160,13 +160,17 @@ TILE_COLUMNS = [*TILE_KEY, "tile", "own", "class_id", "root", "n_shingles", "sym
 TILES = "key long, band int, tile_a int, tile_b int, tile int, own boolean, class_id long, root long, n_shingles long, symbols binary, wide binary"
 
 
-def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of every tile with more than one row; they come sorted by TILE_KEY."""
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Scalar]]]:
+    """The rows of every tile with more than one row, and their full sets if there are any; they come sorted by TILE_KEY.
+
+    Sets are not put together: those of a tile may be more than one column holds.
+    """
     at, parts = None, []
 
-    def whole() -> Iterator[pa.RecordBatch]:
+    def whole() -> Iterator[tuple[pa.RecordBatch, list[pa.Scalar]]]:
         if sum(p.num_rows for p in parts) > 1:
-            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            facts = [c for c in parts[0].schema.names if c != "items"]
+            yield pa.concat_batches([p.select(facts) for p in parts]), [x for p in parts if "items" in p.schema.names for x in p.column("items")]
 
     for batch in batches:
         if not batch.num_rows:
@@ -215,7 +219,7 @@ def _near_pairs(tile: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each tile that are in some pair to confirm; never more rows than came."""
-    for tile in _by_tile(batches):
+    for tile, _ in _by_tile(batches):
         held = np.zeros(tile.num_rows, bool)
         for x, y in _near_pairs(tile):
             held[x] = held[y] = True
@@ -225,8 +229,8 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirm a tile's pairs on the full sets; a pair whose components the tile has joined already needs no test."""
-    for tile in _by_tile(batches):
-        items, ids, roots = tile.column("items"), tile.column("class_id").to_pylist(), tile.column("root").to_pylist()
+    for tile, items in _by_tile(batches):
+        ids, roots = tile.column("class_id").to_pylist(), tile.column("root").to_pylist()
         above: dict[int, int] = {}
 
         def find(x: int, above=above) -> int:
@@ -310,7 +314,10 @@ class _Join:
         group = ["key", "band"]
         each = rows.groupBy(*group, "root").agg(F.count("*").alias("n"), F.max("own").alias("has"))
         groups = each.groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("has").alias("has"))
-        groups = groups.where("roots > 1 AND has").select(*group, "major", F.ceil(F.col("n_major") / TILE).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("n_major")) / TILE).cast("int").alias("others"))
+        # a set of the band or the next holds less than this many shingles of 8 bytes
+        longest = F.pow(F.lit(100 / PERCENT), F.col("band") + 2) * 8
+        block = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_BYTES) / longest)))
+        groups = groups.where("roots > 1 AND has").select(*group, "major", F.ceil(F.col("n_major") / block).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("n_major")) / block).cast("int").alias("others"))
         rows = rows.join(groups, group)
         large, at = F.col("root") == F.col("major"), F.xxhash64("class_id")
         rows = rows.withColumn("tile", F.when(large, F.pmod(at, F.col("majors"))).otherwise(F.col("majors") + F.pmod(at, F.col("others"))).cast("int"))

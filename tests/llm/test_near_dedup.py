@@ -97,3 +97,36 @@ def test_completion_alone_finds_every_link(spark, monkeypatch):
             want[c].add(i)
     firsts = {i for g in groups.values() for i in g}  # one document of each class
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g & firsts) for g in want.values())
+
+
+def test_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    """Sides of a few hundred bytes of sets, and rows that come one by one: every link is found."""
+    monkeypatch.setattr(nd, "TILE_BYTES", 3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = corpus(7)
+        run = nd._Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        run.roots = run.classes.select("class_id", F.col("class_id").alias("root")).limit(0)
+        run.complete()
+        roots = run.classes.join(run.roots, "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("root"))
+        groups = defaultdict(set)
+        for r in roots.collect():
+            groups[r["root"]].add(r["doc_id"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = defaultdict(set)
+    for i, (n, c) in brute(rows).items():
+        if n:
+            want[c].add(i)
+    firsts = {i for g in groups.values() for i in g}
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g & firsts) for g in want.values())
+
+
+def test_all_batches_of_a_tile_are_used():
+    import pyarrow as pa
+
+    sets = [np.arange(k, k + 40, dtype=np.uint64) for k in range(6)]
+    facts = {"key": 1, "band": 2, "tile_a": 0, "tile_b": 0, "tile": 0, "own": True, "symbols": b"s", "wide": b"w"}
+    one = [pa.RecordBatch.from_pylist([{**facts, "class_id": k, "root": k, "n_shingles": 40, "items": s.tobytes()}]) for k, s in enumerate(sets)]
+    (tile, items), = nd._by_tile(iter(one))
+    assert tile.column("class_id").to_pylist() == list(range(6)) and [x.as_py() for x in items] == [s.tobytes() for s in sets]

@@ -37,8 +37,12 @@ FOLD_BYTES = 24 << 20
 BUCKET_KEYS = 256
 #: Directory bits at most; keys that agree in all of them share a bucket and chain there.
 MAX_DEPTH = 24
+#: Bytes of a bucket that is split, as far as its keys differ.
+BUCKET_BYTES = 4 << 20
 #: Bytes of buckets that an owner holds in memory.
 CACHE_BYTES = 32 << 20
+#: Bytes of texts of one range, so that no index file grows with the table.
+RANGE_BYTES = 256 << 20
 #: Key ranges for each shuffle partition: many small ranges even out.
 RANGES_PER_PARTITION = 4
 
@@ -48,7 +52,7 @@ _TASK_BITS = 36
 _MAGIC = 0x45484958
 #: A page of an index file: offset, length, depth of its bucket; and the file's end: pages, keys, depth, skipped bits, offset of the pages' table.
 _PAGE, _TAIL = struct.Struct("<QQB"), struct.Struct("<QQBBQI")
-FOLDED = "doc_id long, row_id long, entry_id long, key long, lead boolean, members long, text binary"
+FOLDED = "doc_id long, row_id long, entry_id long, key long, lead boolean, members long, size long, text binary"
 MANIFEST = "range long, name string, depth int, pages long, keys long"
 INDEX = "entry_id long, keep_id long, first_entry boolean, group_size long, text_sha256 string"
 
@@ -124,14 +128,15 @@ class ExtendibleHash:
     back when a key leads to them.
     """
 
-    def __init__(self, store=None, name: str = "index", capacity: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, skip_bits: int = 0, cache_bytes: int = CACHE_BYTES):
-        self.store, self.name, self.capacity, self.max_depth, self.skip, self.cache_bytes = store, name, capacity, max_depth, skip_bits, cache_bytes
+    def __init__(self, store=None, name: str = "index", capacity: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, skip_bits: int = 0, cache_bytes: int = CACHE_BYTES, bucket_bytes: int = BUCKET_BYTES):
+        self.store, self.name, self.capacity, self.max_depth, self.skip, self.cache_bytes, self.bucket_bytes = store, name, capacity, max_depth, skip_bits, cache_bytes, bucket_bytes
         self.depth = 0
         self.directory = [0]
         self.depths = [0]  # of every bucket
         self.held: OrderedDict[int, Bucket] = OrderedDict({0: Bucket(0)})  # the least recently used first
         self.places: dict[int, tuple[str, int, int]] = {}  # of buckets that are not held: file, offset, length
-        self.spilled: list[str] = []
+        self.spilled: set[str] = set()
+        self.spills = 0
         self.bytes = self.pages_read = self.keys = 0
 
     def slot(self, key: int, depth: int) -> int:
@@ -139,7 +144,7 @@ class ExtendibleHash:
 
     def bucket(self, number: int) -> Bucket:
         if number not in self.held:
-            name, offset, length = self.places.pop(number)
+            name, offset, length = self.places[number]  # it stays there, for as long as the bucket does not change
             with self.store.open(name) as f:
                 f.seek(offset)
                 self.held[number] = Bucket.unpack(self.depths[number], f.read(length))
@@ -152,9 +157,12 @@ class ExtendibleHash:
         while True:
             number = self.directory[self.slot(key, self.depth)]
             bucket = self.bucket(number)
-            if key in bucket.chains or len(bucket.chains) < self.capacity or bucket.depth >= self.max_depth:
+            others = len(bucket.chains) - (key in bucket.chains)
+            full = key not in bucket.chains and others >= self.capacity or others and bucket.bytes + len(text) > self.bucket_bytes
+            if not full or bucket.depth >= self.max_depth:
                 break
             self._split(key, number)
+        self._forget(number)
         before = bucket.bytes
         self.keys += key not in bucket.chains
         bucket.add(key, text, entries)
@@ -167,7 +175,15 @@ class ExtendibleHash:
         chain = self.bucket(self.directory[self.slot(key, self.depth)]).chains.get(key, [])
         return next((entries for known, entries in chain if known == text), [])
 
+    def _forget(self, number: int) -> None:
+        """The bucket has changed: what was written of it is void."""
+        name, _, _ = self.places.pop(number, ("", 0, 0))
+        if name in self.spilled:
+            self.spilled.remove(name)
+            self.store.remove(name)
+
     def _split(self, key: int, number: int) -> None:
+        self._forget(number)
         old = self.held.pop(number)
         if old.depth == self.depth:  # the directory doubles: every slot twice
             self.directory = [b for b in self.directory for _ in (0, 1)]
@@ -188,9 +204,12 @@ class ExtendibleHash:
     def _spill(self) -> None:
         number, bucket = self.held.popitem(last=False)
         self.bytes -= bucket.bytes
-        name, raw = f"{self.name}.{number}.{len(self.spilled)}", bucket.pack()
+        if number in self.places:  # unchanged
+            return
+        name, raw = f"{self.name}.{number}.{self.spills}", bucket.pack()
         self.store.write(name, lambda f: f.write(raw))
-        self.spilled.append(name)
+        self.spilled.add(name)
+        self.spills += 1
         self.places[number] = (name, 0, len(raw))
 
     def save(self) -> None:
@@ -215,20 +234,18 @@ class ExtendibleHash:
 
         moved: dict[int, tuple[str, int, int]] = {}
         self.store.write(self.name, fill)
-        self.places = {n: place for n, place in moved.items() if n not in self.held}
+        self.places = moved
         for name in self.spilled:
             self.store.remove(name)
-        self.spilled = []
+        self.spilled = set()
 
     def buckets(self) -> Iterator[Bucket]:
         """Every bucket once, one at a time; those that were not held are not kept."""
         for number in range(len(self.depths)):
             there = number in self.held
-            place = self.places.get(number)
             yield self.bucket(number)
             if not there:
                 self.bytes -= self.held.pop(number).bytes
-                self.places[number] = place
 
 
 def open_index(store, name: str, new_name: str | None = None, **options) -> ExtendibleHash:
@@ -263,22 +280,22 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal entry
-        cols: list[list] = [[] for _ in range(7)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-        names, some = ["doc_id", "row_id", "entry_id", "key", "lead", "members", "text"], 0
+        cols: list[list] = [[] for _ in range(8)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        names, some = ["doc_id", "row_id", "entry_id", "key", "lead", "members", "size", "text"], 0
         while held:
             text, members = held.popitem()
             n, lead = len(members), members.index(min(members, key=lambda m: _by_id(m[0])))
             key = key_of(text) - (1 << 63)
             for at, (doc_id, row_id) in enumerate(members):
                 own = at == lead
-                for c, v in zip(cols, (doc_id, row_id, entry, key, own, n if own else None, text if own else None), strict=True):
+                for c, v in zip(cols, (doc_id, row_id, entry, key, own, n if own else None, len(text) if own else None, text if own else None), strict=True):
                     c.append(v)
             entry += 1
             some += len(text) + 50 * n
             if some > 4 << 20 or not held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-                cols, some = [[] for _ in range(7)], 0
+                cols, some = [[] for _ in range(8)], 0
 
     for batch in batches:
         for doc_id, row_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), text_bytes(batch), strict=True):
@@ -327,9 +344,11 @@ def build_index(docs: DataFrame, folder: str, row: str | None = None) -> tuple[D
     row_id = F.col(row) if row else F.lit(0).cast("long")
     folded = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), row_id.alias("row_id"), "text"), _fold, FOLDED), "exact-entries")
     parts = shuffle_partitions(docs.sparkSession)
-    bits = max(4, (parts * RANGES_PER_PARTITION - 1).bit_length())
+    total = folded.agg(F.sum("size")).first()[0] or 0
+    ranges = max(parts * RANGES_PER_PARTITION, -(-total // RANGE_BYTES))
+    bits = max(4, (ranges - 1).bit_length())
     entries = folded.where("lead").withColumn("range", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits))
-    owned = entries.select("range", "key", "doc_id", "entry_id", "members", "text").repartitionById(parts, F.pmod("range", F.lit(parts)).cast("int")).sortWithinPartitions("range")
+    owned = entries.select("range", "key", "doc_id", "entry_id", "members", "text").repartitionById(parts, F.pmod("range", F.lit(parts)).cast("int")).sortWithinPartitions("range", "key")  # by key, so that a bucket that is left is not touched again
     manifest = materialize(arrow_map(owned, _owner(folder, bits), MANIFEST), "exact-manifest")
     return folded.select("doc_id", "row_id", "entry_id", "lead"), manifest
 

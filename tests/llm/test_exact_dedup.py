@@ -102,3 +102,44 @@ def test_repeated_rows_and_null_ids_and_empty(spark):
     got = exact_classes(docs).collect()
     assert len(got) == 4 and sum(r.kept for r in got) == 2
     assert exact_classes(docs.limit(0)).count() == 0
+
+
+def test_spills_stay_below_the_texts(tmp_path):
+    """Random order and repeated keys: what lies on disk never exceeds the texts; in key order every bucket is written once."""
+    rng = random.Random(6)
+    texts = {rng.getrandbits(64): rng.randbytes(2000) for _ in range(1500)}
+    store = open_shared(f"file://{tmp_path}")
+    for ordered in (False, True):
+        index = ExtendibleHash(store, f"index-{ordered}", capacity=16, cache_bytes=300_000)
+        keys = sorted(texts) if ordered else list(texts) * 2
+        most = 0
+        for n, k in enumerate(keys):
+            index.insert(k, texts[k], [(n, n, 1)])
+            if n % 50 == 0:
+                most = max(most, sum(p.stat().st_size for p in tmp_path.iterdir() if p.name.startswith(f"index-{ordered}.")))
+        assert 0 < most <= 1.5 * 2000 * len(texts)
+        assert not ordered or index.spills <= len(index.depths)
+        index.save()
+        assert all(len(index.find(k, t)) == (1 if ordered else 2) for k, t in texts.items())
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["index-False", "index-True"]
+
+
+def test_buckets_are_split_by_bytes(tmp_path):
+    rng = random.Random(7)
+    store = open_shared(f"file://{tmp_path}")
+    texts = {rng.getrandbits(64): rng.randbytes(50_000) for _ in range(100)}
+    index = ExtendibleHash(store, "index", cache_bytes=400_000, bucket_bytes=200_000)
+    for n, (k, t) in enumerate(texts.items()):
+        index.insert(k, t, [(n, n, 1)])
+        assert index.bytes <= 700_000
+    assert all(b.bytes <= 260_000 for b in index.buckets())
+    assert all(index.find(k, t) for k, t in texts.items())
+
+
+def test_very_long_texts_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE_BYTES", 100_000)
+    texts = ["x" * 300_000, "y " * 200_000, "y  " * 200_000, *[f"t{i % 40}" * 3000 for i in range(120)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_classes(docs).collect()}
+    assert got[0] == (0, 1) and got[1] == (1, 2) and got[2] == (1, 2)
+    assert all(got[3 + i] == (3 + i % 40, 3) for i in range(120))

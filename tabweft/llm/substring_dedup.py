@@ -12,7 +12,7 @@ wherever its ends lie: a cut lies in its first GAP words, MIN_WORDS words follow
 cuts that the words around the passage add lie before the first or after the last of these.
 
 A span that very many documents share is shuffled once for each batch of documents: its other occurrences in the batch
-are known not to be the first and go straight to their documents. The rest meets by span, in order, in one shuffle.
+are known not to be the first and go straight to their documents, as numbers of sentences. The rest meets by span, in order, in one shuffle.
 Sentences of a document are gathered by document only.
 
 Null texts stay null, empty ones empty. Rows that repeat a doc_id are documents
@@ -41,7 +41,9 @@ _END = re.compile(rb"(?<=[.!?])[ \t\n\r\x0b\x0c]+|[\t\r\x0b\x0c ]*\n[ \t\n\r\x0b
 #: A span's hash: 96 bits, so that no two of 1e12 spans are taken for equal.
 _HASH = np.dtype([("span", "<i8"), ("check", "<i4"), ("rest", "<i4")])
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
-SPANS = "span long, check int, doc_id long, key long, at int, n int, late boolean"
+SPANS = "span long, check int, doc_id long, key long, at int, n int, gone array<int>"
+
+_NAMES = [c.split()[0] for c in SPANS.split(", ")]
 
 
 def picked(own: list[bytes]) -> list[int]:
@@ -110,8 +112,22 @@ def remove(text: bytes, gone: set[int]) -> bytes:
     return b"".join(text[a:b] for i, (a, b) in enumerate(zip(starts, ends, strict=True)) if i not in gone)
 
 
+def covered(of: np.ndarray, at: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(documents, numbers of their sentences that some span (document, first, number) covers), of documents of so many sentences."""
+    first = np.concatenate([[0], np.cumsum(sizes + 1)])
+    change = np.zeros(first[-1] + 1, np.int64)
+    np.add.at(change, first[of] + at, 1)
+    np.add.at(change, first[of] + at + n, -1)
+    places = np.flatnonzero(np.cumsum(change) > 0)
+    document = np.searchsorted(first, places, "right") - 1
+    some, starts = np.unique(document, return_index=True)
+    numbers = (places - first[document]).astype(np.int32)
+    return some, pa.ListArray.from_arrays(pa.array(np.append(starts, len(numbers)).astype(np.int32)), pa.array(numbers))
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans of every document; ``late`` are those that occur earlier in their batch."""
+    """A row for each span of every document that does not occur earlier in the batch, and for each document with
+    others one row with the sentences that these cover."""
     for batch in batches:
         found = [windows(t) for t in text_bytes(batch)]
         if not sum(len(h) for h, _, _ in found):
@@ -128,7 +144,14 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = order[np.flatnonzero(group)][np.cumsum(group) - 1]
         late = np.empty(len(h), bool)
         late[order] = (rank[order] != rank[first]) | (at[order] != at[first])
-        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(check), ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(at), pa.array(n), pa.array(late)], names=["span", "check", "doc_id", "key", "at", "n", "late"])
+        early = np.flatnonzero(~late)
+        columns = [pa.array(span[early]), pa.array(check[early]), ids.take(pa.array(of[early])), keys.take(pa.array(of[early])), pa.array(at[early]), pa.array(n[early]), pa.nulls(len(early), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+        if late.any():
+            sizes = np.fromiter((int((a + k).max()) if len(a) else 0 for _, a, k in found), np.int64, len(found))
+            some, gone = covered(of[late], at[late], n[late], sizes)
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, ids.take(pa.array(some)), keys.take(pa.array(some)), none[1], none[1], gone], names=_NAMES)
 
 
 def _ranks(ids: pa.Array, keys: pa.Array, by_order: np.ndarray) -> np.ndarray:
@@ -149,9 +172,9 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     every = materialize(arrow_map(docs.select(F.col("doc_id").cast("long"), _key().alias("key"), "text"), _spans, SPANS), "span-rows")
     # equal places share a rank, so that neither is an occurrence after the other
     rank = F.rank().over(Window.partitionBy("span", "check").orderBy(F.col("doc_id").asc_nulls_last(), "key", "at"))
-    met = every.where("NOT late").withColumn("rank", rank).where("rank > 1")
-    again = every.where("late").select("doc_id", "key", "at", "n").unionByName(met.select("doc_id", "key", "at", "n"))
-    return again.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("gone"))
+    met = every.where("gone IS NULL").drop("gone").withColumn("rank", rank).where("rank > 1")
+    again = every.where("gone IS NOT NULL").select("doc_id", "key", "gone").unionByName(met.select("doc_id", "key", F.sequence(F.col("at"), F.col("at") + F.col("n") - 1).alias("gone")))
+    return again.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 
 def _apply(column: str):

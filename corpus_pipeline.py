@@ -9,30 +9,50 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabweft import cluster
 from tabweft.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
 
 
-#: Folders that the last stage made in the shared folder.
-_left: list[str] = []
+class _Left:
+    """The folders that a stage made, and how many rows its result had when it was first read to the end."""
+
+    def __init__(self, out: DataFrame, folders: list[str]):
+        self.folders, self.seen = folders, Observation()
+        self.out = out.observe(self.seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> int | None:
+        return self.seen.get["rows"] if self.seen._jo.future().isCompleted() else None
+
+    def void(self, docs: DataFrame, read: list[str]) -> bool:
+        """Whether ``docs`` is a written copy of the result: it was read, has as many rows, and ``docs`` reads none of the folders."""
+        return self.rows() is not None and bool(read) and not any(f.rsplit("/", 1)[-1] in file for f in self.folders for file in read) and docs.count() == self.rows()
+
+
+#: What stages have left in the shared folder, the latest last.
+_left: list[_Left] = []
 
 
 def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """A stage that first deletes what the stage before has left, unless ``docs`` still reads it: its result is written by then."""
+    """A stage that first deletes what the stage before has left, once ``docs`` is a written copy of that stage's result.
+
+    Results that were never read, and what other runs have left, stay; a result that the next stage has got a copy of is void.
+    """
 
     @wraps(run)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left else []
-        if not any(folder.rsplit("/", 1)[-1] in file for folder in _left for file in read):
-            cluster.clear(spark, _left)
-            _left.clear()
+        if _left:
+            read = docs.inputFiles()
+            for left in [x for x in _left if x.void(docs, read)][-1:]:
+                cluster.clear(spark, left.folders)
+                _left.remove(left)
         before = set(cluster.made())
         out = run(spark, docs, sf_dir)
-        _left.extend(x for x in cluster.made() if x not in before)
-        return out
+        _left.append(_Left(out, [x for x in cluster.made() if x not in before]))
+        held, _left[-1].out = _left[-1].out, None
+        return held
 
     return staged
 

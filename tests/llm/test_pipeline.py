@@ -93,7 +93,7 @@ def test_names_and_registration():
     from tabweft.llm.queries import queries
 
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
@@ -149,6 +149,19 @@ def test_a_stage_clears_what_the_stage_before_wrote(spark, tmp_path):
     assert len(between & set(cluster.made())) < len(between)
 
 
+def test_results_that_were_not_read_and_other_runs_stay(spark, tmp_path):
+    rng = random.Random(17)
+    rows = lambda n, k: spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)), "h") for i in range(k, k + n)], "doc_id long, text string, source string")
+    for n, name in ((20, "one"), (30, "other")):
+        rows(n, 0).write.parquet(f"{tmp_path}/{name}")
+    one, other = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("one", "other"))
+    a = corpus_pipeline.quality_stage(spark, one, "")
+    b = corpus_pipeline.exact_stage(spark, other, "")  # of another run; a was not read yet
+    assert a.count() == 20
+    c = corpus_pipeline.near_stage(spark, other, "")  # b was not read yet, a has other rows
+    assert (a.count(), b.count(), c.count()) == (20, 30, 30)
+
+
 def test_repeated_and_null_ids_and_clashing_names_through_all_stages(spark, tmp_path):
     rng = random.Random(16)
     prose = lambda n=40: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) + "."

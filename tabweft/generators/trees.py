@@ -15,6 +15,7 @@ from tabweft.functions.binning import ranges
 from tabweft.functions.normal import quantile, truncated_normals
 from tabweft.functions.randomness import uniform, uniform_rank
 from tabweft.generators.base import BaseGenerator, LevelDraw, drawn, stretches
+from tabweft.operators.forests import leaf_bounds, node_table
 from tabweft.operators.preprocess import QuantileMap
 from tabweft.spec import as_level, as_number
 
@@ -23,8 +24,8 @@ class SynthpopGenerator(BaseGenerator):
     """Sequential trees: the first column from its marginal, every other from the leaf of a tree on the columns before it.
 
     ``K`` bags of bootstrap rows (each row as often as a Poisson number says) have a column order and trees of their own
-    and share the rows to generate. ``honest``: leaves are filled with rows that the bag's trees did not see, and fall
-    back on the bag where there are fewer than ``minibucket_sampling``. ``smoothing`` of drawn numbers: ``none``, ``kde``
+    and share the rows to generate. ``honest``: leaves are filled with rows that the bag's trees did not see. A leaf with
+    fewer than ``minibucket_sampling`` rows takes those of its nearest ancestor that has as many. ``smoothing`` of drawn numbers: ``none``, ``kde``
     (normal noise of the leaf's bandwidth) or ``histogram`` (evenly within one of 64 bins of the column).
     """
 
@@ -68,15 +69,42 @@ class SynthpopGenerator(BaseGenerator):
         tree = kind(featuresCol="__x", labelCol=label, leafCol="__leaf", weightCol="__w", maxDepth=self.max_depth, minInstancesPerNode=self.minibucket, maxBins=bins, seed=self.random_state)
         model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="__x"), tree]).fit(train)
         keep = ["__leaf", F.col(c).alias("__v"), "__id"]
-        filled = model.transform(source).select(*keep)
-        enough = filled.groupBy("__leaf").agg(F.count("*").alias("n")).where(F.col("n") >= self.least).select("__leaf")
-        filled, rest = filled.join(enough, "__leaf", "left_semi"), model.transform(train).select(*keep).join(enough, "__leaf", "left_anti")
-        leaves = filled.unionByName(rest)
-        at = Window.partitionBy("__leaf").orderBy("__id")
-        own = Window.partitionBy("__leaf")
-        spread = F.coalesce(F.stddev_samp("__v").over(own), F.lit(0.0)) * F.pow(F.count("*").over(own).cast("double"), F.lit(-0.2)) if c in self.spec.numerical else F.lit(0.0)
-        leaves = leaves.select("__leaf", "__v", (F.row_number().over(at) - 1).alias("__at"), F.count("*").over(own).alias("__n"), spread.alias("__h"))
-        return model, materialize(leaves, "synthpop-leaves")
+        filled = model.transform(source).select(*keep).withColumn("__leaf", F.col("__leaf").cast("int"))
+        if filled.limit(self.least).count() < self.least:  # fewer than a leaf needs
+            filled = model.transform(train).select(*keep).withColumn("__leaf", F.col("__leaf").cast("int"))
+        return model, *self._pools(filled.withColumn("__n", F.lit(1)), node_table(model.stages[-1]), c in self.spec.numerical)
+
+    def _pools(self, filled: DataFrame, nodes: DataFrame, numeric: bool) -> tuple[DataFrame, DataFrame]:
+        """(place, __v) of the rows in order of their leaves, and (leaf, first place, number of places, bandwidth) of the pool of every leaf.
+
+        A leaf with fewer than ``minibucket_sampling`` rows takes those of its nearest ancestor that has as many. A node's leaves
+        are numbered in a row, so every pool is a stretch of places.
+        """
+        placed, _, _ = stretches(filled, ["__leaf", "__id"])
+        moments = [F.sum("__v").alias("__s"), F.sum(F.col("__v") * F.col("__v")).alias("__q")] if numeric else [F.lit(0.0).alias("__s"), F.lit(0.0).alias("__q")]
+        own = {r["__leaf"]: r for r in placed.groupBy("__leaf").agg(F.count("*").alias("__n"), F.min("__from").alias("__first"), *moments).collect()}  # leaves of one tree
+        tree = {r["node"]: r for r in nodes.collect()}  # nodes of one tree, 2 ** (max_depth + 1) at most
+        span: dict[int, tuple[int, int]] = {}  # first and last leaf below each node
+        for node in sorted(tree, reverse=True):  # children have larger numbers
+            r = tree[node]
+            span[node] = (r["leaf"], r["leaf"]) if r["left"] is None else (span[r["left"]][0], span[r["right"]][1])
+        parent = {child: node for node, r in tree.items() for child in (r["left"], r["right"]) if child is not None}
+        pools = []
+        for node, r in tree.items():
+            if r["left"] is None:
+                at = node
+                while True:
+                    inside = [own[x] for x in range(span[at][0], span[at][1] + 1) if x in own]
+                    n = sum(x["__n"] for x in inside)
+                    if n >= self.least or at not in parent:
+                        break
+                    at = parent[at]
+                mean = sum(x["__s"] or 0.0 for x in inside) / max(n, 1)
+                square = sum(x["__q"] or 0.0 for x in inside) - n * mean * mean
+                spread = math.sqrt(max(square, 0.0) / (n - 1)) * n**-0.2 if n > 1 else 0.0
+                pools.append((r["leaf"], min((x["__first"] for x in inside), default=0), n, spread))
+        pools = self.rows.sparkSession.createDataFrame(pools, "__leaf int, __first long, __n long, __h double")
+        return materialize(placed.select(F.col("__from").alias("__at"), "__v"), "synthpop-leaves"), materialize(pools, "synthpop-pools")
 
     def _generate(self, n: int) -> DataFrame:
         out, start = None, 0
@@ -84,12 +112,12 @@ class SynthpopGenerator(BaseGenerator):
             size = n // self.K + (bag < n % self.K)
             rows = self._marginal(self.spark.range(start, start + size), order[0], bag)
             start += size
-            for c, model, leaves in steps:
+            for c, model, leaves, pools in steps:
                 coded = self.indexer.transform(rows.select("*", *[F.lit("").alias(x) for x in self.spec.discrete if x not in rows.columns]))
-                leafed = model.transform(coded).select(*rows.columns, "__leaf")
-                sizes = leaves.select("__leaf", "__n").distinct()
-                placed = leafed.join(sizes, "__leaf").withColumn("__at", F.floor(uniform(self.random_state, f"leaf{bag}:{c}", "id") * F.col("__n")).cast("int"))
-                rows = placed.join(leaves.select("__leaf", "__at", F.col("__v").alias(c), "__h"), ["__leaf", "__at"]).select(*rows.columns, self._smoothed(c, bag).alias(c))
+                leafed = model.transform(coded).select(*rows.columns, F.col("__leaf").cast("int").alias("__leaf"))
+                place = F.col("__first") + F.floor(uniform(self.random_state, f"leaf{bag}:{c}", "id", fine=True) * F.col("__n")).cast("long")
+                placed = leafed.join(F.broadcast(pools), "__leaf").withColumn("__at", place)  # a row for each leaf of a tree
+                rows = placed.join(leaves.withColumnRenamed("__v", c), "__at").select(*rows.columns, self._smoothed(c, bag).alias(c))
                 rows = materialize(rows, "synthpop-rows")
             out = rows.select("id", *self.columns) if out is None else out.unionByName(rows.select("id", *self.columns))
         return self._typed(out)
@@ -128,9 +156,9 @@ def _poisson(u):
 class ARFGenerator(BaseGenerator):
     """Adversarial random forest: tell rows from rows with permuted columns, then draw from the leaves' densities.
 
-    A leaf is drawn by its coverage; within it numbers are normals truncated to the leaf's values, or with
-    ``retain_value_ranges`` off to half a deviation beyond them, and categories have the leaf's shares; with ``alpha``
-    every level of a column counts that much in every leaf.
+    A leaf of any tree is drawn by its coverage. Within it numbers are normals truncated to the bounds of its node; where it has
+    none, to the column's range, or with ``retain_value_ranges`` off not at all. Categories have the leaf's shares; with ``alpha``
+    every level that the node's splits allow counts that much besides.
     """
 
     flags_missing = True
@@ -139,19 +167,34 @@ class ARFGenerator(BaseGenerator):
         super().__init__(random_state)
         self.num_trees, self.delta, self.max_iters, self.min_node_size, self.max_depth, self.alpha, self.clip = num_trees, delta, max_iters, min_node_size, max_depth, alpha, retain_value_ranges
 
-    def _permuted(self, rows: DataFrame, rounds: int, within: str | None = None) -> DataFrame:
-        """Every column shuffled on its own, within groups if named: rows meet again by their rank."""
-        keys = [within] if within else []
+    def _permuted(self, rows: DataFrame) -> DataFrame:
+        """Every column shuffled on its own: rows meet again by their rank."""
         base = None
         for c in self.columns:
-            u = uniform(self.random_state + rounds, f"perm:{c}", "__id")
-            if keys:
-                one = rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(u, "__id")).alias("__r"), c)
-            else:
-                one = uniform_rank(rows.select("__id", c), u, "__r", "__id").select("__r", c)
-            base = one if base is None else base.join(one, [*keys, "__r"])
+            one = uniform_rank(rows.select("__id", c), uniform(self.random_state, f"perm:{c}", "__id"), "__r", "__id").select("__r", c)
+            base = one if base is None else base.join(one, "__r")
         return base.withColumn("__id", F.monotonically_increasing_id() + F.lit(1 << 50))
 
+    def _redrawn(self, leafed: DataFrame, n: int, round_: int) -> DataFrame:
+        """``n`` rows of leaves of all trees: a leaf for each row in ``leafed`` and tree alike, and in it every column from a row of its own.
+
+        Rows are numbered in the order of tree and leaf, so a leaf is a stretch of numbers and a draw is a join by number.
+        """
+        long = leafed.select("__id", *self.columns, F.posexplode(_leaves("__leaf")).alias("tree", "leaf")).withColumn("__n", F.lit(1))
+        placed, total, _ = stretches(long, ["tree", "leaf", "__id"])
+        leaves = materialize(placed.groupBy("tree", "leaf").agg(F.count("*").alias("__size"), F.min("__from").alias("__first")), "arf-leaves")
+        seed = self.random_state + round_
+        place = lambda name, first, size: (first + F.least(F.floor(uniform(seed, name, "id", fine=True) * size), size - 1)).cast("long")
+        rows = self.spark_of(leafed).range(n).withColumn("__from", place("tree", F.lit(0), F.lit(total))).join(placed.select("__from", "tree", "leaf"), "__from").join(leaves, ["tree", "leaf"])
+        rows = materialize(rows.select("id", *[place(f"redraw:{c}", F.col("__first"), F.col("__size")).alias(f"__p{i}") for i, c in enumerate(self.columns)]), "arf-places")
+        for i, c in enumerate(self.columns):
+            rows = rows.join(placed.select(F.col("__from").alias(f"__p{i}"), c), f"__p{i}").drop(f"__p{i}")
+        return rows.select((F.col("id") + F.lit(1 << 50)).alias("__id"), *self.columns)
+
+    @staticmethod
+    def spark_of(df: DataFrame):
+        return df.sparkSession
+
     def _fit(self, df: DataFrame) -> None:
         from pyspark.ml.classification import RandomForestClassifier
 
@@ -161,7 +204,9 @@ class ARFGenerator(BaseGenerator):
         inputs = [f"__i_{c}" if c in self.spec.discrete else c for c in self.columns]
         stages = [StringIndexer(inputCol=c, outputCol=f"__i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in self.spec.discrete]
         stages += [VectorAssembler(inputCols=inputs, outputCol="__x"), RandomForestClassifier(featuresCol="__x", labelCol="__y", leafCol="__leaf", numTrees=self.num_trees, maxDepth=self.max_depth, minInstancesPerNode=self.min_node_size, maxBins=bins, seed=self.random_state)]
-        fake, accuracy = materialize(self._permuted(rows, 0), "arf-fake"), 1.0
+        self.ranges = ranges([rows], list(self.spec.numerical), as_number) if self.spec.numerical else {}
+        n = rows.count()
+        fake, accuracy = materialize(self._permuted(rows), "arf-fake"), 1.0
         for i in range(self.max_iters):
             both = rows.withColumn("__y", F.lit(1.0)).unionByName(fake.select("__id", *self.columns).withColumn("__y", F.lit(0.0)))
             held = uniform(self.random_state, f"hold{i}", "__id") < 0.25
@@ -171,30 +216,43 @@ class ARFGenerator(BaseGenerator):
             self.model, accuracy = model, found
             if done or i + 1 == self.max_iters:
                 break
-            first = model.transform(rows).select("__id", *self.columns, F.element_at(_leaves("__leaf"), 1).alias("__g"))
-            fake = materialize(self._permuted(first, i + 1, "__g"), "arf-fake")
-        self._estimate(self.model.transform(rows))
+            fake = materialize(self._redrawn(model.transform(rows), n, i + 1), "arf-fake")
+        codes = {c: list(self.model.stages[k].labels) for k, c in enumerate(self.spec.discrete)}
+        self._estimate(self.model.transform(rows), leaf_bounds(node_table(self.model.stages[-1])), codes)
 
-    def _estimate(self, leafed: DataFrame) -> None:
-        long = materialize(leafed.select(*self.columns, F.posexplode(_leaves("__leaf")).alias("tree", "leaf")), "arf-long")
-        numbers = [f.alias(f"{p}_{c}") for c in self.spec.numerical for p, f in (("m", F.avg(c)), ("s", F.coalesce(F.stddev_samp(c), F.lit(0.0))), ("a", F.min(c)), ("b", F.max(c)))]
+    def _estimate(self, leafed: DataFrame, bounds: DataFrame, codes: dict[str, list[str]]) -> None:
+        """Leaves of all trees with their rows' means and deviations between the bounds of their nodes, and their shares of levels."""
+        long = materialize(leafed.select(*self.columns, F.posexplode(_leaves("__leaf")).alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int")), "arf-long")
+        numbers = [f.alias(f"{p}_{c}") for c in self.spec.numerical for p, f in (("m", F.avg(c)), ("s", F.coalesce(F.stddev_samp(c), F.lit(0.0))))]
         stats = long.groupBy("tree", "leaf").agg(F.count("*").alias("__n"), *numbers).where(F.col("__n") >= self.min_node_size)
+        bounds = materialize(bounds, "arf-bounds")
+        at = {c: i for i, c in enumerate(self.columns)}
+        for c in self.spec.numerical:  # nodes without a split on the column have no bound on it
+            own = bounds.where(F.col("feature") == at[c]).select("tree", "leaf", F.col("lo").alias(f"a_{c}"), F.col("hi").alias(f"b_{c}"))
+            stats = stats.join(own, ["tree", "leaf"], "left")
+        stats = materialize(stats, "arf-stats")
         self.leaf_stats, self.total, self.width = stretches(stats, ["tree", "leaf"])
         self.shares = {}
         for c in self.spec.discrete:
             leaf = Window.partitionBy("tree", "leaf")
-            at = leaf.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+            upto = leaf.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
             counts = long.groupBy("tree", "leaf", c).agg(F.count("*").cast("double").alias("w"))
-            if self.alpha:  # the levels that a leaf does not hold as well
-                cells = stats.select("tree", "leaf").crossJoin(long.select(c).distinct())  # leaves x levels of the column
+            if self.alpha:  # the levels that a leaf's node allows, also those that it does not hold
+                own = bounds.where(F.col("feature") == at[c]).select("tree", "leaf", "levels")
+                every = F.array(*[F.lit(i) for i in range(len(codes[c]))])
+                cells = stats.select("tree", "leaf").join(own, ["tree", "leaf"], "left").select("tree", "leaf", F.explode(F.coalesce("levels", every)).alias("code"))
+                named = self.spark_of(long).createDataFrame(list(enumerate(codes[c])), f"code int, `{c}` string")
+                cells = cells.join(named, "code").drop("code")  # the code of levels that were never seen has no name
                 counts = cells.join(counts, ["tree", "leaf", c], "left").withColumn("w", F.coalesce("w", F.lit(0.0)) + self.alpha)
-            self.shares[c] = materialize(counts.withColumn("hi", F.sum("w").over(at) / F.sum("w").over(leaf)).withColumn("lo", F.coalesce(F.lag("hi").over(leaf.orderBy(c)), F.lit(0.0))).drop("w"), "arf-shares")
+            shares = counts.withColumn("hi", F.sum("w").over(upto) / F.sum("w").over(leaf))
+            self.shares[c] = materialize(shares.withColumn("lo", F.coalesce(F.lag("hi").over(leaf.orderBy(c)), F.lit(0.0))).drop("w"), "arf-shares")
 
     def _generate(self, n: int) -> DataFrame:
         seed = self.random_state
         rows = materialize(drawn(self.spark.range(n), uniform(seed, "leaf", "id", fine=True), self.leaf_stats, self.total, self.width), "arf-draw")
-        beyond = lambda c: F.lit(0.0) if self.clip else F.col(f"s_{c}") / 2
-        rows = truncated_normals(rows, {c: (uniform(seed, c, "id"), F.col(f"m_{c}"), F.col(f"s_{c}"), F.col(f"a_{c}") - beyond(c), F.col(f"b_{c}") + beyond(c)) for c in self.spec.numerical}) if self.spec.numerical else rows
+        far = lambda c, side: self.ranges[c][side > 0] if self.clip else F.col(f"m_{c}") + side * 8 * F.col(f"s_{c}")  # noqa: E731 - beyond 8 deviations is nothing
+        end = lambda c, p, side: F.coalesce(F.col(f"{p}_{c}"), F.lit(far(c, side)) if self.clip else far(c, side))
+        rows = truncated_normals(rows, {c: (uniform(seed, c, "id"), F.col(f"m_{c}"), F.col(f"s_{c}"), end(c, "a", -1), end(c, "b", 1)) for c in self.spec.numerical}) if self.spec.numerical else rows
         for c in self.spec.discrete:
             v = uniform(seed, c, "id")
             rows = rows.withColumn("v", v).join(self.shares[c], ["tree", "leaf"]).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))).drop("lo", "hi", "v")

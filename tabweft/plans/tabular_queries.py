@@ -172,6 +172,12 @@ def _quantile(spark, d):
     return rounded(rows.select("k", pp.QuantileMap.fit(rows, "bal", 21).value(uniform(8, "q", "k")).alias("bal")))
 
 
+def _of_orders(spark, d, schedule, steps):
+    """Every order with the step of a schedule that its key names."""
+    rows = base(spark, d).select("k", (F.col("k") % steps).cast("int").alias("t"))
+    return rounded(rows.join(F.broadcast(schedule), "t"))  # one row for each step
+
+
 def _q_sample(spark, d):
     s = df_.schedule(spark, 10, "cosine")
     rows = base(spark, d).select("k", (F.col("bal") / 10000).alias("x"), (F.col("k") % 10).cast("int").alias("t")).join(F.broadcast(s), "t")
@@ -287,13 +293,13 @@ QUERIES = {
     "bootstrap": _bootstrap,
     "mia_roles": _roles,
     "univariate_generator": _univariate,
-    "diffusion_schedule_cosine": lambda spark, d: rounded(df_.schedule(spark, 50, "cosine")),
-    "diffusion_schedule_linear": lambda spark, d: rounded(df_.schedule(spark, 50, "linear")),
-    "edm_sigmas": lambda spark, d: rounded(df_.edm_sigmas(spark, 18)),
+    "diffusion_schedule_cosine": lambda spark, d: _of_orders(spark, d, df_.schedule(spark, 50, "cosine"), 50),
+    "diffusion_schedule_linear": lambda spark, d: _of_orders(spark, d, df_.schedule(spark, 50, "linear"), 50),
+    "edm_sigmas": lambda spark, d: _of_orders(spark, d, df_.edm_sigmas(spark, 18), 19),
     "q_sample": _q_sample,
     "gaussian_posterior": _posterior,
     "multinomial_posterior": _multinomial,
-    "angle_schedule": lambda spark, d: rounded(df_.cosine_angle(spark, 50)),
+    "angle_schedule": lambda spark, d: _of_orders(spark, d, df_.cosine_angle(spark, 50), 50),
     "sampler_steps": _steps_back,
     "noise_levels": _noise_levels,
     "absorbing_reverse": _absorbing,
@@ -419,14 +425,14 @@ SQL = {
     "bootstrap": f"{_W}, i AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM base), n AS (SELECT count(*) AS n FROM base), d AS (SELECT floor({u_sql(13, 'bootstrap', 'i', fine=True)} * n)::BIGINT AS i, count(*) AS times FROM i, n GROUP BY 1) SELECT k, coalesce(times, 0) AS times FROM i LEFT JOIN d USING (i)",
     "mia_roles": f"{_W}, t AS (SELECT k, row_number() OVER (ORDER BY {u_sql(14, 'mia-test', 'k')}, k) <= floor(0.5e0 * count(*) OVER ()) AS ref FROM test), m AS (SELECT k, row_number() OVER (ORDER BY {u_sql(14, 'mia-train', 'k')}, k) <= floor(0.7e0 * count(*) OVER ()) AS mem FROM train) SELECT k, CASE WHEN ref THEN 'reference' ELSE 'nonmember' END AS part FROM t UNION ALL SELECT k, 'member' FROM m WHERE mem",
     "univariate_generator": f"{_W}, {_cum('priority')}, {_cum('status')}, q AS (SELECT quantile_cont(total, {_UNI_Q}) AS q FROM base), r AS (SELECT i, {u_sql(21, 'total', 'i')} * 49 AS a, {u_sql(21, 'priority', 'i')} AS b, {u_sql(21, 'status', 'i')} AS c FROM range((SELECT count(*) FROM base)) r(i)) SELECT round(q[floor(a)::INT + 1] + (a - floor(a)) * (q[floor(a)::INT + 2] - q[floor(a)::INT + 1]), 6) AS total, p.v AS priority, s.v AS status FROM r, q, w_priority p, w_status s WHERE b >= p.lo AND b < p.hi AND c >= s.lo AND c < s.hi",
-    "diffusion_schedule_cosine": f"WITH {_BARS(50)} SELECT t, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(alpha_bar, 6) AS alpha_bar FROM sch",
-    "diffusion_schedule_linear": "SELECT t::INT AS t, round(beta, 6) AS beta, round(1 - beta, 6) AS alpha, round(exp(sum(ln(1 - beta)) OVER (ORDER BY t)), 6) AS alpha_bar FROM (SELECT t, 20 * 0.0001e0 + t / 49e0 * 20 * (0.02e0 - 0.0001e0) AS beta FROM range(50) r(t))",
-    "edm_sigmas": "SELECT t::INT AS t, round(CASE WHEN t < 18 THEN power(power(80e0, 1e0 / 7) + t / 17e0 * (power(0.002e0, 1e0 / 7) - power(80e0, 1e0 / 7)), 7) ELSE 0 END, 6) AS sigma FROM range(19) r(t)",
+    "diffusion_schedule_cosine": f"{_W} SELECT k, s.* FROM base JOIN (WITH {_BARS(50)} SELECT t, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(alpha_bar, 6) AS alpha_bar FROM sch) s ON base.k % 50 = s.t",
+    "diffusion_schedule_linear": f"{_W} SELECT k, s.* FROM base JOIN (SELECT t::INT AS t, round(beta, 6) AS beta, round(1 - beta, 6) AS alpha, round(exp(sum(ln(1 - beta)) OVER (ORDER BY t)), 6) AS alpha_bar FROM (SELECT t, 20 * 0.0001e0 + t / 49e0 * 20 * (0.02e0 - 0.0001e0) AS beta FROM range(50) r(t))) s ON base.k % 50 = s.t",
+    "edm_sigmas": f"{_W} SELECT k, s.* FROM base JOIN (SELECT t::INT AS t, round(CASE WHEN t < 18 THEN power(power(80e0, 1e0 / 7) + t / 17e0 * (power(0.002e0, 1e0 / 7) - power(80e0, 1e0 / 7)), 7) ELSE 0 END, 6) AS sigma FROM range(19) r(t)) s ON base.k % 19 = s.t",
     "q_sample": f"{_W}, {_BARS(10)} SELECT k, round(sqrt(alpha_bar) * bal / 10000 + sqrt(1 - alpha_bar) * {u_sql(9, 'noise', 'k')}, 6) AS xt FROM base JOIN sch ON t = k % 10",
     "gaussian_posterior": f"{_W}, {_BARS(10)} SELECT k, round(sqrt(alpha_bar / alpha) * beta / (1 - alpha_bar) * bal / 10000 + sqrt(alpha) * (1 - alpha_bar / alpha) / (1 - alpha_bar) * bal / 20000, 6) AS mean, round(beta * (1 - alpha_bar / alpha) / (1 - alpha_bar), 6) AS variance FROM base JOIN sch ON t = k % 10",
     "event_constraint_rates": "SELECT strftime(date_trunc('hour', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS rows, sum((NOT value >= 50)::INT)::BIGINT AS value_gte_50_violations, sum((event_type = 'click')::INT)::BIGINT AS event_type_neq_click_violations FROM events GROUP BY 1, 2",
     "event_level_counts": "SELECT strftime(date_trunc('day', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
-    "angle_schedule": "WITH a AS (SELECT t, pow(cos(acos(sqrt(0.9999e0)) + t * (acos(sqrt(0.0001e0)) - acos(sqrt(0.9999e0))) / 49), 2) AS bar FROM range(50) r(t)), b AS (SELECT t, least(greatest(1 - CASE WHEN t = 0 THEN bar ELSE bar / lag(bar) OVER (ORDER BY t) END, 0.00000001e0), 0.999e0) AS beta FROM a) SELECT t::INT AS t, round(beta, 6) AS beta, round(1 - beta, 6) AS alpha, round(exp(sum(ln(1 - beta)) OVER (ORDER BY t)), 6) AS alpha_bar FROM b",
+    "angle_schedule": f"{_W} SELECT k, s.* FROM base JOIN (WITH a AS (SELECT t, pow(cos(acos(sqrt(0.9999e0)) + t * (acos(sqrt(0.0001e0)) - acos(sqrt(0.9999e0))) / 49), 2) AS bar FROM range(50) r(t)), b AS (SELECT t, least(greatest(1 - CASE WHEN t = 0 THEN bar ELSE bar / lag(bar) OVER (ORDER BY t) END, 0.00000001e0), 0.999e0) AS beta FROM a) SELECT t::INT AS t, round(beta, 6) AS beta, round(1 - beta, 6) AS alpha, round(exp(sum(ln(1 - beta)) OVER (ORDER BY t)), 6) AS alpha_bar FROM b) s ON base.k % 50 = s.t",
     "sampler_steps": f"{_TIMES}, n AS (SELECT *, {u_sql(31, 'noise', 'k')} AS z, x * sqrt(0.5e0) + 0.1e0 AS d, 0.1e0 + t * 7.9e0 AS b FROM tm), e AS (SELECT *, x + (t / 2 - t) * (x - d) / t AS e FROM n) SELECT k, round(x + 0.1e0 * d, 6) AS flow, round(exp(-0.5e0 * t * t * 7.9e0 - t * 0.1e0), 6) AS vp_bar, round(x + (0.5e0 * b * x + b * d) * 0.01e0 + sqrt(b * 0.01e0) * z, 6) AS vp, round(sqrt(0.8e0) * x + sqrt(0.2e0) * z, 6) AS ddim, round(e, 6) AS euler, round(x + (t / 2 - t) * 0.5e0 * ((x - d) / t + (e - (e * sqrt(0.5e0) + 0.1e0)) / (t / 2)), 6) AS heun, round((t * t + 0.25e0) / pow(t * 0.5e0, 2), 6) AS weight, round(t * 1.02e0, 6) AS churn FROM e",
     "noise_levels": f"{_TIMES}, p AS (SELECT *, exp(-1.7e0 * (ln(t / (1 - t)) - ln(0.3e0 / 0.7e0))) AS w, 0.25e0 / 5 + 0.5e0 * -0.3e0 / 2 + (0.09e0 + 2 * 0.5e0 * 0.8e0) / 3 + -0.3e0 * 0.8e0 + 0.64e0 AS whole FROM tm) SELECT k, round(pow(pow(0.002e0, 1e0 / 7) + t * (pow(80e0, 1e0 / 7) - pow(0.002e0, 1e0 / 7)), 7), 6) AS power_mean, round(-ln(1 - 0.999e0 * t), 6) AS log_linear, round(-ln(1 - 0.999e0 * pow(t, 1.5e0)), 6) AS log_linear_column, round(1 / (1 + w), 6) AS warp, round(1.7e0 / (t * (1 - t)) * w / pow(1 + w, 2), 6) AS warp_density, round(1 / (1 + exp(-(ln(0.3e0 / 0.7e0) + ln(t / (1 - t)) / 1.7e0))), 6) AS warp_quantile, round(-7 + 14 * (0.25e0 * pow(t, 5) / 5 + 0.5e0 * -0.3e0 * pow(t, 4) / 2 + (0.09e0 + 0.8e0) * pow(t, 3) / 3 + -0.3e0 * 0.8e0 * t * t + 0.64e0 * t) / whole, 6) AS gamma, round(14 * pow(0.5e0 * t * t - 0.3e0 * t + 0.8e0, 2) / whole, 6) AS gamma_slope, round(CASE WHEN k % 200 < 30 THEN 0.01e0 * (k % 200) / 30 ELSE 0.01e0 + (0.001e0 - 0.01e0) / 120 * (least(k % 200, 150) - 30) END, 6) AS rate FROM p",
     "absorbing_reverse": f"{_TIMES} SELECT k, round(CASE WHEN status = 'P' THEN 0.999e0 * t / 2 ELSE 0.6e0 * (0.999e0 * t - 0.999e0 * t / 2) END / (0.999e0 * t), 6) AS share FROM tm",

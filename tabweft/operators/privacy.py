@@ -166,11 +166,29 @@ def attack_of(name: str):
     return lambda *args, **kw: classifier_scores(*args, model_name=model, **kw)
 
 
-def attack(name: str, train: DataFrame, test: DataFrame, syn: DataFrame, spec: FeatureSpec, ref_prop: float = 0.5, member_prop: float = 1.0, seed: int = 0) -> DataFrame:
-    """(metric, value) of one attack."""
-    reference, rows = (materialize(x, "mia-roles") for x in mia_roles(train, test, spec, ref_prop, member_prop, seed))
-    found = attack_of(name)(reference, syn, rows, spec)
-    return scores.attack_scores(found.join(rows.select(F.col(spec.id).alias("id"), "y"), "id"))
+def attack(name: str, train: DataFrame, test: DataFrame, syn: DataFrame, spec: FeatureSpec, ref_prop: float = 0.5, member_prop: float = 1.0, seed: int = 0, subsample: bool = False, repeats: int = 1) -> DataFrame:
+    """(metric, value) of one attack.
+
+    With ``subsample`` members are as many as non-members and synthetic rows as many as reference rows, drawn anew in each of ``repeats`` runs,
+    whose values are averaged.
+    """
+    if repeats < 1:
+        raise ValueError("repeats must be at least 1")
+    found = None
+    for seed_of_run in range(seed, seed + (repeats if subsample else 1)):
+        reference, rows = (materialize(x, "mia-roles") for x in mia_roles(train, test, spec, ref_prop, member_prop, seed_of_run))
+        own = syn
+        if subsample:
+            n_ref, others = reference.count(), rows.where("y = 0")
+            if syn.count() < n_ref or rows.where("y = 1").count() < others.count():
+                raise ValueError("too few synthetic rows or members to draw from")
+            members = hash_sample(rows.where("y = 1"), others.count(), seed_of_run, "mia-members", spec.id)
+            rows = materialize(others.unionByName(members), "mia-rows")
+            own = materialize(hash_sample(syn, n_ref, seed_of_run, "mia-syn", spec.id), "mia-syn")
+        found_now = attack_of(name)(reference, own, rows, spec)
+        run = materialize(scores.attack_scores(found_now.join(rows.select(F.col(spec.id).alias("id"), "y"), "id")), "mia-run")
+        found = run if found is None else found.unionByName(run)
+    return found.groupBy("metric").agg(F.avg("value").alias("value"))
 
 
 def ensemble_attack(train: DataFrame, test: DataFrame, syn: DataFrame, spec: FeatureSpec, include=("dpi", "classifier"), how: str = "rank_avg", seed: int = 0) -> DataFrame:

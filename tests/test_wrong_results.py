@@ -79,3 +79,16 @@ def test_arf_gives_every_row(spark):
 def test_fine_uniform_numbers(spark):
     u = np.array([r[0] for r in spark.range(5000).select(uniform(1, "f", "id", fine=True)).collect()])
     assert len(set(u)) == 5000 and abs(u.mean() - 0.5) < 0.02 and ((u * 2**32) % 1 > 0).mean() > 0.99
+
+
+def test_attacks_repeat_on_subsamples(spark):
+    spec = FeatureSpec(("t",), ("x",), None, "id")
+    train, test, syn = rows(spark, 120), rows(spark, 80, 500), rows(spark, 100, 1000)
+    value = lambda **kw: {r.metric: r.value for r in privacy.attack("dpi", train, test, syn, spec, **kw).collect()}
+    runs = [value(subsample=True, seed=s) for s in (3, 4)]
+    both = value(subsample=True, repeats=2, seed=3)
+    assert set(both) == set(value()) and all(both[m] == pytest.approx((runs[0][m] + runs[1][m]) / 2) for m in both)
+    with pytest.raises(ValueError, match="repeats"):
+        value(repeats=0)
+    with pytest.raises(ValueError, match="too few"):
+        privacy.attack("dpi", train, test, syn.limit(10), spec, subsample=True)

@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweft.cluster import clear, made
 from tabweft.llm.common import arrow_map, materialize, new_folder, open_shared, shuffle_partitions, table, text_bytes, with_rows
 
 #: Bytes of text that a task holds before it hands its entries on; copies on both sides of it meet in the index.
@@ -399,7 +400,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Exactly one row of a group stays, also of rows that repeat both doc_id and text or have no doc_id.
     """
     keyed, row = with_rows(docs, "exact-rows")
-    kept = _rows(keyed, row).where("kept").select(F.col("row_id").alias(row))
+    before = set(made())
+    kept = materialize(_rows(keyed, row).where("kept").select(F.col("row_id").alias(row)), "exact-kept")
+    own = [x for x in made() if x not in before and "tabweft-exact-kept-" not in x]
+    clear(docs.sparkSession, own)  # entries and index hold the texts again, and are read no more
     return keyed.join(kept, row, "left_semi").select(docs.columns)
 
 

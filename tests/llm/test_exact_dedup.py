@@ -143,3 +143,14 @@ def test_very_long_texts_and_many_ranges(spark, monkeypatch):
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_classes(docs).collect()}
     assert got[0] == (0, 1) and got[1] == (1, 2) and got[2] == (1, 2)
     assert all(got[3 + i] == (3 + i % 40, 3) for i in range(120))
+
+
+def test_drop_copies_leaves_no_second_copy_of_the_texts(spark):
+    from tabweft import cluster
+
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string")
+    before = set(cluster.made())
+    out = drop_copies(docs)
+    left = [x for x in cluster.made() if x not in before]
+    assert not [x for x in left if "exact-entries" in x or "exact-index" in x]
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(7))

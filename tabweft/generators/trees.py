@@ -16,6 +16,7 @@ from tabweft.functions.normal import quantile, truncated_normals
 from tabweft.functions.randomness import uniform, uniform_rank
 from tabweft.generators.base import BaseGenerator, LevelDraw, drawn, stretches
 from tabweft.operators.forests import leaf_bounds, node_table
+from tabweft.operators.ml import without_summaries
 from tabweft.operators.preprocess import QuantileMap
 from tabweft.spec import as_level, as_number
 
@@ -210,7 +211,7 @@ class ARFGenerator(BaseGenerator):
         for i in range(self.max_iters):
             both = rows.withColumn("__y", F.lit(1.0)).unionByName(fake.select("__id", *self.columns).withColumn("__y", F.lit(0.0)))
             held = uniform(self.random_state, f"hold{i}", "__id") < 0.25
-            model = Pipeline(stages=stages).fit(both.where(~held))
+            model = without_summaries(Pipeline(stages=stages).fit(both.where(~held)))
             found = model.transform(both.where(held)).agg(F.avg((F.col("prediction") == F.col("__y")).cast("double"))).first()[0] or 0.0
             done = found <= 0.5 + self.delta or found > accuracy
             self.model, accuracy = model, found

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabweft.functions.randomness import uniform
@@ -92,3 +93,14 @@ def test_attacks_repeat_on_subsamples(spark):
         value(repeats=0)
     with pytest.raises(ValueError, match="too few"):
         privacy.attack("dpi", train, test, syn.limit(10), spec, subsample=True)
+
+
+@pytest.mark.parametrize("model_name", ["rf", "svm", "lr"])
+def test_classifiers_apply_in_a_session_with_an_observation(spark, model_name):
+    own = spark.newSession()  # what was observed stays in this one
+    seen = Observation()
+    own.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    df = rows(own).withColumn("x", F.col("x") + F.when(F.col("t") == "a", 100.0).otherwise(0.0))
+    got = ml.ml_task(df, df, FeatureSpec(("t",), ("x",), "t", "id"), "t", "binary", model_name).collect()
+    assert len(got) == 200 and all(r.label == r.prediction for r in got)

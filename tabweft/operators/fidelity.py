@@ -249,26 +249,28 @@ FEW_ITEMS = 2000
 def frequent_itemsets(levels: DataFrame, columns, min_support: float | int, max_size: int = 2) -> DataFrame:
     """(items array<string> sorted, n) of ``column=value`` sets in at least ``min_support`` rows (a share, or a count if int).
 
-    Sizes grow one at a time: rows keep only frequent items, and sets with a part that is not frequent are not counted.
+    Rows that are alike are counted first and then go as one row of weight ``w``. Sizes grow one at a time: rows keep only
+    frequent items, and sets with a part that is not frequent are not counted.
     """
-    rows = levels.count()
+    items = levels.select(F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns]).alias("row")).groupBy("row").agg(F.count("*").alias("w"))
+    items = materialize(items, "itemset-rows")
+    rows = items.agg(F.sum("w")).first()[0] or 0
     least = min_support if isinstance(min_support, int) else max(1, math.ceil(min_support * rows))
-    items = levels.select(F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns]).alias("row"))
-    counted = lambda sets: materialize(sets.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least), "itemsets")
-    found = counted(items.select(F.explode("row").alias("item")).select(F.array("item").alias("items")))
+    counted = lambda sets: materialize(sets.groupBy("items").agg(F.sum("w").alias("n")).where(F.col("n") >= least), "itemsets")
+    found = counted(items.select("w", F.explode("row").alias("item")).select("w", F.array("item").alias("items")))
     out, frequent = found, found.limit(FEW_ITEMS + 1).collect()
     if len(frequent) <= FEW_ITEMS:
         known = F.array(*[F.lit(r["items"][0]) for r in frequent]) if frequent else F.array().cast("array<string>")
-        base = items.select(F.array_sort(F.array_intersect("row", known)).alias("row"))
+        base = items.select("w", F.array_sort(F.array_intersect("row", known)).alias("row"))
     else:  # rows are split into items, which meet the frequent ones in a join
         single = items.withColumn("id", F.monotonically_increasing_id())
-        single = materialize(single, "item-rows").select("id", F.explode("row").alias("item"))
-        base = single.join(found.select(F.col("items")[0].alias("item")), "item").groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("row"))
+        single = materialize(single, "item-rows").select("id", "w", F.explode("row").alias("item"))
+        base = single.join(found.select(F.col("items")[0].alias("item")), "item").groupBy("id", "w").agg(F.array_sort(F.collect_set("item")).alias("row"))
     for size in range(2, max_size + 1):
         sets = F.transform("row", lambda x: F.array(x))
         for _ in range(size - 1):
             sets = _extend(sets)
-        candidates = base.select(F.explode(sets).alias("items"))
+        candidates = base.select("w", F.explode(sets).alias("items"))
         if size > 2:  # what is left without the first or the last item is frequent too
             for part in (F.slice("items", 1, size - 1), F.slice("items", 2, size - 1)):
                 candidates = candidates.withColumn("part", part).join(found.select(F.col("items").alias("part")), "part", "left_semi").drop("part")

@@ -62,9 +62,19 @@ def silu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x * s, s * (1 + x * (1 - s))
 
 
+def _by_kind(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each kind; kinds are numbered from 0 without gaps."""
+    if not len(x):
+        return x
+    order = np.argsort(kind, kind="stable")
+    return np.add.reduceat(x[order], np.searchsorted(kind[order], np.arange(kind.max() + 1)))
+
+
 class Denoiser(Dense):
     """What a noised row was before: a projection of the row plus embeddings of step and class, then hidden layers.
 
+    Embeddings are computed once for each step and class that a batch holds.
+
     ``forward`` gives the output and what ``backward`` needs for the gradient of the parameters.
     """
 
@@ -89,18 +99,20 @@ class Denoiser(Dense):
 
     def forward(self, p: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
         v = lambda name: self.view(p, name)
-        waves = self.waves(t)
+        steps, at = np.unique(t, return_inverse=True)
+        waves = self.waves(steps)
         a, da = silu(waves @ v("t1") + v("t1_b"))
-        h = x @ v("in") + v("in_b") + a @ v("t2") + v("t2_b")
-        dy = None
+        h = x @ v("in") + v("in_b") + (a @ v("t2") + v("t2_b"))[at]
+        found, of, dy = None, None, None
         if self.classes:
-            e, dy = silu(v("y")[y])
-            h = h + e
+            found, of = np.unique(y, return_inverse=True)
+            e, dy = silu(v("y")[found])
+            h += e[of]
         inputs = []
         for k in range(self.layers):
             inputs.append(h)
             h = np.maximum(h @ v(f"h{k}") + v(f"h{k}_b"), 0)
-        return h @ v("out") + v("out_b"), {"x": x, "waves": waves, "a": a, "da": da, "y": y, "dy": dy, "inputs": inputs, "last": h}
+        return h @ v("out") + v("out_b"), {"x": x, "waves": waves, "a": a, "da": da, "at": at, "found": found, "of": of, "dy": dy, "inputs": inputs, "last": h}
 
     def backward(self, p: np.ndarray, kept: dict, out: np.ndarray) -> np.ndarray:
         """The gradient, of ``out``, the gradient of the output."""
@@ -117,8 +129,8 @@ class Denoiser(Dense):
             d = layer(f"h{k}", below, d * (h > 0))
             h = below
         if self.classes:
-            np.add.at(self.view(grad, "y"), kept["y"], d * kept["dy"])
-        layer("t1", kept["waves"], layer("t2", kept["a"], d) * kept["da"])
+            self.view(grad, "y")[kept["found"]] = _by_kind(d, kept["of"]) * kept["dy"]
+        layer("t1", kept["waves"], layer("t2", kept["a"], _by_kind(d, kept["at"])) * kept["da"])
         layer("in", kept["x"], d)
         return grad
 

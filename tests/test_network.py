@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabweft.functions import counter
+from tabweft.functions.counter import uniforms
 from tabweft.generators.registry import get_generator
 from tabweft.generators import tabddpm as td
-from tabweft.operators.network import Adam, Trainer, silu
+from tabweft.operators.network import Adam, Denoiser, Trainer, silu
 from tabweft.sources import state
 
 
@@ -173,3 +174,16 @@ def test_training_by_sums_and_numbers_only(spark):
     model = get_generator("tabddpm")(training_steps=8, training="sum", batch_size=128, num_timesteps=10, embedding_dim=8, model_params={"n_units_hidden": 8, "n_layers_hidden": 1}).fit(df, [])
     assert len(model.losses) == 8 and all(math.isfinite(x) for x in model.losses)
     assert model.generate(20).count() == 20 and Counter(dict(model.generate(3).dtypes)) == Counter({"x": "double"})
+
+
+def test_embeddings_are_computed_once_for_each_step_of_a_batch(monkeypatch):
+    net, asked, waves = Denoiser(4, 8, 16, 1, 3), [], Denoiser.waves
+    monkeypatch.setattr(Denoiser, "waves", lambda self, t: asked.append(len(t)) or waves(self, t))
+    p, u = net.start(1) + 0.1, uniforms(2, 1, np.arange(60), 8)
+    x, t, y = u[:, :4], np.floor(u[:, 4] * 5), np.floor(u[:, 5] * 3).astype(int)
+    out, kept = net.forward(p, x, t, y)
+    grad = net.backward(p, kept, u[:, 4:])
+    assert asked == [5]
+    rows = [net.forward(p, x[i : i + 1], t[i : i + 1], y[i : i + 1]) for i in range(60)]
+    assert np.allclose(out, np.concatenate([o for o, _ in rows]))
+    assert np.allclose(grad, sum(net.backward(p, k, u[i : i + 1, 4:]) for i, (_, k) in enumerate(rows)))

@@ -6,6 +6,8 @@ import json
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -361,7 +363,7 @@ class QuantileMap:
 
     def with_normal(self, df: DataFrame, x: Column, out: str, eps: float = 1e-7) -> DataFrame:
         """Add ``out``: the normal quantile of the value's level, which is kept within [eps, 1 - eps]."""
-        level = df.withColumn(out, F.least(F.greatest(self.level(x), F.lit(eps)), F.lit(1 - eps)))  # a column of its own keeps the plan small
+        level = df.withColumn(out, F.least(F.greatest(self.looked_up(x), F.lit(eps)), F.lit(1 - eps)))  # a column of its own keeps the plan small
         return level.withColumn(out, normal_quantile(F.col(out)))
 
     def with_value(self, df: DataFrame, z: Column, out: str) -> DataFrame:
@@ -377,3 +379,25 @@ class QuantileMap:
         lower = F.when(below == 0, 0.0).when(below >= n, 1.0).otherwise((below - 1 + step(F.greatest(below, F.lit(1)))) / (n - 1))
         upper = F.when(upto == 0, 0.0).when(upto >= n, 1.0).otherwise((upto - 1 + F.coalesce(step(F.greatest(F.least(upto, F.lit(n - 1)), F.lit(1))), F.lit(0.0))) / (n - 1))
         return (lower + upper) / 2
+
+    def looked_up(self, x: Column) -> Column:
+        """:meth:`level` by binary search in whole batches, for tables of many rows."""
+        values = np.array(self.values, float)
+        n = len(values)
+        if n < 2:
+            return self.level(x)
+
+        @F.pandas_udf("double")
+        def place(v: pd.Series) -> pd.Series:
+            v = v.to_numpy(float)
+
+            def side(upto: np.ndarray) -> np.ndarray:
+                i = np.clip(upto, 1, n - 1)
+                width = values[i] - values[i - 1]
+                inside = (i - 1 + (v - values[i - 1]) / np.where(width > 0, width, 1.0)) / (n - 1)
+                return np.where(upto == 0, 0.0, np.where(upto >= n, 1.0, inside))
+
+            return pd.Series((side(np.searchsorted(values, v, "left")) + side(np.searchsorted(values, v, "right"))) / 2)
+
+        x = x.cast("double")
+        return F.when(x.isNull(), 0.0).when(F.isnan(x), 1.0).otherwise(place(x))
